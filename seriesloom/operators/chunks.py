@@ -48,24 +48,29 @@ def bounded_window(
     after: int,
     build: Callable[[WindowSpec], dict[str, Column]],
     chunk_steps: int | None = None,
+    keep_chunk: bool = False,
 ) -> DataFrame:
     """Add window columns whose frames reach at most ``before`` steps back and ``after`` ahead.
 
     ``steps`` is an integer that grows by one per row of a gap-free series (or a coarse time
-    index for range frames). ``build`` receives the window ordered by ``order``.
+    index for range frames). ``build`` receives the window ordered by ``order``. With
+    ``keep_chunk`` the result keeps ``_chunk``, which lets a following prefix operator work in
+    the same partitions, without another shuffle.
     """
     size = chunk_steps or max(10 * (before + after), CHUNK_STEPS)
     home = F.floor(F.col("_step") / F.lit(size))
     first = F.floor((F.col("_step") - F.lit(after)) / F.lit(size))
     last = F.floor((F.col("_step") + F.lit(before)) / F.lit(size))
     spec = Window.partitionBy(*keys, "_chunk").orderBy(order)
-    return (
-        df.withColumn("_step", steps)
+    out = (
+        df.drop("_chunk")
+        .withColumn("_step", steps)
         .withColumn("_chunk", F.explode(F.sequence(first, last)))
         .withColumns(build(spec))
         .where(home == F.col("_chunk"))
-        .drop("_step", "_chunk")
+        .drop("_step")
     )
+    return out if keep_chunk else out.drop("_chunk")
 
 
 def grid_window(
@@ -77,9 +82,10 @@ def grid_window(
     after: int,
     build: Callable[[WindowSpec], dict[str, Column]],
     chunk_steps: int | None = None,
+    keep_chunk: bool = False,
 ) -> DataFrame:
     """``bounded_window`` over a series that has one row for every step of its grid."""
-    return bounded_window(df, keys, ts, slot(ts, step), before, after, build, chunk_steps)
+    return bounded_window(df, keys, ts, slot(ts, step), before, after, build, chunk_steps, keep_chunk)
 
 
 def _bucket(ts: str, step: timedelta, chunk_steps: int | None) -> Column:
@@ -98,9 +104,13 @@ def with_position(
     """Add the 0-based row position inside the series and the series length.
 
     The window that numbers rows covers one bucket of time; counts of earlier buckets are
-    added from a table with one row per bucket.
+    added from a table with one row per bucket. The ``_chunk`` left by ``bounded_window`` serves
+    as the bucket when it is there.
     """
-    rows = df.withColumn("_bucket", _bucket(ts, step, chunk_steps))
+    if "_chunk" in df.columns:
+        rows = df.withColumnRenamed("_chunk", "_bucket")
+    else:
+        rows = df.withColumn("_bucket", _bucket(ts, step, chunk_steps))
     by_key = Window.partitionBy(*keys)
     earlier = by_key.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     sizes = (

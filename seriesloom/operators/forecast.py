@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from seriesloom.functions.columns import epoch_seconds, hash_unit
 from seriesloom.operators.chunks import HOUR, grid_window, join_per_key, with_position
-from seriesloom.operators.quantiles import exact_quantiles
+from seriesloom.operators.quantiles import exact_quantiles, quantile_curve
 from seriesloom.operators.reshape import assemble_predictions
 from seriesloom.operators.scale import inverse_target, minmax_fit, scale_target
 
@@ -70,9 +70,7 @@ def residual_curve(
     """(keys, curve): residual quantiles at ``points`` + 1 even shares, a bounded summary of the
     residual distribution of a series of any length."""
     residual = df.select(*keys, (F.col(y) - F.col(pred)).alias("_error"))
-    names = {f"_r{i}": i / points for i in range(points + 1)}
-    wide = exact_quantiles(residual, keys, "_error", names)
-    return wide.select(*keys, F.array(*names).alias("curve"))
+    return quantile_curve(residual, keys, "_error", points)
 
 
 def curve_value(curve: Column, share: Column) -> Column:

@@ -18,12 +18,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seriesloom.operators.chunks import join_per_key
+from seriesloom.session import cut_lineage
 from seriesloom.operators.scale import minmax_fit, minmax_inverse, minmax_transform
 
 NEIGHBOURS = 5
 BLOCK_ROWS = 4096
 SLICE_ROWS = 512
-CELLS_PER_COLUMN = 4
+MAX_CUTS = 32
 CELL_COLUMNS = 4
 
 
@@ -34,6 +35,7 @@ def knn_impute(
     k: int = NEIGHBOURS,
     ts: str = "ts",
     fit_on: Column | None = None,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Fill NULLs in ``columns`` with the mean of the ``k`` nearest rows of the series.
 
@@ -41,14 +43,15 @@ def knn_impute(
     up by the share of columns that count. A donor must have the wanted column. Fewer donors
     than ``k`` are averaged as they are; without any, the column mean is used; a column without
     values stays NULL. Ties go to the earlier row. ``fit_on`` limits bounds, means and donors
-    to the rows it selects.
+    to the rows it selects. Runs jobs when called: it writes three stages to the shared folder.
     """
     columns = list(columns)
     marked = df.withColumn("_fit", F.lit(True) if fit_on is None else F.coalesce(fit_on, F.lit(False)))
     bounds = minmax_fit(marked, keys, columns, F.col("_fit"))
-    scaled = minmax_transform(marked, bounds, keys, columns, ts)
+    # Read many times below, so written once to the shared folder.
+    scaled = cut_lineage(minmax_transform(marked, bounds, keys, columns, ts))
     means = scaled.groupBy(*keys).agg(*[F.avg(F.when(F.col("_fit"), F.col(c))).alias(f"_mean_{c}") for c in columns])
-    filled = _neighbour_values(scaled, keys, columns, k, ts)
+    filled = _neighbour_values(scaled, keys, columns, k, ts, block_rows)
     rows = join_per_key(scaled.join(filled, [*keys, ts], "left"), means, keys, ts, "left")
     complete = rows.withColumns(
         {
@@ -59,17 +62,19 @@ def knn_impute(
     return minmax_inverse(complete, bounds, keys, columns, ts)
 
 
-def _neighbour_values(scaled: DataFrame, keys: Sequence[str], columns: list[str], k: int, ts: str) -> DataFrame:
+def _neighbour_values(
+    scaled: DataFrame, keys: Sequence[str], columns: list[str], k: int, ts: str, block_rows: int
+) -> DataFrame:
     """(keys, ts, _filled): column number -> mean of the nearest donors, for rows with gaps."""
     known = [F.col(c).isNotNull() for c in columns]
     anything = known[0]
     everything = known[0]
     for c in known[1:]:
         anything, everything = anything | c, everything & c
-    donors = _into_blocks(scaled.where(F.col("_fit") & anything), keys, columns, ts)
+    donors = cut_lineage(_into_blocks(scaled.where(F.col("_fit") & anything), keys, columns, ts, block_rows))
     boxes = _boxes(donors, keys, columns)
     gaps = scaled.where(~everything & anything).select(*keys, ts, *columns)
-    visits = _visits(gaps, boxes, keys, columns, ts)
+    visits = cut_lineage(_visits(gaps, boxes, keys, columns, ts))
     cell = [*keys, ts, "_wanted"]
     nearest = (
         visits.where(F.col("_donors") >= k)
@@ -100,15 +105,24 @@ def _neighbour_values(scaled: DataFrame, keys: Sequence[str], columns: list[str]
     )
 
 
-def _into_blocks(rows: DataFrame, keys: Sequence[str], columns: list[str], ts: str) -> DataFrame:
-    """Add ``_cell`` and ``_sub``: a cell of feature space and a bounded block of its rows."""
-    coordinates = [
-        F.coalesce(F.floor(F.col(c) * CELLS_PER_COLUMN).cast("string"), F.lit("-")) for c in columns[:CELL_COLUMNS]
-    ]
-    placed = rows.select(*keys, ts, *columns, F.concat_ws(",", *coordinates).alias("_cell"))
-    blocks = placed.groupBy(*keys, "_cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_ROWS)).alias("_blocks"))
+def _into_blocks(
+    rows: DataFrame, keys: Sequence[str], columns: list[str], ts: str, block_rows: int
+) -> DataFrame:
+    """Add ``_cell`` and ``_sub``: a cell of feature space and a bounded block of its rows.
+
+    The longer a series, the finer its cells; a series that fits one block has one cell.
+    """
+    used = columns[:CELL_COLUMNS]
+    blocks = F.count(F.lit(1)) / F.lit(block_rows)
+    cuts = F.least(F.lit(MAX_CUTS), F.ceil(F.pow(blocks, F.lit(1 / len(used)))))
+    sizes = rows.groupBy(*keys).agg(cuts.alias("_cuts"))
+    sized = join_per_key(rows.select(*keys, ts, *columns), sizes, keys, ts)
+    coordinates = [F.coalesce(F.floor(F.col(c) * F.col("_cuts")).cast("string"), F.lit("-")) for c in used]
+    cell = F.when(F.col("_cuts") > 1, F.concat_ws(",", *coordinates)).otherwise("")
+    placed = sized.withColumn("_cell", cell).drop("_cuts")
+    parts = placed.groupBy(*keys, "_cell").agg(F.ceil(blocks).alias("_blocks"))
     return (
-        join_per_key(placed, blocks, [*keys, "_cell"], ts)
+        join_per_key(placed, parts, [*keys, "_cell"], ts)
         .withColumn("_sub", F.pmod(F.xxhash64(ts), F.col("_blocks")))
         .drop("_blocks")
     )

@@ -18,22 +18,18 @@ QUARTILES = {"min": 0.0, "p25": 0.25, "p50": 0.5, "p75": 0.75, "max": 1.0}
 RANGES = 64
 
 
-def exact_quantiles(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    probs: Mapping[str, float] = QUARTILES,
-    n: str = "n",
+def quantile_map(
+    df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float], n: str = "n"
 ) -> DataFrame:
-    """(keys, n, one column per entry of ``probs``), NULL values left out."""
+    """(keys, n, _at): a map from each wanted share to its quantile, NULL values left out."""
     counts = (
         df.where(F.col(value).isNotNull())
         .groupBy(*keys, F.col(value).cast("double").alias("_x"))
         .agg(F.count(F.lit(1)).alias("_n"))
     )
     # The cuts only steer how work is divided, so an approximation does: ranks stay exact.
-    shares = F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)])
-    cuts = counts.groupBy(*keys).agg(F.percentile_approx("_x", shares, 1000).alias("_cuts"))
+    steps = F.lit([i / RANGES for i in range(1, RANGES)])
+    cuts = counts.groupBy(*keys).agg(F.percentile_approx("_x", steps, 1000).alias("_cuts"))
     ranged = join_per_key(counts, cuts, keys, "_x").select(
         *keys, "_x", "_n", F.size(F.filter("_cuts", lambda c: c < F.col("_x"))).alias("_range")
     )
@@ -53,20 +49,40 @@ def exact_quantiles(
     ranked = ranged.join(starts, [*keys, "_range"]).withColumn(
         "_upto", F.col("_start") + F.sum("_n").over(inside)
     )
+    # Each wanted share lies between two ranks; a value answers for the ranks it covers.
+    rank = F.col("_p") * (F.col("_total") - 1)
+    first = F.col("_upto") - F.col("_n")
 
-    def at(rank: Column) -> Column:
-        return F.min(F.when(F.col("_upto") > rank, F.col("_x")))
+    def covers(p: Column) -> Column:
+        at = p * (F.col("_total") - 1)
+        return (F.floor(at) < F.col("_upto")) & (F.ceil(at) >= first)
 
-    aggs = [F.max("_total").alias(n)]
-    for name, p in probs.items():
-        rank = F.lit(float(p)) * (F.col("_total") - 1)
-        aggs += [at(F.floor(rank)).alias(f"_low_{name}"), at(F.ceil(rank)).alias(f"_high_{name}")]
+    shares = F.lit([float(p) for p in dict.fromkeys(probs.values())])
+    hits = ranked.withColumn("_p", F.explode(F.filter(shares, covers)))
+    low = F.when((F.floor(rank) >= first) & (F.floor(rank) < F.col("_upto")), F.col("_x"))
+    high = F.when((F.ceil(rank) >= first) & (F.ceil(rank) < F.col("_upto")), F.col("_x"))
+    between = F.col("_low") + (F.col("_high") - F.col("_low")) * (rank - F.floor(rank))
+    points = hits.groupBy(*keys, "_total", "_p").agg(F.max(low).alias("_low"), F.max(high).alias("_high"))
+    return points.groupBy(*keys).agg(
+        F.max("_total").alias(n),
+        F.map_from_entries(F.collect_list(F.struct("_p", between.alias("_v")))).alias("_at"),
+    )
 
-    def interpolated(name: str, p: float) -> Column:
-        rank = F.lit(float(p)) * (F.col(n) - 1)
-        low, high = F.col(f"_low_{name}"), F.col(f"_high_{name}")
-        return (low + (high - low) * (rank - F.floor(rank))).alias(name)
 
-    return ranked.groupBy(*keys).agg(*aggs).select(
-        *keys, n, *[interpolated(name, p) for name, p in probs.items()]
-    )
+def exact_quantiles(
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    probs: Mapping[str, float] = QUARTILES,
+    n: str = "n",
+) -> DataFrame:
+    """(keys, n, one column per entry of ``probs``), NULL values left out."""
+    columns = [F.element_at("_at", F.lit(float(p))).alias(name) for name, p in probs.items()]
+    return quantile_map(df, keys, value, probs, n).select(*keys, n, *columns)
+
+
+def quantile_curve(df: DataFrame, keys: Sequence[str], value: str, points: int, out: str = "curve") -> DataFrame:
+    """(keys, out): the quantiles at ``points`` + 1 even shares as one array."""
+    shares = {str(i): i / points for i in range(points + 1)}
+    values = F.transform(F.array_sort(F.map_entries("_at")), lambda e: e["value"])
+    return quantile_map(df, keys, value, shares, "_n").select(*keys, values.alias(out))

@@ -72,7 +72,9 @@ def daily_ship(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def forecasts(spark: SparkSession, folder: str, keys: Sequence[str] = TYPES) -> DataFrame:
+def forecasts(
+    spark: SparkSession, folder: str, keys: Sequence[str] = TYPES, keep_chunk: bool = False
+) -> DataFrame:
     """(keys, ts, y, naive1, naive24, roll24, lo, hi): simple forecasts of ``hourly_dense``."""
 
     def build(spec):
@@ -86,9 +88,9 @@ def forecasts(spark: SparkSession, folder: str, keys: Sequence[str] = TYPES) ->
             "hi": mean + reach,
         }
 
-    return grid_window(hourly_dense(spark, folder, keys), keys, "ts", timedelta(hours=1), 24, 0, build)
+    return grid_window(hourly_dense(spark, folder, keys), keys, "ts", timedelta(hours=1), 24, 0, build, keep_chunk=keep_chunk)
 
 
 def split_forecasts(spark: SparkSession, folder: str, keys: Sequence[str] = TYPES) -> DataFrame:
     """Forecast rows with all forecasts known, labelled train / validation / test."""
-    return chrono_split(forecasts(spark, folder, keys).dropna(subset=["roll24"]), keys)
+    return chrono_split(forecasts(spark, folder, keys, keep_chunk=True).dropna(subset=["roll24"]), keys)
