@@ -13,6 +13,7 @@ from seriesloom.functions.columns import epoch_seconds, hash_unit
 from seriesloom.operators.chunks import HOUR, grid_window, join_per_key, with_position
 from seriesloom.operators.quantiles import exact_quantiles, quantile_curve
 from seriesloom.operators.reshape import assemble_predictions
+from seriesloom.sources.files import small_table
 from seriesloom.operators.scale import inverse_target, minmax_fit, scale_target
 
 # Seasons of a 3-hour series per day, training share, interval quantiles.
@@ -195,4 +196,4 @@ def score_models(
         begin = time.perf_counter()
         out.write.format("noop").mode("overwrite").save()
         measured.append((name, (time.perf_counter() - begin) * 1000 / max(n, 1)))
-    return table, spark.createDataFrame(measured, "model string, ms_per_prediction double")
+    return table, small_table(spark, measured, "model string, ms_per_prediction double")

@@ -20,6 +20,7 @@ from seriesloom.operators.chunks import grid_window, join_per_key
 from seriesloom.operators.decompose import difference_weights
 from seriesloom.operators.scale import minmax_fit, scale_target, inverse_target
 from seriesloom.session import cut_lineage
+from seriesloom.sources.files import small_table
 
 # Boosting rounds, learning rate and sampling shares of the point model, and the
 # ridge weight of the window and stacking models.
@@ -71,7 +72,7 @@ def feature_importance(model: PipelineModel, features: Sequence[str], n: int, sp
     weights = model.stages[-1].featureImportances.toArray()
     ranked = sorted(enumerate(features), key=lambda item: (-weights[item[0]], item[0]))[:n]
     rows = [(r + 1, name, float(weights[i])) for r, (i, name) in enumerate(ranked)]
-    return spark.createDataFrame(rows, "rank int, feature string, importance double")
+    return small_table(spark, rows, "rank int, feature string, importance double")
 
 
 def fit_stack(

@@ -42,7 +42,7 @@ fc_raw AS (SELECT {k}, ts, y, lag(y, 1) OVER w AS naive1, lag(y, 24) OVER w AS n
     CASE WHEN count(y) OVER f = 24 THEN 1.96 * stddev_samp(y) OVER f END AS reach
     FROM dense WINDOW w AS (PARTITION BY {k} ORDER BY ts),
     f AS (PARTITION BY {k} ORDER BY ts ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING)),
-fc_known AS (SELECT *, roll24 - reach AS lo, roll24 + reach AS hi FROM fc_raw WHERE roll24 IS NOT NULL),
+fc_known AS (SELECT {k}, ts, y, naive1, naive24, roll24, {r('roll24 - reach')} AS lo, {r('roll24 + reach')} AS hi FROM fc_raw WHERE roll24 IS NOT NULL),
 {splits("fc_known", "fc", k)}"""
 
 
@@ -286,7 +286,7 @@ SELECT model, {scores('y', 'p')} FROM err GROUP BY 1""",
     "join_outer_time": f"""WITH o AS (SELECT o_orderdate AS ts, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) / 1000 AS ordered FROM orders GROUP BY 1),
 s AS (SELECT l_shipdate AS ts, CAST(sum(CAST(l_extendedprice AS DECIMAL(12,2)) * (1 - CAST(l_discount AS DECIMAL(5,2)))) AS DOUBLE) / 1000 AS shipped
     FROM lineitem GROUP BY 1)
-SELECT coalesce(o.ts, s.ts) AS ts, {shown(['ordered', 'shipped'], 4)} FROM o FULL OUTER JOIN s ON o.ts = s.ts""",
+SELECT coalesce(o.ts, s.ts) AS ts, {shown(['ordered', 'shipped'], 7)} FROM o FULL OUTER JOIN s ON o.ts = s.ts""",
     "hourly_grid": f"WITH {hourly()} SELECT {TYPED}, n, {r('y')} AS y FROM gappy",
     "asof_upsample": f"""WITH {hourly()}, {COARSE.format(source='gappy')},
 a AS (SELECT g.event_type, g.ts, c.y FROM gappy g ASOF LEFT JOIN coarse c ON g.event_type = c.event_type AND g.ts >= c.ts),
@@ -341,7 +341,7 @@ p AS (SELECT event_type, ts, avg(abs(value - y)) - sum(value * (2 * i - 51)) / 2
 SELECT event_type, {r('avg(c)')} AS crps FROM p GROUP BY 1""",
     "mc_bounds": f"""WITH {CURVES}
 SELECT {TYPED}, {r('quantile_cont(value, 0.05)')} AS lower, {r('quantile_cont(value, 0.95)')} AS upper FROM samples GROUP BY 1, 2""",
-    "calibration": f"""WITH {forecasts('user_id')}, t AS (SELECT *, reach / 1.96 * 0.6745 AS half FROM fc WHERE split = 'test')
+    "calibration": f"""WITH {forecasts('user_id')}, t AS (SELECT *, (hi - lo) / (2 * 1.96) * 0.6745 AS half FROM fc WHERE split = 'test')
 SELECT 'normal' AS model, 0.95::DOUBLE AS nominal, {r('avg(CAST(y >= lo AND y <= hi AS INTEGER))')} AS observed FROM t
 UNION ALL SELECT 'half', 0.5::DOUBLE, {r('avg(CAST(y >= roll24 - half AND y <= roll24 + half AS INTEGER))')} FROM t""",
     "error_corr": f"""WITH {forecasts('user_id')}, t AS (SELECT naive1 - y AS naive1, naive24 - y AS naive24, roll24 - y AS roll24 FROM fc WHERE split = 'test')
@@ -353,10 +353,10 @@ SELECT model, count(*) AS n, {quartiles('error')} FROM err GROUP BY 1""",
 old AS (SELECT * FROM (VALUES {', '.join(f"('{m}', {v}::DOUBLE)" for m, v in LATENCY.items())}) v(model, ms_per_prediction))
 SELECT model, any_value(ms_per_prediction) AS ms_per_prediction, {r('avg(abs(error))')} AS mae FROM err LEFT JOIN old USING (model) GROUP BY 1""",
     "uncertainty_split": f"""WITH {forecasts()}, b AS (SELECT event_type, max(y) - min(y) AS w FROM fc WHERE split = 'train' GROUP BY 1),
-t AS (SELECT event_type, ts, naive1, naive24, roll24, (naive1 + naive24 + roll24) / 3 AS mean, reach / 1.96 / w AS s, w FROM fc JOIN b USING (event_type) WHERE split = 'test'),
+t AS (SELECT event_type, ts, naive1, naive24, roll24, (naive1 + naive24 + roll24) / 3 AS mean, (hi - lo) / (2 * 1.96) / w AS s, w FROM fc JOIN b USING (event_type) WHERE split = 'test'),
 u AS (SELECT {TYPED}, {PASSES}, sqrt(s * s * (1 + 0.25 + 2.25) / 3) * w AS aleatoric FROM t)
 SELECT {TYPED}, {shown(['mean', 'epistemic', 'aleatoric'])}, {r('sqrt(epistemic * epistemic + aleatoric * aleatoric)')} AS total FROM u""",
-    "gauss_interval": f"""WITH {forecasts()}, t AS (SELECT event_type, ts, y, roll24 AS mean, reach / 1.96 AS s FROM fc WHERE position = 200),
+    "gauss_interval": f"""WITH {forecasts()}, t AS (SELECT event_type, ts, y, roll24 AS mean, (hi - roll24) / 1.96 AS s FROM fc WHERE position = 200),
 g AS (SELECT *, y - 30 + i * (60.0::DOUBLE / 999) AS x FROM t, (SELECT unnest(range(1000))::INTEGER AS i))
 SELECT {TYPED}, i AS grid_id, x >= mean - 1.96 * s AND x <= mean + 1.96 * s AS inside, {r('x')} AS x,
     {r('exp(-((x - mean) / s) * ((x - mean) / s) / 2) / (s * sqrt(2 * pi()))')} AS pdf, {r('mean - 1.96 * s')} AS lower, {r('mean + 1.96 * s')} AS upper FROM g""",
@@ -383,7 +383,7 @@ dd AS (SELECT *, (equity - running_max) / nullif(running_max, 0) AS drawdown FRO
     "rolling_sharpe": f"""WITH {SHIP}, f AS (SELECT *, count(pnl) OVER w AS c, avg(pnl) OVER w AS m, stddev_samp(pnl) OVER w AS s FROM ship
     WINDOW w AS (PARTITION BY l_suppkey, strategy ORDER BY day ROWS BETWEEN 29 PRECEDING AND CURRENT ROW))
 SELECT l_suppkey, strategy, day, {r('CASE WHEN c = 30 THEN m / nullif(s, 0) * sqrt(365) END')} AS rolling_sharpe FROM f""",
-    "pnl_quartiles": f"WITH {SHIP} SELECT strategy, count(pnl) AS n, {quartiles('pnl', 4)} FROM ship GROUP BY 1",
+    "pnl_quartiles": f"WITH {SHIP} SELECT strategy, count(pnl) AS n, {quartiles('pnl')} FROM ship GROUP BY 1",
     "pnl_density": f"""WITH {SHIP}, s AS (SELECT strategy, count(*) AS n, min(pnl) AS lo, max(pnl) AS hi, stddev_samp(pnl) * power(count(*), -0.2) AS h FROM ship GROUP BY 1),
 g AS (SELECT strategy, n, h, i, lo - 3 * h + (hi - lo + 6 * h) * i / 199.0::DOUBLE AS x FROM s, (SELECT unnest(range(200))::INTEGER AS i))
 SELECT strategy, i AS grid_id, {r('x', 3)} AS x, {r('1e6 * sum(exp(-((x - pnl) / h) * ((x - pnl) / h) / 2)) / (any_value(n) * any_value(h) * sqrt(2 * pi()))')} AS density

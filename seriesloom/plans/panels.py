@@ -11,7 +11,7 @@ from datetime import timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesloom.functions.columns import exact_cents
+from seriesloom.functions.columns import exact_cents, rounded
 from seriesloom.operators.chunks import grid_window
 from seriesloom.operators.features import full_frame
 from seriesloom.operators.grid import to_grid
@@ -75,7 +75,10 @@ def daily_ship(spark: SparkSession, folder: str) -> DataFrame:
 def forecasts(
     spark: SparkSession, folder: str, keys: Sequence[str] = TYPES, keep_chunk: bool = False
 ) -> DataFrame:
-    """(keys, ts, y, naive1, naive24, roll24, lo, hi): simple forecasts of ``hourly_dense``."""
+    """(keys, ts, y, naive1, naive24, roll24, lo, hi): simple forecasts of ``hourly_dense``.
+
+    The bounds are quoted to six decimals, so that equal bounds are equal in any order of sums.
+    """
 
     def build(spec):
         mean = full_frame(spec, "y", -24, -1, F.avg)
@@ -84,8 +87,8 @@ def forecasts(
             "naive1": F.lag("y", 1).over(spec),
             "naive24": F.lag("y", 24).over(spec),
             "roll24": mean,
-            "lo": mean - reach,
-            "hi": mean + reach,
+            "lo": rounded(mean - reach),
+            "hi": rounded(mean + reach),
         }
 
     return grid_window(hourly_dense(spark, folder, keys), keys, "ts", timedelta(hours=1), 24, 0, build, keep_chunk=keep_chunk)

@@ -58,7 +58,7 @@ def _out(df: DataFrame, exact: Sequence[str], measured: Sequence[str] = (), digi
 
 
 def _calendar(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(d,) for d in HOLIDAYS], "day date")
+    return files.small_table(spark, [(d,) for d in HOLIDAYS], "day date")
 
 
 def _test(df: DataFrame) -> DataFrame:
@@ -198,7 +198,7 @@ def scoreboard(spark, folder):
 def join_outer_time(spark, folder):
     ordered = panels.daily_orders(spark, folder).withColumnRenamed("y", "ordered")
     shipped = panels.daily_ship(spark, folder).groupBy("ts").agg(F.sum("y").alias("shipped"))
-    return _out(grid.outer_join_time(ordered, shipped, ["ts"]), ["ts"], ["ordered", "shipped"], 4)
+    return _out(grid.outer_join_time(ordered, shipped, ["ts"]), ["ts"], ["ordered", "shipped"], 7)
 
 
 @query
@@ -436,7 +436,7 @@ def error_by_hour(spark, folder):
 def tradeoff_table(spark, folder):
     test = _test(panels.split_forecasts(spark, folder))
     scores = metrics.scoreboard(reshape.predictions_long(test, KT, "y", MODELS))
-    old = spark.createDataFrame(list(LATENCY.items()), "model string, ms_per_prediction double")
+    old = files.small_table(spark, list(LATENCY.items()), "model string, ms_per_prediction double")
     return _out(metrics.latency_tradeoff(scores, old), ["model", "ms_per_prediction"], ["mae"])
 
 
@@ -565,7 +565,7 @@ def rolling_sharpe(spark, folder):
 
 @query
 def pnl_quartiles(spark, folder):
-    return _out(strategy.pnl_quartiles(ship_pnl(spark, folder)), ["strategy", "n"], ["min", "p25", "p50", "p75", "max"], 4)
+    return _out(strategy.pnl_quartiles(ship_pnl(spark, folder)), ["strategy", "n"], ["min", "p25", "p50", "p75", "max"])
 
 
 @query

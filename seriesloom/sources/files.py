@@ -13,6 +13,15 @@ from pyspark.sql.utils import AnalysisException
 from seriesloom.functions.columns import blank_nan
 
 
+def small_table(spark: SparkSession, rows: Sequence[Sequence], schema: T.StructType | str) -> DataFrame:
+    """A few given rows as a table of known size, so that joins with it need no shuffle."""
+    fields = T.StructType.fromDDL(schema).fields if isinstance(schema, str) else schema.fields
+    cells = [
+        F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, fields)]) for row in rows
+    ]
+    return spark.range(1).select(F.inline(F.array(*cells)))
+
+
 def nan_to_null(df: DataFrame) -> DataFrame:
     floats = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
     return df.withColumns({c: blank_nan(c) for c in floats}) if floats else df
