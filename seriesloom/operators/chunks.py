@@ -9,6 +9,9 @@ Three shapes cover every ordered operator:
   the summaries (one row per bucket) are accumulated per series, and the carry is joined back.
 * ``join_per_key`` - a per-series table met with the rows of the series, salted so that one
   large series is met by many tasks.
+
+Small tables are joined with left joins even where every row has a match: Spark can then send
+the small side to the rows, never the rows to the small side.
 """
 
 from __future__ import annotations
@@ -125,7 +128,7 @@ def with_position(
     )
     inside = Window.partitionBy(*keys, "_bucket").orderBy(ts)
     return (
-        rows.join(sizes, [*keys, "_bucket"])
+        rows.join(sizes, [*keys, "_bucket"], "left")
         .withColumn(position, F.col("_start") + F.row_number().over(inside) - F.lit(1))
         .drop("_bucket", "_start")
     )
@@ -156,7 +159,7 @@ def running_totals(
     )
     missing = F.col(value).isNull()
     return (
-        rows.join(carry, [*keys, "_bucket"])
+        rows.join(carry, [*keys, "_bucket"], "left")
         .withColumn("_total", F.col("_start") + F.col("_sum"))
         .withColumn("_peak", F.greatest(F.col("_start_peak"), F.max("_total").over(inside)))
         .withColumn(total, F.when(~missing, F.col("_total")))
@@ -197,7 +200,7 @@ def fill_gaps(
         return F.coalesce(*parts, F.col(f"_head_{c}")) if head else F.coalesce(*parts)
 
     return (
-        rows.join(carry, [*keys, "_bucket"])
+        rows.join(carry, [*keys, "_bucket"], "left")
         .withColumns({c: filled(c) for c in columns})
         .select(*df.columns)
     )
@@ -208,7 +211,7 @@ def join_per_key(
     table: DataFrame,
     keys: Sequence[str],
     spread: str | Column | Sequence[str],
-    how: str = "inner",
+    how: str = "left",
     salts: int = SALTS,
 ) -> DataFrame:
     """Join a table that has few rows per series onto the rows of the series.

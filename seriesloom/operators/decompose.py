@@ -154,7 +154,7 @@ def delay_aggregate(
     for k in range(1, max_lag + 1):
         w = F.try_element_at("_weights", F.lit(k))
         total = total + F.when(w.isNotNull(), w * F.col(f"_lag{k}")).otherwise(F.lit(0.0))
-    return rows.withColumn(out, total).select(*df.columns, out)
+    return rows.withColumn(out, F.when(F.col("_weights").isNotNull(), total)).select(*df.columns, out)
 
 
 def difference_weights(d: int, seasonal_d: int, m: int) -> dict[int, int]:

@@ -78,13 +78,14 @@ def box_stats(errors: DataFrame, by: Sequence[str], value: str = "error") -> Dat
     rows = join_per_key(errors.select(*by, value), box, by, value)
     reach = (F.col("p75") - F.col("p25")) * F.lit(WHISKER)
     inside = F.col(value).between(F.col("p25") - reach, F.col("p75") + reach)
-    return rows.groupBy(*by).agg(
+    boxes = rows.groupBy(*by).agg(
         F.max("n").alias("n"),
         *[F.max(c).alias(c) for c in ("p25", "p50", "p75")],
         F.min(F.when(inside, F.col(value))).alias("whisker_low"),
         F.max(F.when(inside, F.col(value))).alias("whisker_high"),
         F.count_if(~inside).alias("outliers"),
     )
+    return boxes.where(F.col("n").isNotNull())
 
 
 def error_by_hour(errors: DataFrame, ts: str = "ts", value: str = "error") -> DataFrame:

@@ -46,7 +46,7 @@ def quantile_map(
         )
     )
     inside = Window.partitionBy(*keys, "_range").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = ranged.join(starts, [*keys, "_range"]).withColumn(
+    ranked = ranged.join(starts, [*keys, "_range"], "left").withColumn(
         "_upto", F.col("_start") + F.sum("_n").over(inside)
     )
     # Each wanted share lies between two ranks; a value answers for the ranks it covers.

@@ -127,6 +127,10 @@ def pnl_quartiles(pnl: DataFrame, by: Sequence[str] = ("strategy",)) -> DataFram
     return exact_quantiles(pnl, by, "pnl", QUARTILES)
 
 
+def _positive(c: Column) -> Column:
+    return F.when(c > 0, c)
+
+
 def profit_density(pnl: DataFrame, by: Sequence[str] = ("strategy",), value: str = "pnl", points: int = 200, cut: float = 3.0) -> DataFrame:
     """Gaussian kernel density per group on an even grid, Scott bandwidth.
 
@@ -139,8 +143,8 @@ def profit_density(pnl: DataFrame, by: Sequence[str] = ("strategy",), value: str
         n.alias("_n"),
         F.min(value).alias("_lo"),
         F.max(value).alias("_hi"),
-        (F.stddev_samp(value) * F.pow(n.cast("double"), F.lit(-0.2))).alias("_h"),
-    ).where(F.col("_h") > 0)
+        _positive(F.stddev_samp(value) * F.pow(n.cast("double"), F.lit(-0.2))).alias("_h"),
+    )
     start = F.col("_lo") - cut * F.col("_h")
     width = F.col("_hi") - F.col("_lo") + 2 * cut * F.col("_h")
     rows = join_per_key(clean, stats, by, value).withColumn(
@@ -149,7 +153,8 @@ def profit_density(pnl: DataFrame, by: Sequence[str] = ("strategy",), value: str
     x = start + width * F.col("grid_id") / F.lit(float(points - 1))
     z = (F.col("x") - F.col(value)) / F.col("_h")
     kernels = rows.withColumn("x", x).withColumn("_k", F.exp(-z * z / 2))
-    return kernels.groupBy(*by, "grid_id").agg(
-        F.first("x").alias("x"),
-        (F.sum("_k") / (F.first("_n") * F.first("_h") * F.lit(math.sqrt(2 * math.pi)))).alias("density"),
+    sums = kernels.groupBy(*by, "grid_id").agg(
+        F.first("x").alias("x"), F.sum("_k").alias("_k"), (F.first("_n") * F.first("_h")).alias("_nh")
     )
+    density = F.col("_k") / (F.col("_nh") * F.lit(math.sqrt(2 * math.pi)))
+    return sums.select(*by, "grid_id", "x", density.alias("density")).where(F.col("density").isNotNull())
