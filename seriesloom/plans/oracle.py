@@ -247,7 +247,24 @@ err AS (SELECT 'naive1' AS model, y, naive1 AS p FROM mixed UNION ALL SELECT 'na
 SELECT model, {scores('y', 'p')} FROM err WHERE p IS NOT NULL GROUP BY 1"""
 
 
-TYPES_SQL = ", ".join(f"'{t}'" for t in EVENT_TYPES)
+def processed() -> str:
+    lag_sql = ", ".join(f"lag({c}, {k}) OVER w AS {c}_lag_{k}" for c in ("price", "load") for k in (1, 2, 3, 24, 48, 168))
+    names = ["price", "load", *[f"y_{t}" for t in EVENT_TYPES], *CYCLES]
+    names += [f"{c}_lag_{k}" for c in ("price", "load") for k in (1, 2, 3, 24, 48, 168)]
+    frame = "OVER (ORDER BY ts ROWS BETWEEN {} PRECEDING AND 1 PRECEDING)"
+    six, day = frame.format(6), frame.format(24)
+    return f"""WITH {hourly()},
+wide AS (SELECT ts, {', '.join(f"max(CASE WHEN event_type = '{t}' THEN total / n END) AS y_{t}" for t in EVENT_TYPES)},
+    max(CASE WHEN event_type = 'purchase' THEN total / n END) AS price,
+    max(CASE WHEN event_type = 'purchase' THEN CAST(n AS DOUBLE) END) AS load FROM hourly GROUP BY 1),
+axis AS (SELECT unnest(generate_series(min(ts), max(ts), INTERVAL 1 HOUR)) AS ts FROM wide),
+g AS (SELECT axis.ts, wide.* EXCLUDE (ts), CAST(CAST(axis.ts AS DATE) IN ({DAYS_SQL}) AS INTEGER) AS is_holiday FROM axis LEFT JOIN wide ON axis.ts = wide.ts),
+c AS (SELECT *, {', '.join(f'{x} AS {c}' for c, x in CYCLES.items())} FROM g),
+l AS (SELECT *, {lag_sql}, CASE WHEN count(load) {six} = 6 THEN avg(load) {six} END AS load_roll_mean_6,
+    CASE WHEN count(load) {day} = 24 THEN stddev_samp(load) {day} END AS load_roll_std_24 FROM c WINDOW w AS (ORDER BY ts))
+SELECT ts, is_holiday, {shown([*names, 'load_roll_mean_6', 'load_roll_std_24'])} FROM l WHERE load_lag_168 IS NOT NULL"""
+
+
 DAYS_SQL = ", ".join(f"DATE '{d}'" for d in HOLIDAYS)
 PASSES = "mean, sqrt(((naive1 - mean) ** 2 + (naive24 - mean) ** 2 + (roll24 - mean) ** 2) / 3) AS epistemic"
 
@@ -318,6 +335,7 @@ SELECT {TYPED}, 336 AS n_encoder, 192 AS n_decoder, 24 AS n_target, {r('decoder_
     CAST(0 AS DOUBLE) AS decoder_pad, {shown(['encoder_total', 'target_first', 'target_total'])} FROM w WHERE ne = 336 AND nt = 24""",
     "window_counts": f"""WITH {hourly('user_id')}, c AS (SELECT user_id, count(*) AS n FROM dense GROUP BY 1)
 SELECT user_id, n AS n_rows, greatest(n - 336, 0) AS n_sequences, greatest(n - 360 + 1, 0) AS n_encdec, greatest(n - 360, 0) // 32 AS batch_steps FROM c""",
+    "processed_features": processed(),
     "chrono_split": f"WITH {hourly()}, {splits('dense', 'sp')} SELECT {TYPED}, position, n_rows, split, split_position FROM sp",
     "recent_slice": f"""WITH {hourly()}, {COARSE.format(source='dense')}, {splits('coarse', 'sp')}
 SELECT {TYPED}, {r('y')} AS y FROM sp WHERE position < c1 AND position >= greatest(0, c1 - 100)""",

@@ -29,6 +29,7 @@ from seriesloom.operators import (
 from seriesloom.operators.chunks import grid_window, with_position
 from seriesloom.plans import panels
 from seriesloom.plans.panels import MODELS, TYPES, USERS
+from seriesloom.plans.preprocess import feature_rows, spread_places
 from seriesloom.session import scratch_path, use_utc
 from seriesloom.sources import files
 
@@ -313,6 +314,19 @@ def window_counts(spark, folder):
     return windows.window_counts(panels.hourly_dense(spark, folder, USERS), USERS, 336, 24, 32)
 
 
+@query
+def processed_features(spark, folder):
+    """Raw tables to features: purchases are the priced series, all event types the places."""
+    means = panels.hourly_mean(spark, folder)
+    main = means.where(F.col("event_type") == "purchase").select("ts", F.col("y").alias("price"), F.col("n").cast("double").alias("load"))
+    padded = means.withColumn("event_type", F.concat(F.lit(" "), "event_type"))
+    copies = padded.withColumn("_line", F.explode(F.array(F.lit(1), F.lit(2)))).withColumn("y", F.col("y") * F.col("_line"))
+    wide = spread_places(copies.drop("n"), "event_type", ["_line"], places=EVENT_TYPES)
+    rows = feature_rows(main, wide, _calendar(spark), target="load", lagged=("price", "load"))
+    measured = [c for c in rows.columns if c not in ("ts", "is_holiday") and "_roll_" not in c]
+    return _out(rows, ["ts", "is_holiday"], [*measured, "load_roll_mean_6", "load_roll_std_24"])
+
+
 # --- splits, scaling, imputation ------------------------------------------------------------
 
 
