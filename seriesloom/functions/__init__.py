@@ -6,6 +6,7 @@ from seriesloom.functions.columns import (
     first_at_max,
     first_at_min,
     hash_unit,
+    pearson,
     python_strip,
     ratio,
     rounded,
@@ -19,6 +20,7 @@ __all__ = [
     "first_at_max",
     "first_at_min",
     "hash_unit",
+    "pearson",
     "python_strip",
     "ratio",
     "rounded",

@@ -33,6 +33,13 @@ def ratio(a: str | Column, b: str | Column) -> Column:
     return F.try_divide(as_col(a), as_col(b))
 
 
+def pearson(a: str | Column, b: str | Column) -> Column:
+    """Correlation of two columns, NULL where one of them does not vary (``corr`` fails there)."""
+    a, b = as_col(a), as_col(b)
+    spread = F.sqrt(F.regr_sxx(a, b)) * F.sqrt(F.regr_syy(a, b))
+    return F.regr_sxy(a, b) / F.when(spread > 0, spread)
+
+
 def blank_nan(c: str | Column) -> Column:
     """NaN to NULL: aggregates then skip the value."""
     x = as_col(c)

@@ -9,6 +9,7 @@ from datetime import timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seriesloom.functions.columns import pearson
 from seriesloom.operators.chunks import HOUR, bounded_window, grid_window, join_per_key, with_position
 from seriesloom.operators.features import full_frame
 
@@ -89,7 +90,7 @@ def autocorrelation(
 
     rows = grid_window(df.select(*keys, ts, column), keys, ts, step, max_lag, 0, build, chunk_steps)
     cells = [
-        F.struct(F.lit(k).alias("lag"), F.corr(column, f"_lag{k}").alias("r")) for k in range(1, max_lag + 1)
+        F.struct(F.lit(k).alias("lag"), pearson(column, f"_lag{k}").alias("r")) for k in range(1, max_lag + 1)
     ]
     return rows.groupBy(*keys).agg(F.array(*cells).alias("acf"))
 

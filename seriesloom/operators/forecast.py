@@ -9,7 +9,7 @@ from datetime import timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.functions.columns import epoch_seconds, hash_unit
+from seriesloom.functions.columns import epoch_seconds, hash_unit, pearson
 from seriesloom.operators.chunks import HOUR, grid_window, join_per_key, with_position
 from seriesloom.operators.quantiles import exact_quantiles, quantile_curve
 from seriesloom.operators.reshape import assemble_predictions
@@ -150,11 +150,11 @@ def stationarity_stat(
     ).withColumn("_change", F.col(column) - F.col("_before"))
     fits = rows.groupBy(*keys).agg(
         F.regr_count("_change", "_before").alias("n"),
-        F.regr_slope("_change", "_before").alias("slope"),
         F.regr_sxx("_change", "_before").alias("_sxx"),
         F.regr_syy("_change", "_before").alias("_syy"),
         F.regr_sxy("_change", "_before").alias("_sxy"),
     )
+    fits = fits.withColumn("slope", F.col("_sxy") / F.when(F.col("_sxx") > 0, F.col("_sxx")))
     left = F.col("_syy") - F.col("_sxy") * F.col("_sxy") / F.when(F.col("_sxx") > 0, F.col("_sxx"))
     error = F.sqrt(left / F.when(F.col("n") > 2, F.col("n") - 2) / F.when(F.col("_sxx") > 0, F.col("_sxx")))
     return fits.select(*keys, "n", "slope", (F.col("slope") / F.when(error > 0, error)).alias("t_stat"))
@@ -164,7 +164,7 @@ def rank_features(
     df: DataFrame, features: Sequence[str], target: str, n: int = 10, by: Sequence[str] = ()
 ) -> DataFrame:
     """The ``n`` features with the largest absolute correlation with the target; ties by name."""
-    wide = df.groupBy(*by).agg(*[F.abs(F.corr(f, target)).alias(f) for f in features])
+    wide = df.groupBy(*by).agg(*[F.abs(pearson(f, target)).alias(f) for f in features])
     entries = F.array(*[F.struct((-F.coalesce(F.col(f), F.lit(0.0))).alias("order"), F.lit(f).alias("feature")) for f in features])
     return wide.select(*by, F.posexplode(F.slice(F.sort_array(entries), 1, n)).alias("rank", "_c")).select(
         *by,

@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.functions.columns import ratio
+from seriesloom.functions.columns import pearson, ratio
 from seriesloom.operators.chunks import join_per_key
 from seriesloom.operators.quantiles import QUARTILES, exact_quantiles
 
@@ -53,7 +53,7 @@ def error_corr(residuals: DataFrame, models: Sequence[str], by: Sequence[str] =
     The sums for all pairs come from one aggregate over the rows.
     """
     pairs = list(combinations(models, 2))
-    wide = residuals.groupBy(*by).agg(*[F.corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
+    wide = residuals.groupBy(*by).agg(*[pearson(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
     cells = [F.struct(F.lit(m).alias("a"), F.lit(m).alias("b"), F.lit(1.0).alias("r")) for m in models]
     for i, (a, b) in enumerate(pairs):
         cells += [

@@ -31,7 +31,8 @@ def evaluate(
     pnl = strategy.daily_pnl(results, keys, actual, strategies, ts)
     long_pnl = strategy.pnl_long(pnl, keys, list(strategies))
     errors = reshape.residuals_long(results, ids, actual, models)
-    volatile = profile.volatility_rows(results, keys, actual, ts=ts)
+    flat = results.drop(*(samples or {}).values())
+    volatile = profile.volatility_rows(flat, keys, actual, ts=ts)
     return {
         "point_metrics": points,
         "interval_metrics": interval_table(results, actual, bands, keys, samples or {}),
@@ -41,7 +42,7 @@ def evaluate(
         "error_correlation": metrics.error_corr(reshape.residuals(results, actual, models), models, keys),
         "calibration": intervals.calibration(results, actual, bands, keys),
         "volatile_week": profile.volatile_week(volatile, keys, ts=ts),
-        "results": volatile.drop(*(samples or {}).values()),
+        "results": volatile,
     }
 
 
