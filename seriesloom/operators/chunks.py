@@ -95,6 +95,17 @@ def _bucket(ts: str, step: timedelta, chunk_steps: int | None) -> Column:
     return F.floor(epoch_seconds(ts) / F.lit(seconds(step) * (chunk_steps or CHUNK_STEPS)))
 
 
+def known(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows that belong to a series: those with all of ``columns``.
+
+    An inner or outer join only lets Spark add this rule to one side. Said for both, the branches
+    of a later self-join stay equal, and Spark runs what they share once.
+    """
+    for c in columns:
+        df = df.where(F.col(c).isNotNull())
+    return df
+
+
 def with_position(
     df: DataFrame,
     keys: Sequence[str],
@@ -110,10 +121,12 @@ def with_position(
     added from a table with one row per bucket. The ``_chunk`` left by ``bounded_window`` serves
     as the bucket when it is there.
     """
+    rows = known(df, [*keys, ts])
     if "_chunk" in df.columns:
-        rows = df.withColumnRenamed("_chunk", "_bucket")
+        rows = rows.withColumnRenamed("_chunk", "_bucket")
     else:
-        rows = df.withColumn("_bucket", _bucket(ts, step, chunk_steps))
+        rows = rows.withColumn("_bucket", _bucket(ts, step, chunk_steps))
+    rows = rows.where(F.col("_bucket").isNotNull())
     by_key = Window.partitionBy(*keys)
     earlier = by_key.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     sizes = (
@@ -146,9 +159,8 @@ def running_totals(
 ) -> DataFrame:
     """Cumulative sum of ``value`` and the running maximum of that sum."""
     inside = Window.partitionBy(*keys, "_bucket").orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)
-    rows = df.withColumn("_bucket", _bucket(ts, step, chunk_steps)).withColumn(
-        "_sum", F.sum(value).over(inside)
-    )
+    rows = known(df, [*keys, ts]).withColumn("_bucket", _bucket(ts, step, chunk_steps))
+    rows = rows.where(F.col("_bucket").isNotNull()).withColumn("_sum", F.sum(value).over(inside))
     earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     carry = (
         rows.groupBy(*keys, "_bucket")
@@ -178,7 +190,8 @@ def fill_gaps(
     chunk_steps: int | None = None,
 ) -> DataFrame:
     """Carry the last known value forward; with ``head`` the leading gap takes the first value."""
-    rows = df.withColumn("_bucket", _bucket(ts, step, chunk_steps))
+    rows = known(df, [*keys, ts]).withColumn("_bucket", _bucket(ts, step, chunk_steps))
+    rows = rows.where(F.col("_bucket").isNotNull())
     earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(
         Window.unboundedPreceding, Window.unboundedFollowing
@@ -218,11 +231,13 @@ def join_per_key(
 
     Both sides carry a salt taken from ``spread``, so the rows of one large series meet their
     copy of the table in ``salts`` places. Spark broadcasts the table itself when it is small.
+    Rows without a key belong to no series and are left out.
     """
     parts = [as_col(c) for c in ([spread] if isinstance(spread, (str, Column)) else spread)]
     salted = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return (
-        df.withColumn("_salt", F.pmod(F.xxhash64(*parts), F.lit(salts)).cast("int"))
+        known(df, keys)
+        .withColumn("_salt", F.pmod(F.xxhash64(*parts), F.lit(salts)).cast("int"))
         .join(salted, [*keys, "_salt"], how)
         .drop("_salt")
     )

@@ -8,7 +8,7 @@ from datetime import timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.operators.chunks import CHUNK_STEPS, HOUR, fill_gaps, seconds
+from seriesloom.operators.chunks import CHUNK_STEPS, HOUR, fill_gaps, join_per_key, known, seconds
 
 
 def _interval(n: Column, unit_seconds: int) -> Column:
@@ -20,14 +20,20 @@ def _interval(n: Column, unit_seconds: int) -> Column:
     )
 
 
-def grid_of(df: DataFrame, keys: Sequence[str], ts: str = "ts", step: timedelta = HOUR) -> DataFrame:
+def grid_of(
+    df: DataFrame, keys: Sequence[str], ts: str = "ts", step: timedelta = HOUR, shared: Sequence[str] = ()
+) -> DataFrame:
     """Every step from the first to the last time of each series, counted from its first time.
 
     Expanded in two moves (chunks, spread out, then steps), so that no row carries the whole
-    time axis of a long series.
+    time axis of a long series. ``shared`` names the columns another branch of the plan reads from
+    ``df``: reading them here too makes both branches the same, so the scan and the shuffle under
+    them run once.
     """
     unit = seconds(step)
-    span = df.groupBy(*keys).agg(F.min(ts).alias("_lo"), F.max(ts).alias("_hi"))
+    touched = F.max(F.hash(*shared)) if shared else F.lit(0)
+    span = df.groupBy(*keys).agg(F.min(ts).alias("_lo"), F.max(ts).alias("_hi"), touched.alias("_touched"))
+    span = span.where(F.col("_touched").isNotNull())
     lo, hi = (F.unix_seconds(F.col(c).cast("timestamp")) for c in ("_lo", "_hi"))
     steps = F.floor((hi - lo) / F.lit(unit))
     chunks = span.withColumn("_steps", steps).withColumn(
@@ -52,7 +58,8 @@ def to_grid(
     """
     values = [c for c in df.columns if c not in keys and c != ts]
     checked = df if unique else _one_per_time(df, keys, ts, values)
-    return grid_of(df, keys, ts, step).join(checked, [*keys, ts], "left").select(*df.columns)
+    axis = grid_of(known(df, [*keys, ts]), keys, ts, step, values)
+    return axis.join(checked, [*keys, ts], "left").select(*df.columns)
 
 
 def _one_per_time(df: DataFrame, keys: Sequence[str], ts: str, values: Sequence[str]) -> DataFrame:
@@ -93,7 +100,11 @@ def asof_fill(
     known = values.select(*keys, ts, *columns)
     merged = wanted.join(known, [*keys, ts], "full_outer")
     forward = fill_gaps(merged, keys, ts, columns, step, head=False).where("_wanted").drop("_wanted")
-    return fill_gaps(forward, keys, ts, columns, step, head=True)
+    heads = forward.groupBy(*keys).agg(
+        *[F.min_by(c, F.when(F.col(c).isNotNull(), F.col(ts))).alias(f"_head_{c}") for c in columns]
+    )
+    filled = {c: F.coalesce(F.col(c), F.col(f"_head_{c}")) for c in columns}
+    return join_per_key(forward, heads, keys, ts).withColumns(filled).select(*forward.columns)
 
 
 def upsample(

@@ -88,6 +88,7 @@ def fit_stack(
         df.withColumns({s: F.col(c) for s, c in names.items()}), bounds, keys, list(names), y, ts
     )
     base = [f"_s_{m}" for m in models]
+    shrunk = cut_lineage(shrunk)
     assembler = VectorAssembler(inputCols=base, outputCol="_x", handleInvalid="skip")
     learner = LinearRegression(
         featuresCol="_x", labelCol=f"_s_{y}", predictionCol="stack", regParam=RIDGE, solver="normal"

@@ -50,22 +50,25 @@ def dataset_profile(df: DataFrame, ts: str = "ts", by: Sequence[str] = ()) -> Da
 
 
 def volatility_rows(
-    df: DataFrame, keys: Sequence[str], column: str, rows: int = WEEK_ROWS, ts: str = "ts", step: timedelta = HOUR
+    df: DataFrame, keys: Sequence[str], column: str, rows: int = WEEK_ROWS, ts: str = "ts", step: timedelta = HOUR,
+    chunk_steps: int | None = None,
 ) -> DataFrame:
     """Deviation of the current and the ``rows - 1`` earlier rows, NULL until all have a value."""
 
     def build(spec):
         return {"volatility": full_frame(spec, column, 1 - rows, 0, F.stddev_samp)}
 
-    return grid_window(df, keys, ts, step, rows - 1, 0, build)
+    return grid_window(df, keys, ts, step, rows - 1, 0, build, chunk_steps)
 
 
 def volatility_time(
-    df: DataFrame, keys: Sequence[str], column: str, days: int = 7, ts: str = "ts", step: timedelta = HOUR
+    df: DataFrame, keys: Sequence[str], column: str, days: int = 7, ts: str = "ts", step: timedelta = HOUR,
+    chunk_steps: int | None = None,
 ) -> DataFrame:
     """Deviation of the values in the ``days`` up to each time, the far end left out.
 
-    Needs two values; the series may have gaps.
+    Needs two values; the series may have gaps. ``step`` only sets the unit of ``chunk_steps``:
+    choose it near the spacing of the rows.
     """
     reach = days * 86_400_000_000 - 1
 
@@ -74,7 +77,7 @@ def volatility_time(
         return {"volatility": F.stddev_samp(column).over(frame)}
 
     steps = int(timedelta(days=days) / step) + 1
-    return bounded_window(df, keys, ts, slot(ts, step), steps, 0, build)
+    return bounded_window(df, keys, ts, slot(ts, step), steps, 0, build, chunk_steps)
 
 
 def argmax_time(df: DataFrame, keys: Sequence[str], column: str, ts: str = "ts", out: str = "peak") -> DataFrame:

@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seriesloom.operators.chunks import join_per_key
+from seriesloom.operators.chunks import join_per_key, known
 
 QUARTILES = {"min": 0.0, "p25": 0.25, "p50": 0.5, "p75": 0.75, "max": 1.0}
 RANGES = 64
@@ -21,9 +21,10 @@ RANGES = 64
 def quantile_map(
     df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float], n: str = "n"
 ) -> DataFrame:
-    """(keys, n, _at): a map from each wanted share to its quantile, NULL values left out."""
+    """(keys, n, _at): a map from each wanted share to its quantile. NULL values and groups with a
+    NULL key are left out."""
     counts = (
-        df.where(F.col(value).isNotNull())
+        known(df, [*keys, value])
         .groupBy(*keys, F.col(value).cast("double").alias("_x"))
         .agg(F.count(F.lit(1)).alias("_n"))
     )
@@ -33,6 +34,7 @@ def quantile_map(
     ranged = join_per_key(counts, cuts, keys, "_x").select(
         *keys, "_x", "_n", F.size(F.filter("_cuts", lambda c: c < F.col("_x"))).alias("_range")
     )
+    ranged = known(ranged, ["_range"])
     by_key = Window.partitionBy(*keys)
     below = by_key.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
