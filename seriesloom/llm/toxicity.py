@@ -7,11 +7,13 @@ risk of a linear scorer g is
 
 the second term being what negatives alone would cost, held at 0 or more; where it falls below 0 the
 step goes the other way, so that the scorer doesn't learn single texts by heart. The loss l is the
-logistic one, so that the sigmoid of g is a probability. An L1 penalty by proximal steps leaves few
-words with weight: long texts don't gather noise.
+logistic one, so that the sigmoid of g is a probability. Unlabelled texts are drawn from all texts,
+known positives too, as the estimate asks for. Words whose share among the positives hardly differs
+from that among the unlabelled (under LEAST_Z standard errors) get no weight, and an L1 penalty takes
+it from more: long texts don't gather noise.
 
-Several scorers are trained, each in one task on its own bounded sample: up to ``positives`` positives
-and ``unlabelled`` unlabelled texts, dealt by a hash of the id. Their weights, 2**BITS numbers each,
+Several scorers are trained, each in one task on its own bounded sample: up to POSITIVES positives
+and UNLABELLED unlabelled texts, drawn by a hash of the id. Their weights, 2**BITS numbers each,
 are sent to the scoring tasks. All texts are scored whole.
 
 Texts count as the set of their hashed words, ASCII punctuation parting words.
@@ -29,6 +31,7 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,10 +43,11 @@ SCORERS = 4
 POSITIVES = 3000
 UNLABELLED = 6000
 SAMPLE_BYTES = 8000  # longer sample texts are left to the scoring
-PENALTY = 4e-4
-STEPS = 150
+LEAST_Z = 4.0
+LEAST_TEXTS = 5
+PENALTY = 1e-4
+STEPS = 200
 RATE = 0.3
-BALANCE = 0.0
 THRESHOLD = 0.3
 
 WEIGHTS = "scorer int, intercept double, weights binary"
@@ -67,21 +71,36 @@ def features(texts: pa.Array, bits: int = BITS) -> Sparse:
     return Sparse(np.concatenate(rows or [none]), np.concatenate(buckets or [none]), len(texts))
 
 
+def _telling(x: Sparse, positive: np.ndarray, size: int) -> np.ndarray:
+    """The buckets whose share among positives differs from that among the others."""
+    n_pos, n_unl = positive.sum(), (~positive).sum()
+    with_pos = np.bincount(x.bucket, positive[x.row], size)
+    with_unl = np.bincount(x.bucket, ~positive[x.row], size)
+    usual = (with_unl + 1) / (n_unl + 2)
+    z = (with_pos / n_pos - usual) / np.sqrt(usual * (1 - usual) / n_pos)
+    enough = (with_pos + with_unl >= LEAST_TEXTS) & ((with_pos >= 0.01 * n_pos) | (z < 0))
+    return enough & (np.abs(z) >= LEAST_Z)
+
+
 def fit(x: Sparse, positive: np.ndarray, prior: float, bits: int = BITS, steps: int = STEPS) -> tuple[float, np.ndarray]:
     """Intercept and weights that lower the non-negative risk."""
-    weights, scale = np.zeros(1 << bits), np.full(1 << bits, 1e-8)
-    start = intercept = float(np.log(prior / (1 - prior)))
-    intercept_scale = 1e-8
+    known = np.flatnonzero(_telling(x, positive, 1 << bits))
+    place = np.full(1 << bits, -1)
+    place[known] = np.arange(len(known))
+    at = place[x.bucket]
+    row, word = x.row[at >= 0], at[at >= 0]
+    weights, scale = np.zeros(len(known)), np.full(len(known), 1e-8)
+    intercept, intercept_scale = float(np.log(prior / (1 - prior))), 1e-8
     n_pos, n_unl = positive.sum(), (~positive).sum()
     for _ in range(steps):
-        g = np.bincount(x.row, weights[x.bucket], x.rows) + intercept
+        g = np.bincount(row, weights[word], x.rows) + intercept
         up = 1 / (1 + np.exp(-np.clip(g, -30, 30)))
-        loss_minus = np.logaddexp(0, g)
-        negative = loss_minus[~positive].mean() - prior * loss_minus[positive].mean()
+        if_negative = np.logaddexp(0, g)
+        negative = if_negative[~positive].mean() - prior * if_negative[positive].mean()
         slope_pos = np.where(positive, -prior * (1 - up) / n_pos, 0.0)
         slope_neg = np.where(positive, -prior * up / n_pos, up / n_unl)
-        slope = slope_pos + slope_neg if negative >= BALANCE else -slope_neg
-        gradient = np.bincount(x.bucket, slope[x.row], len(weights))
+        slope = slope_pos + slope_neg if negative >= 0 else -slope_neg
+        gradient = np.bincount(word, slope[row], len(weights))
         scale += gradient * gradient
         rate = RATE / np.sqrt(scale)
         weights -= rate * gradient
@@ -89,18 +108,21 @@ def fit(x: Sparse, positive: np.ndarray, prior: float, bits: int = BITS, steps:
         down = slope.sum()
         intercept_scale += down * down
         intercept -= RATE / np.sqrt(intercept_scale) * down
-    return float(np.clip(intercept, start - 8, start + 8)), weights
+    out = np.zeros(1 << bits)
+    out[known] = weights
+    return float(intercept), out
 
 
 def _train(prior: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["positive", "order", "text"])
+        rows = rows.sort_values(["order", "text"])
+        rows = pd.concat([rows[rows["positive"]].head(POSITIVES), rows[~rows["positive"]].head(UNLABELLED)])
         positive = rows["positive"].to_numpy(bool)
-        scorer = int(rows["scorer"].iloc[0])
         if positive.all() or not positive.any():
             return pd.DataFrame({"scorer": [], "intercept": [], "weights": []})
         intercept, weights = fit(features(pa.array(rows["text"], pa.large_string())), positive, prior)
-        return pd.DataFrame({"scorer": [scorer], "intercept": [intercept], "weights": [weights.astype("<f4").tobytes()]})
+        found = {"scorer": [int(rows["scorer"].iloc[0])], "intercept": [intercept], "weights": [weights.astype("<f4").tobytes()]}
+        return pd.DataFrame(found)
 
     return run
 
@@ -109,6 +131,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column) -> list[tuple[float
     """Scorers from the rows of ``docs`` and ``labels`` for which ``learn``, a condition on doc_id, holds.
 
     The class prior is the share of toxic labels there. At most SCORERS rows come back, of fixed size.
+    Texts over SAMPLE_BYTES are not learnt from (they are scored).
     """
     known = labels.where(learn & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     prior = known.agg(F.avg(F.col("toxic").cast("double"))).first()[0]
@@ -116,44 +139,33 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column) -> list[tuple[float
         return [(0.0 if prior is None else -20.0 if not prior else 20.0, np.zeros(1 << BITS, np.float32))]
     fits = F.octet_length("text") <= SAMPLE_BYTES
     usable = docs.where(learn & F.col("doc_id").isNotNull() & fits).select("doc_id", "text")
-    toxic = stage(known.where("toxic = 1").select("doc_id", F.lit(True).alias("positive")), "toxic-ids")
-    n_toxic = max(1, toxic.count())
-    order = F.xxhash64(F.lit("sample"), "doc_id")
-    # The unlabelled are thinned by hash first, so that few texts move: about twice as many as wanted.
-    total = max(1, usable.count())
-    unit = F.pmod(order, F.lit(1 << 20)) / F.lit(float(1 << 20))
-    marked = usable.join(toxic, "doc_id", "left").withColumn("positive", F.coalesce("positive", F.lit(False)))
-    share = F.when(F.col("positive"), F.lit(2.0 * SCORERS * POSITIVES / n_toxic)).otherwise(F.lit(2.0 * SCORERS * UNLABELLED / total))
-    thin = marked.where(unit < share).withColumn("order", order)
-    thin = thin.withColumn("scorer", F.pmod(F.xxhash64(F.lit("scorer"), "doc_id"), F.lit(SCORERS)).cast("int"))
-    found = thin.groupBy("scorer").applyInPandas(_bounded(_train(float(prior))), WEIGHTS).collect()
+    toxic = stage(known.where("toxic = 1").select("doc_id", F.lit(True).alias("toxic")), "toxic-ids")
+    n_toxic, total = max(1, toxic.count()), max(1, usable.count())
+    # Thinned by hash first, so that few texts move: about twice as many as wanted.
+    chance = lambda name: F.pmod(F.xxhash64(F.lit(name), "doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    marked = usable.join(toxic, "doc_id", "left")
+    every = F.array(*[F.lit(k) for k in range(SCORERS)])
+    of_toxic = F.when(F.col("toxic") & (chance("positive") < 2.0 * POSITIVES / n_toxic), every).otherwise(F.array().cast("array<int>"))
+    one = F.array(F.pmod(F.xxhash64(F.lit("scorer"), "doc_id"), F.lit(SCORERS)).cast("int"))
+    of_all = F.when(chance("unlabelled") < 2.0 * SCORERS * UNLABELLED / total, one).otherwise(F.array().cast("array<int>"))
+    roles = lambda ids, positive: F.transform(ids, lambda k: F.struct(k.alias("scorer"), F.lit(positive).alias("positive")))
+    thin = marked.select("doc_id", "text", F.explode(F.concat(roles(of_toxic, True), roles(of_all, False))).alias("role"))
+    thin = thin.select("text", "role.*", F.xxhash64("role.scorer", "doc_id").alias("order"))
+    found = thin.groupBy("scorer").applyInPandas(_train(float(prior)), WEIGHTS).collect()
     scorers = [(r["intercept"], np.frombuffer(r["weights"], "<f4")) for r in sorted(found)]
     return scorers or [(float(np.log(prior / (1 - prior))), np.zeros(1 << BITS, np.float32))]
 
 
-def _bounded(run: Callable[[pd.DataFrame], pd.DataFrame]) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """Keep the first POSITIVES positives and UNLABELLED others of a scorer's sample, by hash order."""
-
-    def bounded(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["order", "text"])
-        kept = [rows[rows["positive"]].head(POSITIVES), rows[~rows["positive"]].head(UNLABELLED)]
-        return run(pd.concat(kept))
-
-    return bounded
-
-
-def _apply(path_of: object) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _apply(sent: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorers = path_of.value
+        scorers = sent.value
         for batch in batches:
             x = features(batch.column("text"))
             total = np.zeros(x.rows)
             for intercept, weights in scorers:
                 g = np.bincount(x.row, weights[x.bucket], x.rows) + intercept
                 total += 1 / (1 + np.exp(-np.clip(g, -30, 30)))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(total / len(scorers))], ["doc_id", "score"]
-            )
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(total / len(scorers))], ["doc_id", "score"])
 
     return run
 
