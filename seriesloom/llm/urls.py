@@ -97,8 +97,7 @@ def _resolved(link: Column, base: Column) -> Column:
     plain = F.regexp_replace(base, r"(?s)[?#].*$", "")
     folder = F.when(F.length(plain) > F.length(site), F.regexp_extract(plain, r"(?s)^(.*/)", 1)).otherwise(F.concat(site, F.lit("/")))
     return (
-        F.when(link == "", None)
-        .when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://"), link)
+        F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://"), link)
         .when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), None)
         .when(link.startswith("//"), F.concat(scheme, link))
         .when(link.startswith("/"), F.concat(site, link))
@@ -113,7 +112,8 @@ def link_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     bare = F.regexp_replace(F.col(html), r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>", " ")
     tags = F.regexp_extract_all(bare, F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0))
     likely = pages.where(F.col(html).rlike(r"(?i)canonical|http-equiv") & F.col(url).isNotNull())
-    each = likely.select(F.col(url).alias("page"), F.explode(tags).alias("tag"))
+    # Few pages have such tags; written, they make short plans instead of one very long expression.
+    each = stage(likely.select(F.col(url).alias("page"), F.explode(tags).alias("tag")), "link-tags")
     canonical = F.when(
         F.col("tag").rlike(r"(?i)^<link\b") & lower(_attribute(F.col("tag"), "rel")).rlike(r"(^|\s)canonical(\s|$)"),
         _attribute(F.col("tag"), "href"),
@@ -122,8 +122,9 @@ def link_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
         F.col("tag").rlike(r"(?i)^<meta\b") & (lower(_attribute(F.col("tag"), "http-equiv")) == "refresh"),
         F.regexp_extract(_attribute(F.col("tag"), "content"), r"(?is)^[\s\d.]*[;,]\s*url\s*=\s*[\"']?([^\"']+)", 1),
     )
-    links = each.select("page", F.coalesce(canonical, refresh).alias("link")).where("link is not null")
-    edges = links.select(node_of(F.col("page")).alias("a"), node_of(_resolved(F.trim("link"), F.col("page"))).alias("b"))
+    links = stage(each.select("page", F.trim(F.coalesce(canonical, refresh)).alias("link")), "links")
+    links = links.where("link is not null and link <> ''")
+    edges = links.select(node_of(F.col("page")).alias("a"), node_of(_resolved(F.col("link"), F.col("page"))).alias("b"))
     return edges.where("a is not null and b is not null and a <> b").distinct()
 
 
