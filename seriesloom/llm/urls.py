@@ -80,9 +80,8 @@ def match(urls: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
 
 def node_of(url: Column) -> Column:
     """The url as a node: without fragment, scheme and host in lower case; NULL if it is no url."""
-    plain = F.regexp_replace(F.trim(url), r"(?s)#.*$", "")
-    head = lower(F.regexp_extract(plain, r"^[^:/?#]+://[^/?#]*", 0))
-    return F.when(head != "", F.concat(head, F.substring(plain, F.length(head) + 1, F.length(plain))))
+    parts = lambda k: F.regexp_extract(F.trim(url), r"(?s)^([^:/?#]+://[^/?#]*)([^#]*)", k)
+    return F.concat(F.nullif(lower(parts(1)), F.lit("")), parts(2))
 
 
 def _attribute(tag: Column, name: str) -> Column:
@@ -91,20 +90,18 @@ def _attribute(tag: Column, name: str) -> Column:
 
 
 def _resolved(link: Column, base: Column) -> Column:
-    """A link as an absolute url."""
-    scheme = F.regexp_extract(base, r"^([^:/?#]+:)//", 1)
-    site = F.regexp_extract(base, r"^[^:/?#]+://[^/?#]*", 0)
+    """A link as an absolute url; NULL if it leads to no page of its own."""
     plain = F.regexp_replace(base, r"(?s)[?#].*$", "")
-    folder = F.when(F.length(plain) > F.length(site), F.regexp_extract(plain, r"(?s)^(.*/)", 1)).otherwise(F.concat(site, F.lit("/")))
-    return (
-        F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://"), link)
-        .when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), None)
-        .when(link.startswith("//"), F.concat(scheme, link))
-        .when(link.startswith("/"), F.concat(site, link))
-        .when(link.startswith("?"), F.concat(plain, link))
-        .when(link.startswith("#"), None)
-        .otherwise(F.concat(folder, link))
+    folder = F.regexp_extract(plain, r"(?s)^([^:/?#]+://[^/]*/(?:.*/)?)", 1)
+    before = (
+        F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://"), "")
+        .when(link.rlike(r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:|#)"), None)
+        .when(link.startswith("//"), F.regexp_extract(base, r"^([^:/?#]+:)//", 1))
+        .when(link.startswith("/"), F.regexp_extract(base, r"^[^:/?#]+://[^/?#]*", 0))
+        .when(link.startswith("?"), plain)
+        .otherwise(F.coalesce(F.nullif(folder, F.lit("")), F.concat(plain, F.lit("/"))))
     )
+    return F.concat(before, link)
 
 
 def link_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
@@ -125,7 +122,7 @@ def link_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     links = stage(each.select("page", F.trim(F.coalesce(canonical, refresh)).alias("link")), "links")
     links = links.where("link is not null and link <> ''")
     edges = links.select(node_of(F.col("page")).alias("a"), node_of(_resolved(F.col("link"), F.col("page"))).alias("b"))
-    return edges.where("a is not null and b is not null and a <> b").distinct()
+    return stage(edges, "link-edges").where("a is not null and b is not null and a <> b").distinct()
 
 
 def judge(pages: DataFrame, rules: DataFrame, edges: DataFrame, url: str = "url") -> DataFrame:
@@ -134,7 +131,7 @@ def judge(pages: DataFrame, rules: DataFrame, edges: DataFrame, url: str = "url"
     ``edges``: (a, b) of urls, redirects and canonical links alike.
     """
     nodes = edges.select(node_of(F.col("a")).alias("a"), node_of(F.col("b")).alias("b")).where("a is not null and b is not null")
-    groups = components(stage(nodes, "links"), "a", "b")
+    groups = components(nodes, "a", "b")
     judged = match(groups.withColumnRenamed("node", "node_"), rules, "node_")
     flags = judged.groupBy("component").agg(
         F.coalesce(F.bool_or(F.col("rule_verdict") == "block"), F.lit(False)).alias("blocks_"),
