@@ -4,7 +4,9 @@ Three shapes cover every ordered operator:
 
 * ``bounded_window`` - a frame reaching a known number of steps back or ahead. A series is cut
   into chunks of consecutive steps, the rows near a border are copied into the neighbouring
-  chunk, and the window is partitioned by (series, chunk).
+  chunk, and the window is partitioned by (series, chunk). ``row_window`` counts rows, so it is
+  right for series with missing times; ``grid_window`` counts steps of a full grid, saves the
+  numbering, and fails on a gap.
 * ``with_position`` / ``running_totals`` / ``fill_gaps`` - prefixes. Each bucket is summarised,
   the summaries (one row per bucket) are accumulated per series, and the carry is joined back.
 * ``join_per_key`` - a per-series table met with the rows of the series, salted so that one
@@ -87,8 +89,39 @@ def grid_window(
     chunk_steps: int | None = None,
     keep_chunk: bool = False,
 ) -> DataFrame:
-    """``bounded_window`` over a series that has one row for every step of its grid."""
-    return bounded_window(df, keys, ts, slot(ts, step), before, after, build, chunk_steps, keep_chunk)
+    """``bounded_window`` over a series that has one row for every step of its grid.
+
+    A missing or repeated step is an error at run time; ``row_window`` takes such series.
+    """
+
+    def checked(spec: WindowSpec) -> dict[str, Column]:
+        last = F.lag("_step", 1).over(spec)
+        return build(spec) | {"_gap": F.coalesce(F.col("_step") - last != 1, F.lit(False))}
+
+    message = F.concat(F.lit("series is not on a full grid at "), F.col(ts).cast("string"))
+    whole = F.when(F.col("_gap"), F.raise_error(message).cast("boolean")).otherwise(F.lit(True))
+    out = bounded_window(df, keys, ts, slot(ts, step), before, after, checked, chunk_steps, keep_chunk)
+    return out.where(whole).drop("_gap")
+
+
+def row_window(
+    df: DataFrame,
+    keys: Sequence[str],
+    ts: str,
+    step: timedelta,
+    before: int,
+    after: int,
+    build: Callable[[WindowSpec], dict[str, Column]],
+    chunk_steps: int | None = None,
+) -> DataFrame:
+    """``bounded_window`` over rows in time order, whatever times are missing.
+
+    Rows are numbered first, and chunks are cut by row number, so a frame of ``before`` rows finds
+    them all. ``step`` only sets how much time one numbering task covers.
+    """
+    numbered = with_position(df, keys, ts, step, "_position", "_rows", chunk_steps)
+    out = bounded_window(numbered, keys, "_position", F.col("_position"), before, after, build, chunk_steps)
+    return out.drop("_position", "_rows")
 
 
 def _bucket(ts: str, step: timedelta, chunk_steps: int | None) -> Column:
@@ -231,13 +264,12 @@ def join_per_key(
 
     Both sides carry a salt taken from ``spread``, so the rows of one large series meet their
     copy of the table in ``salts`` places. Spark broadcasts the table itself when it is small.
-    Rows without a key belong to no series and are left out.
+    Rows with a NULL key find nothing: a left join keeps them, with NULLs.
     """
     parts = [as_col(c) for c in ([spread] if isinstance(spread, (str, Column)) else spread)]
     salted = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return (
-        known(df, keys)
-        .withColumn("_salt", F.pmod(F.xxhash64(*parts), F.lit(salts)).cast("int"))
+        df.withColumn("_salt", F.pmod(F.xxhash64(*parts), F.lit(salts)).cast("int"))
         .join(salted, [*keys, "_salt"], how)
         .drop("_salt")
     )

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriesloom.functions.columns import pearson
-from seriesloom.operators.chunks import HOUR, bounded_window, grid_window, join_per_key, with_position
+from seriesloom.operators.chunks import HOUR, bounded_window, join_per_key, row_window, with_position
 from seriesloom.operators.features import full_frame
 
 # Season of a daily series, and width of the short moving average.
@@ -72,7 +72,7 @@ def trend_split(
     def build(spec):
         return {"trend": F.avg(column).over(spec.rowsBetween(-back, ahead))}
 
-    out = grid_window(df, keys, ts, step, back, ahead, build, chunk_steps)
+    out = row_window(df, keys, ts, step, back, ahead, build, chunk_steps)
     return out.withColumn("seasonal", F.col(column) - F.col("trend"))
 
 
@@ -88,7 +88,7 @@ def autocorrelation(
     def build(spec):
         return {f"_lag{k}": F.lag(column, k).over(spec) for k in range(1, max_lag + 1)}
 
-    rows = grid_window(df.select(*keys, ts, column), keys, ts, step, max_lag, 0, build, chunk_steps)
+    rows = row_window(df.select(*keys, ts, column), keys, ts, step, max_lag, 0, build, chunk_steps)
     cells = [
         F.struct(F.lit(k).alias("lag"), pearson(column, f"_lag{k}").alias("r")) for k in range(1, max_lag + 1)
     ]
@@ -149,7 +149,7 @@ def delay_aggregate(
     def build(spec):
         return {f"_lag{k}": F.lag(column, k).over(spec) for k in range(1, max_lag + 1)}
 
-    rows = grid_window(df, keys, ts, step, max_lag, 0, build, chunk_steps)
+    rows = row_window(df, keys, ts, step, max_lag, 0, build, chunk_steps)
     rows = join_per_key(rows, by_lag, keys, ts)
     total: Column = F.lit(0.0)
     for k in range(1, max_lag + 1):
@@ -179,7 +179,7 @@ def difference(
     out: str = "diff",
     chunk_steps: int | None = None,
 ) -> DataFrame:
-    """Add the regular and seasonal difference of a gap-free series, NULL at its start."""
+    """Add the regular and seasonal difference by row position, NULL at its start."""
     weights = difference_weights(d, seasonal_d, m)
 
     def build(spec):
@@ -188,4 +188,4 @@ def difference(
             total = total + (F.col(column) if k == 0 else F.lag(column, k).over(spec)) * F.lit(float(w))
         return {out: total}
 
-    return grid_window(df, keys, ts, step, max(weights), 0, build, chunk_steps)
+    return row_window(df, keys, ts, step, max(weights), 0, build, chunk_steps)

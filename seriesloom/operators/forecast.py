@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.functions.columns import epoch_seconds, hash_unit, pearson
-from seriesloom.operators.chunks import HOUR, grid_window, join_per_key, with_position
+from seriesloom.operators.chunks import HOUR, join_per_key, row_window, with_position
 from seriesloom.operators.quantiles import exact_quantiles, quantile_curve
 from seriesloom.operators.reshape import assemble_predictions
 from seriesloom.operators.scale import inverse_target, minmax_fit, scale_target
@@ -142,11 +142,13 @@ def rescaled_blend(
 
 
 def stationarity_stat(
-    df: DataFrame, keys: Sequence[str], column: str, ts: str = "ts", step: timedelta = HOUR
+    df: DataFrame, keys: Sequence[str], column: str, ts: str = "ts", step: timedelta = HOUR,
+    chunk_steps: int | None = None,
 ) -> DataFrame:
     """(keys, n, slope, t_stat): Dickey-Fuller statistic without augmentation, with constant."""
-    rows = grid_window(
-        df.select(*keys, ts, column), keys, ts, step, 1, 0, lambda spec: {"_before": F.lag(column, 1).over(spec)}
+    rows = row_window(
+        df.select(*keys, ts, column), keys, ts, step, 1, 0,
+        lambda spec: {"_before": F.lag(column, 1).over(spec)}, chunk_steps,
     ).withColumn("_change", F.col(column) - F.col("_before"))
     fits = rows.groupBy(*keys).agg(
         F.regr_count("_change", "_before").alias("n"),

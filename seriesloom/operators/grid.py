@@ -57,8 +57,9 @@ def to_grid(
     from an aggregate over (keys, ts), to save the check.
     """
     values = [c for c in df.columns if c not in keys and c != ts]
+    df = known(df, [*keys, ts])
     checked = df if unique else _one_per_time(df, keys, ts, values)
-    axis = grid_of(known(df, [*keys, ts]), keys, ts, step, values)
+    axis = grid_of(df, keys, ts, step, values)
     return axis.join(checked, [*keys, ts], "left").select(*df.columns)
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seriesloom.operators.chunks import grid_window, join_per_key
+from seriesloom.operators.chunks import join_per_key, row_window
 from seriesloom.operators.decompose import difference_weights
 from seriesloom.operators.scale import inverse_target, minmax_fit, scale_target
 from seriesloom.session import cut_lineage
@@ -91,7 +91,7 @@ def fit_stack(
     shrunk = cut_lineage(shrunk)
     assembler = VectorAssembler(inputCols=base, outputCol="_x", handleInvalid="skip")
     learner = LinearRegression(
-        featuresCol="_x", labelCol=f"_s_{y}", predictionCol="stack", regParam=RIDGE, solver="normal"
+        featuresCol="_x", labelCol=f"_s_{y}", predictionCol="stack", regParam=RIDGE
     )
     known = shrunk.where(F.col(split) == "validation").dropna(subset=[*base, f"_s_{y}"])
     fitted = learner.fit(assembler.transform(known))
@@ -113,7 +113,7 @@ def fit_window(
     for h in steps:
         label = F.get("_t", F.lit(h - 1)) if many else F.col("_t")
         learner = LinearRegression(
-            featuresCol="_x", labelCol="_y", predictionCol="y_pred", regParam=RIDGE, solver="normal"
+            featuresCol="_x", labelCol="_y", predictionCol="y_pred", regParam=RIDGE
         )
         out[h] = PipelineModel([learner.fit(rows.withColumn("_y", label))])
     return out
@@ -225,8 +225,8 @@ def _ar_rows(df, keys, column, d, seasonal_d, m, exog, max_order, ts, step) -> D
         return out | {"_season": F.lag("_w", m).over(spec)}
 
     narrow = df.select(*keys, ts, column, *exog)
-    base = grid_window(narrow, keys, ts, step, reach, 0, diff).withColumn("_w", F.col(column) - F.col("_base"))
-    return grid_window(base, keys, ts, step, max(m, max_order), 0, lagged)
+    base = row_window(narrow, keys, ts, step, reach, 0, diff).withColumn("_w", F.col(column) - F.col("_base"))
+    return row_window(base, keys, ts, step, max(m, max_order), 0, lagged)
 
 
 def score_seasonal_ar(

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.functions.columns import first_at_max
-from seriesloom.operators.chunks import HOUR, bounded_window, grid_window, join_per_key, slot
+from seriesloom.operators.chunks import HOUR, bounded_window, join_per_key, row_window, slot
 from seriesloom.operators.features import full_frame
 from seriesloom.operators.quantiles import QUARTILES, exact_quantiles
 
@@ -58,7 +58,7 @@ def volatility_rows(
     def build(spec):
         return {"volatility": full_frame(spec, column, 1 - rows, 0, F.stddev_samp)}
 
-    return grid_window(df, keys, ts, step, rows - 1, 0, build, chunk_steps)
+    return row_window(df, keys, ts, step, rows - 1, 0, build, chunk_steps)
 
 
 def volatility_time(

@@ -21,10 +21,10 @@ RANGES = 64
 def quantile_map(
     df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float], n: str = "n"
 ) -> DataFrame:
-    """(keys, n, _at): a map from each wanted share to its quantile. NULL values and groups with a
-    NULL key are left out."""
+    """(keys, n, _at): a map from each wanted share to its quantile. NULL values are left out; a NULL
+    key is an error."""
     counts = (
-        known(df, [*keys, value])
+        known(df, keys).where(F.col(value).isNotNull())
         .groupBy(*keys, F.col(value).cast("double").alias("_x"))
         .agg(F.count(F.lit(1)).alias("_n"))
     )

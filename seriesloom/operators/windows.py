@@ -8,7 +8,7 @@ from datetime import timedelta
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
-from seriesloom.operators.chunks import HOUR, grid_window
+from seriesloom.operators.chunks import HOUR, row_window
 
 
 def sequence_windows(
@@ -30,7 +30,7 @@ def sequence_windows(
         return {"seq": F.collect_list(F.struct(*features)).over(spec.rowsBetween(-length, -1))}
 
     narrow = df.select(*keys, ts, *dict.fromkeys([*features, target]))
-    windows = grid_window(narrow, keys, ts, step, length, 0, build, chunk_steps)
+    windows = row_window(narrow, keys, ts, step, length, 0, build, chunk_steps)
     return windows.where(F.size("seq") == length).select(*keys, ts, "seq", F.col(target).alias("y"))
 
 
@@ -66,7 +66,7 @@ def encdec_windows(
         }
 
     narrow = df.select(*keys, ts, *dict.fromkeys([*features, target]))
-    windows = grid_window(narrow, keys, ts, step, length - 1, horizon, build, chunk_steps)
+    windows = row_window(narrow, keys, ts, step, length - 1, horizon, build, chunk_steps)
     full = (F.size("encoder") == length) & (F.size("_target") == horizon)
     return windows.where(full).select(
         *keys,
