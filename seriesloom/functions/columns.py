@@ -52,8 +52,8 @@ def exact_cents(total: str | Column, scale: int = 2) -> Column:
 
 
 def python_strip(c: str | Column) -> Column:
-    """Remove any whitespace at both ends, not only spaces."""
-    return F.regexp_replace(as_col(c), r"^\s+|\s+$", "")
+    """Remove any Unicode whitespace, and the ASCII separators, at both ends."""
+    return F.regexp_replace(as_col(c), r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
 
 
 # Period of each calendar part and the part as a column of the time.

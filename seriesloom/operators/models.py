@@ -88,12 +88,11 @@ def fit_stack(
         df.withColumns({s: F.col(c) for s, c in names.items()}), bounds, keys, list(names), y, ts
     )
     base = [f"_s_{m}" for m in models]
-    shrunk = cut_lineage(shrunk)
     assembler = VectorAssembler(inputCols=base, outputCol="_x", handleInvalid="skip")
     learner = LinearRegression(
         featuresCol="_x", labelCol=f"_s_{y}", predictionCol="stack", regParam=RIDGE
     )
-    known = shrunk.where(F.col(split) == "validation").dropna(subset=[*base, f"_s_{y}"])
+    known = shrunk.where(F.col(split) == "validation").select(*base, f"_s_{y}").dropna()
     fitted = learner.fit(assembler.transform(known))
     scored = fitted.transform(assembler.transform(shrunk))
     return inverse_target(scored, bounds, keys, ["stack"], y, ts).select(*df.columns, "stack")
@@ -108,7 +107,7 @@ def fit_window(
     """
     many = isinstance(windows.schema[target].dataType, T.ArrayType)
     rows = windows.select(flat_window(seq, features).alias("_x"), F.col(target).alias("_t"))
-    rows = cut_lineage(rows).withColumn("_x", array_to_vector("_x"))
+    rows = rows.withColumn("_x", array_to_vector("_x"))
     out = {}
     for h in steps:
         label = F.get("_t", F.lit(h - 1)) if many else F.col("_t")

@@ -8,15 +8,10 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_PIVOT_VALUES = 10_000
-
 
 def pivot_values(df: DataFrame, column: str) -> list:
-    """The distinct values of a pivot column. More than 10,000 of them is an error."""
-    found = [r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().limit(MAX_PIVOT_VALUES + 1).collect()]
-    if len(found) > MAX_PIVOT_VALUES:
-        raise ValueError(f"{column} has more than {MAX_PIVOT_VALUES} values; pass the ones to pivot")
-    return sorted(found)
+    """The distinct values of a pivot column, which become column names of the wide table."""
+    return sorted(r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().collect())
 
 
 def pivot_wide(
@@ -28,7 +23,8 @@ def pivot_wide(
 ) -> DataFrame:
     """One row per ``ids``, one column ``measure_value`` per measure and pivot value.
 
-    Expects one row per (ids, column); see ``clean.dedupe_first``.
+    Expects one row per (ids, column); see ``clean.dedupe_first``. Without ``values`` all values of
+    the data become columns; where they are many, ``pivot_map`` needs no columns for them.
     """
     values = pivot_values(df, column) if values is None else values
     cells = [
@@ -39,6 +35,15 @@ def pivot_wide(
     return df.groupBy(*ids).agg(*cells)
 
 
+def pivot_map(df: DataFrame, ids: Sequence[str], column: str, measures: Sequence[str]) -> DataFrame:
+    """One row per ``ids``, and per measure a map from pivot value to the measure, however many values.
+
+    Expects one row per (ids, column). NULL pivot values and NULL measures have no entry.
+    """
+    entry = lambda m: F.when(F.col(column).isNotNull() & F.col(m).isNotNull(), F.struct(F.col(column), F.col(m)))
+    return df.groupBy(*ids).agg(*[F.map_from_entries(F.collect_list(entry(m))).alias(m) for m in measures])
+
+
 def melt(
     df: DataFrame, ids: Sequence[str], values: Sequence[str], name: str = "model", value: str = "value"
 ) -> DataFrame:

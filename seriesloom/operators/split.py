@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.operators.chunks import HOUR, with_position
@@ -20,6 +20,12 @@ def _cut(share: float):
     return (F.col("n_rows") * F.lit(float(share))).cast("bigint")
 
 
+def split_label(at: Column, n: Column, train_end: float = TRAIN_END, validation_end: float = VALIDATION_END) -> Column:
+    """train / validation / test from a position and a length."""
+    cut = lambda share: (n * F.lit(float(share))).cast("bigint")
+    return F.when(at < cut(train_end), "train").when(at < cut(validation_end), "validation").otherwise("test")
+
+
 def chrono_split(
     df: DataFrame,
     keys: Sequence[str],
@@ -58,5 +64,13 @@ def eval_points(df: DataFrame, skip: int) -> DataFrame:
     return df.where((F.col("split") == "test") & (F.col("split_position") >= skip))
 
 
-def split_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return df.groupBy(*keys, "split").agg(F.count(F.lit(1)).alias("n"))
+def split_counts(
+    df: DataFrame, keys: Sequence[str], train_end: float = TRAIN_END, validation_end: float = VALIDATION_END
+) -> DataFrame:
+    """(keys, split, n) of series not split yet: the sizes follow from the number of rows alone."""
+    n_rows = F.col("n_rows")
+    first, second = ((n_rows * F.lit(float(s))).cast("bigint") for s in (train_end, validation_end))
+    sizes = {"train": first, "validation": second - first, "test": n_rows - second}
+    parts = F.array(*[F.struct(F.lit(name).alias("split"), size.alias("n")) for name, size in sizes.items()])
+    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
+    return counted.select(*keys, F.inline(parts)).where(F.col("n") > 0)

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from datetime import timedelta
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seriesloom.functions.columns import first_at_max, first_at_min, ratio
 from seriesloom.operators.chunks import DAY, bounded_window, join_per_key, running_totals, with_position
@@ -134,27 +137,39 @@ def _positive(c: Column) -> Column:
 def profit_density(pnl: DataFrame, by: Sequence[str] = ("strategy",), value: str = "pnl", points: int = 200, cut: float = 3.0) -> DataFrame:
     """Gaussian kernel density per group on an even grid, Scott bandwidth.
 
-    The grid spans the data plus ``cut`` bandwidths on each side. Each row adds its kernel to
-    the grid points of its own group, summed before the shuffle.
+    The grid spans the data plus ``cut`` bandwidths on each side. Equal values are counted first;
+    a task then adds up the kernels of a batch of values in numpy and sends one row per group and
+    grid point, so no row is multiplied by the grid.
     """
-    clean = pnl.select(*by, value).where(F.col(value).isNotNull())
-    n = F.count(value)
+    clean = pnl.select(*by, F.col(value).cast("double").alias("_v")).where(F.col(value).isNotNull())
+    n = F.count("_v")
     stats = clean.groupBy(*by).agg(
         n.alias("_n"),
-        F.min(value).alias("_lo"),
-        F.max(value).alias("_hi"),
-        _positive(F.stddev_samp(value) * F.pow(n.cast("double"), F.lit(-0.2))).alias("_h"),
+        F.min("_v").alias("_lo"),
+        F.max("_v").alias("_hi"),
+        _positive(F.stddev_samp("_v") * F.pow(n.cast("double"), F.lit(-0.2))).alias("_h"),
     )
     start = F.col("_lo") - cut * F.col("_h")
     width = F.col("_hi") - F.col("_lo") + 2 * cut * F.col("_h")
-    rows = join_per_key(clean, stats, by, value).withColumn(
-        "grid_id", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))
-    )
-    x = start + width * F.col("grid_id") / F.lit(float(points - 1))
-    z = (F.col("x") - F.col(value)) / F.col("_h")
-    kernels = rows.withColumn("x", x).withColumn("_k", F.exp(-z * z / 2))
-    sums = kernels.groupBy(*by, "grid_id").agg(
-        F.first("x").alias("x"), F.sum("_k").alias("_k"), (F.first("_n") * F.first("_h")).alias("_nh")
-    )
-    density = F.col("_k") / (F.col("_nh") * F.lit(math.sqrt(2 * math.pi)))
-    return sums.select(*by, "grid_id", "x", density.alias("density")).where(F.col("density").isNotNull())
+    spread = stats.where(F.col("_h").isNotNull()).select(*by, start.alias("_start"), width.alias("_width"), "_h", "_n")
+    values = clean.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_times"))
+    rows = join_per_key(values, spread, by, "_v", "inner")
+    schema = T.StructType([*[rows.schema[c] for c in by], T.StructField("_sums", T.ArrayType(T.DoubleType()))])
+
+    def kernels(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        steps, sums = np.arange(points) / (points - 1), {}
+        for batch in batches:
+            for key, part in batch.groupby(list(by), dropna=False) if by else [((), batch)]:
+                x = part["_start"].iloc[0] + part["_width"].iloc[0] * steps
+                for i in range(0, len(part), 4096):
+                    v, times = (part[c].to_numpy(float)[i : i + 4096] for c in ("_v", "_times"))
+                    z = (x[:, None] - v) / part["_h"].iloc[0]
+                    sums[key] = sums.get(key, 0) + np.exp(-z * z / 2) @ times
+        for key, total in sums.items():
+            yield pd.DataFrame([[*key, total.tolist()]], columns=[*by, "_sums"])
+
+    partial = rows.mapInPandas(kernels, schema).select(*by, F.posexplode("_sums").alias("grid_id", "_k"))
+    sums = join_per_key(partial.groupBy(*by, "grid_id").agg(F.sum("_k").alias("_k")), spread, by, "grid_id", "inner")
+    x = F.col("_start") + F.col("_width") * F.col("grid_id") / F.lit(float(points - 1))
+    density = F.col("_k") / (F.col("_n") * F.col("_h") * F.lit(math.sqrt(2 * math.pi)))
+    return sums.select(*by, "grid_id", x.alias("x"), density.alias("density"))

@@ -20,18 +20,20 @@ def sequence_windows(
     ts: str = "ts",
     step: timedelta = HOUR,
     chunk_steps: int | None = None,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """(keys, ts, seq, y): ``seq`` holds the ``length`` rows before ``ts``, ``y`` the target at it.
+    """(keys, ts, carry, seq, y): ``seq`` holds the ``length`` rows before ``ts``, ``y`` the target at it.
 
-    A series of n rows gives n - length windows.
+    A series of n rows gives n - length windows. ``carry`` names columns to keep from the row at
+    ``ts``: what is worked out on the narrow rows first needs no shuffle of arrays later.
     """
 
     def build(spec: WindowSpec) -> dict[str, Column]:
         return {"seq": F.collect_list(F.struct(*features)).over(spec.rowsBetween(-length, -1))}
 
-    narrow = df.select(*keys, ts, *dict.fromkeys([*features, target]))
+    narrow = df.select(*keys, ts, *dict.fromkeys([*features, target, *carry]))
     windows = row_window(narrow, keys, ts, step, length, 0, build, chunk_steps)
-    return windows.where(F.size("seq") == length).select(*keys, ts, "seq", F.col(target).alias("y"))
+    return windows.where(F.size("seq") == length).select(*keys, ts, *carry, "seq", F.col(target).alias("y"))
 
 
 def known_decoder(seq: str | Column, length: int, horizon: int, features: Sequence[str]) -> Column:

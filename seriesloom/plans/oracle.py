@@ -292,6 +292,7 @@ WHERE y IS NOT NULL AND y_lag_1 IS NOT NULL AND y_lag_2 IS NOT NULL AND y_lag_3
     {', '.join(f"max(CASE WHEN event_type = '{t}' THEN n END) AS n_{t}" for t in EVENT_TYPES)},
     {', '.join(f"max({r(f'''CASE WHEN event_type = '{t}' THEN total / n END''')}) AS y_{t}" for t in EVENT_TYPES)}
 FROM hourly GROUP BY 1""",
+    "pivot_map": f"""WITH {hourly()} SELECT ts, string_agg(event_type || '=' || n, ',' ORDER BY event_type) AS counts FROM hourly GROUP BY ts""",
     "residuals_long": f"""WITH {forecasts()}, t AS (SELECT * FROM fc WHERE split = 'test'), {ERRORS.format(ids='event_type, ts', source='t')}
 SELECT {TYPED}, model, {r('error')} AS error FROM err""",
     "pred_table": f"""WITH {hourly()},
@@ -398,7 +399,7 @@ pk AS (SELECT *, max(equity) OVER (PARTITION BY event_type, strategy ORDER BY da
 dd AS (SELECT *, (equity - running_max) / nullif(running_max, 0) AS drawdown FROM pk), {summary('dd', 'event_type')}""",
     "equity_curve": f"WITH {SHIP} SELECT l_suppkey, strategy, day, {shown(['equity', 'running_max'], 4)} FROM pk",
     "drawdown": f"WITH {SHIP} SELECT l_suppkey, strategy, day, {r('drawdown')} AS drawdown FROM dd",
-    "rolling_sharpe": f"""WITH {SHIP}, f AS (SELECT *, count(pnl) OVER w AS c, avg(pnl) OVER w AS m, stddev_samp(pnl) OVER w AS s FROM ship
+    "rolling_sharpe": f"""WITH {SHIP}, f AS (SELECT *, count(pnl) OVER w AS c, avg(pnl) OVER w AS m, stddev_samp(pnl) OVER w AS s FROM ship WHERE strategy <> 'R'
     WINDOW w AS (PARTITION BY l_suppkey, strategy ORDER BY day ROWS BETWEEN 29 PRECEDING AND CURRENT ROW))
 SELECT l_suppkey, strategy, day, {r('CASE WHEN c = 30 THEN m / nullif(s, 0) * sqrt(365) END')} AS rolling_sharpe FROM f""",
     "pnl_quartiles": f"WITH {SHIP} SELECT strategy, count(pnl) AS n, {quartiles('pnl')} FROM ship GROUP BY 1",

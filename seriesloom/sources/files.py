@@ -71,9 +71,13 @@ def read_report(spark: SparkSession, path: str, schema: T.StructType | str, ts:
     return df.withColumn(ts, F.to_timestamp_ntz(ts)) if ts else df
 
 
-def normalize_time(df: DataFrame, source: str, ts: str = "ts") -> DataFrame:
-    """Parse text with a UTC offset into UTC wall-clock time (session zone must be UTC)."""
-    return df.withColumn(ts, F.to_timestamp(source).cast("timestamp_ntz"))
+def normalize_time(df: DataFrame, source: str, ts: str = "ts", keep: bool = False) -> DataFrame:
+    """Parse text with a UTC offset into UTC wall-clock time (session zone must be UTC).
+
+    The text column goes, unless ``keep``.
+    """
+    out = df.withColumn(ts, F.to_timestamp(source).cast("timestamp_ntz"))
+    return out if keep or source == ts else out.drop(source)
 
 
 # Mean and spread of the placeholder price, the spread of its forecast error,

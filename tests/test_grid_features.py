@@ -114,8 +114,10 @@ def test_window_counts(series):
 
 
 def test_split_uses_the_binary_product(series):
-    df = split.chrono_split(series({"k": [0.0] * 90}), ["key"])
-    sizes = {r.split: r.n for r in split.split_counts(df, ["key"]).collect()}
+    raw = series({"k": [0.0] * 90})
+    df = split.chrono_split(raw, ["key"])
+    sizes = {r.split: r.n for r in split.split_counts(raw, ["key"]).collect()}
+    assert sizes == {r.split: r["count"] for r in df.groupBy("split").count().collect()}
     assert sizes == {"train": 62, "validation": 19, "test": 9}
     assert split.eval_points(df, 4).count() == 5
     assert sum(sizes.values()) == 90

@@ -39,8 +39,8 @@ def raw_tables(spark):
 
 def test_prepare(spark):
     energy, weather = raw_tables(spark)
-    energy = files.normalize_time(energy, "time").drop("time")
-    weather = files.normalize_time(weather, "time").drop("time")
+    energy = files.normalize_time(energy, "time")
+    weather = files.normalize_time(weather, "time")
     calendar = spark.createDataFrame([(date(2015, 1, 9),)], "day date")
     out = preprocess.prepare(energy, weather, calendar, order=["_line"])
     rows = {r.ts: r for r in out.collect()}
