@@ -1,8 +1,8 @@
 """Exact quantiles with linear interpolation for groups of any size.
 
 Spark's ``percentile`` holds the distinct values of a group in one buffer. Here equal values are
-counted first, large groups are cut into value ranges, and ranks are running sums inside a range
-plus the counts of the ranges below: no task sees more than one range of one group.
+counted first and counted again by buckets of nearly equal values. Running sums over the buckets
+tell which ones hold a wanted rank; only their values are ranked one by one.
 """
 
 from __future__ import annotations
@@ -12,55 +12,62 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seriesloom.operators.chunks import join_per_key, known
+from seriesloom.operators.chunks import known
 
 QUARTILES = {"min": 0.0, "p25": 0.25, "p50": 0.5, "p75": 0.75, "max": 1.0}
-RANGES = 64
+# Buckets part values by size: so many for each doubling. They steer how work is divided only.
+BUCKETS = 1024
+FAR = 1100 * BUCKETS
+
+
+def _bucket(x: Column) -> Column:
+    """A whole number that never falls as ``x`` grows."""
+    size = F.floor(F.least(F.log2(F.abs(x)), F.lit(1030.0)) * BUCKETS) + FAR  # infinite and NaN come last
+    return F.when(x > 0, size).when(x < 0, -size).otherwise(F.lit(0).cast("bigint"))
 
 
 def quantile_map(
     df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float], n: str = "n"
 ) -> DataFrame:
-    """(keys, n, _at): a map from each wanted share to its quantile. NULL values are left out; a NULL
-    key is an error."""
+    """(keys, n, _at): a map from each wanted share to its quantile. NULL values and groups with a
+    NULL key are left out."""
     counts = (
-        known(df, keys).where(F.col(value).isNotNull())
+        known(df, [*keys, value])
         .groupBy(*keys, F.col(value).cast("double").alias("_x"))
         .agg(F.count(F.lit(1)).alias("_n"))
+        .withColumn("_bucket", _bucket(F.col("_x")))
     )
-    # The cuts only steer how work is divided, so an approximation does: ranks stay exact.
-    steps = F.lit([i / RANGES for i in range(1, RANGES)])
-    cuts = counts.groupBy(*keys).agg(F.percentile_approx("_x", steps, 1000).alias("_cuts"))
-    ranged = join_per_key(counts, cuts, keys, "_x").select(
-        *keys, "_x", "_n", F.size(F.filter("_cuts", lambda c: c < F.col("_x"))).alias("_range")
-    )
-    ranged = known(ranged, ["_range"])
+    counts = known(counts, ["_bucket"])
     by_key = Window.partitionBy(*keys)
-    below = by_key.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    below = by_key.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
-        ranged.groupBy(*keys, "_range")
+        counts.groupBy(*keys, "_bucket")
         .agg(F.sum("_n").alias("_size"))
         .select(
             *keys,
-            "_range",
+            "_bucket",
+            "_size",
             F.coalesce(F.sum("_size").over(below), F.lit(0)).alias("_start"),
             F.sum("_size").over(by_key).alias("_total"),
         )
     )
-    inside = Window.partitionBy(*keys, "_range").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = ranged.join(starts, [*keys, "_range"], "left").withColumn(
-        "_upto", F.col("_start") + F.sum("_n").over(inside)
-    )
     # Each wanted share lies between two ranks; a value answers for the ranks it covers.
-    rank = F.col("_p") * (F.col("_total") - 1)
-    first = F.col("_upto") - F.col("_n")
+    shares = F.lit([float(p) for p in dict.fromkeys(probs.values())])
 
-    def covers(p: Column) -> Column:
-        at = p * (F.col("_total") - 1)
-        return (F.floor(at) < F.col("_upto")) & (F.ceil(at) >= first)
+    def covered(first: Column, upto: Column) -> Column:
+        def covers(p: Column) -> Column:
+            at = p * (F.col("_total") - 1)
+            return (F.floor(at) < upto) & (F.ceil(at) >= first)
 
-    shares = F.lit([float(p) for p in dict.fromkeys(probs.values())])
-    hits = ranked.withColumn("_p", F.explode(F.filter(shares, covers)))
+        return F.filter(shares, covers)
+
+    held = covered(F.col("_start"), F.col("_start") + F.col("_size"))
+    wanted = starts.where(F.size(held) > 0).drop("_size")
+    inside = Window.partitionBy(*keys, "_bucket").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counts.join(wanted, [*keys, "_bucket"]).withColumn("_upto", F.col("_start") + F.sum("_n").over(inside))
+    rank = F.col("_p") * (F.col("_total") - 1)
+    first = F.col("_upto") - F.col("_n")
+    hits = ranked.withColumn("_p", F.explode(covered(first, F.col("_upto"))))
     low = F.when((F.floor(rank) >= first) & (F.floor(rank) < F.col("_upto")), F.col("_x"))
     high = F.when((F.ceil(rank) >= first) & (F.ceil(rank) < F.col("_upto")), F.col("_x"))
     between = F.col("_low") + (F.col("_high") - F.col("_low")) * (rank - F.floor(rank))
