@@ -25,12 +25,13 @@ from seriesloom.llm.shared import stage
 
 WINDOW = 4096
 CLOSING_ID = 2
-CACHE_BYTES = 96 << 20  # of ids and words kept by a Python worker
+CACHE_BYTES = 192 << 20  # of ids and words kept by a Python worker
 OUT_BYTES = 4 << 20
 
 TOKENS = "part long, place long, before long, doc_id long, tokens long, ids binary"
 _SPACE = re.compile(r"[\x20\x09-\x0D]+")
-_PLAIN = re.compile(r"[a-z]+\Z")
+# Latin letters whose lower case is one letter and that no normal form changes.
+_LATIN = re.compile("[a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+\\Z")
 
 _tokenizers: dict[str, WordTokenizer] = {}
 
@@ -43,15 +44,17 @@ class WordTokenizer:
     """
 
     def __init__(self, path: str, cache_bytes: int = CACHE_BYTES) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
+        self._letters = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
         self.room = self.cache_bytes = cache_bytes
 
     def _encode(self, word: str) -> bytes:
-        if _PLAIN.match(word):  # only letters: one piece, which no earlier step changes
-            ids = [t.id for t in self.tokenizer.model.tokenize(word)]
+        if _LATIN.match(word):  # only letters: one piece for the model, once in lower case and as bytes
+            low = word.lower()
+            ids = [t.id for t in self.tokenizer.model.tokenize(low if low.isascii() else self._letters(low)[0][0])]
         else:
             ids = self.tokenizer.encode(word, add_special_tokens=False).ids
         return np.array(ids, "<u4").tobytes()

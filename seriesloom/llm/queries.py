@@ -243,3 +243,32 @@ fits AS (
 SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.verdict, 'allow') AS verdict, CAST(NULL AS VARCHAR) AS component
 FROM parts p LEFT JOIN fits f ON f.page_id = p.page_id AND f.place = 1
 """
+
+# Fixed value: 3988292384 is the reversed polynomial of CRC-32.
+ORACLE["op7_sharding"] = """
+WITH RECURSIVE bits(n, k, c) AS (
+    SELECT n, 0, n FROM (SELECT unnest(range(256)) AS n)
+    UNION ALL
+    SELECT n, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE k < 8
+),
+crc_table AS MATERIALIZED (SELECT list(c ORDER BY n) AS t FROM bits WHERE k = 8),
+bodies AS (SELECT doc_id, encode(coalesce(text, '')) AS body FROM documents),
+sized AS (
+    SELECT doc_id, CAST(octet_length(body) + 8 AS BIGINT) AS size,
+        xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT,
+            list_transform(regexp_extract_all(hex(body), '..'), lambda x: ('0x' || x)::BIGINT)),
+            lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1]))) AS text_crc32
+    FROM bodies, crc_table
+),
+draws AS (
+    SELECT doc_id, s, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':' || s), 1, 13))::BIGINT AS draw
+    FROM documents, (SELECT unnest(range(25)) AS s)
+),
+won AS (
+    SELECT doc_id, arg_max(s, draw) FILTER (WHERE s < 24) AS shard, arg_max(s, draw) AS grown_shard FROM draws GROUP BY doc_id
+)
+SELECT doc_id, size, text_crc32, 'key' AS law, CAST(shard AS INTEGER) AS shard,
+    row_number() OVER (PARTITION BY shard ORDER BY substr(md5('slot:' || coalesce(doc_id::VARCHAR, 'null')), 1, 3), doc_id) - 1 AS slot,
+    CAST(grown_shard AS INTEGER) AS grown_shard
+FROM sized JOIN won USING (doc_id)
+"""

@@ -15,7 +15,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 SHINGLE = 5
-SLICE_BYTES = 4 << 20  # texts are hashed in slices of about this size; one longer text is one slice
+SLICE_BYTES = 1 << 20  # texts are hashed in slices of about this size; one longer text is one slice
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True

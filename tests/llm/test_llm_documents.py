@@ -131,6 +131,18 @@ def test_packing_gives_each_id_once_in_full_windows(spark):
     assert have == want and parts == b""
 
 
+def test_ids_of_words_are_those_of_whole_texts():
+    from tokenizers import Tokenizer
+
+    whole, words = Tokenizer.from_file(PATH), packing.WordTokenizer(PATH)
+    dice = random.Random(11)
+    letters = "aeéÉèñÑüÜßöçÇæœŒİıſŁřžZA'.,!?-09\u0301\u00a0\u2003ΣσςДя中文\u200b|<>"
+    texts = ["".join(dice.choice(letters) for _ in range(dice.randint(1, 12))) for _ in range(3000)]
+    texts += ["réeuxment, Eauê. ÉCOLE l'été d'Été ÇA", "<|startoftext|>x<|endoftext|>", "ΟΔΟΣ İstanbul", "it's we're I'M ''s"]
+    text = " ".join(texts)
+    assert np.frombuffer(words.text(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+
+
 def test_packing_of_nothing_and_a_full_cache(spark, none):
     assert packing.pack(none, PATH).count() == 0
     small = packing.WordTokenizer(PATH, cache_bytes=2000)
