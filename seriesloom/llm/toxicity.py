@@ -13,7 +13,7 @@ from that among the unlabelled (under LEAST_Z standard errors) get no weight, an
 it from more: long texts don't gather noise.
 
 Several scorers are trained, each in one task on its own bounded sample: up to POSITIVES positives
-and UNLABELLED unlabelled texts, drawn by a hash of the id. Their weights, 2**BITS numbers each,
+and UNLABELLED unlabelled texts, drawn by a hash of the id (scorers may share texts). Their weights, 2**BITS numbers each,
 are sent to the scoring tasks. All texts are scored whole.
 
 Texts count as the set of their hashed words, ASCII punctuation parting words.
@@ -45,9 +45,9 @@ UNLABELLED = 6000
 SAMPLE_BYTES = 8000  # longer sample texts are left to the scoring
 LEAST_Z = 4.0
 LEAST_TEXTS = 5
-PENALTY = 1e-4
-STEPS = 200
-RATE = 0.3
+PENALTY = 1.5e-4
+STEPS = 1000
+RATE = 1.0
 THRESHOLD = 0.3
 
 WEIGHTS = "scorer int, intercept double, weights binary"
@@ -142,14 +142,14 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column) -> list[tuple[float
     toxic = stage(known.where("toxic = 1").select("doc_id", F.lit(True).alias("toxic")), "toxic-ids")
     n_toxic, total = max(1, toxic.count()), max(1, usable.count())
     # Thinned by hash first, so that few texts move: about twice as many as wanted.
-    chance = lambda name: F.pmod(F.xxhash64(F.lit(name), "doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    chance = lambda name, k: F.pmod(F.xxhash64(F.lit(name), F.lit(k), "doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    role = lambda k, positive: F.struct(F.lit(k).alias("scorer"), F.lit(positive).alias("positive"))
+    drawn = [
+        *[F.when(F.col("toxic") & (chance("positive", k) < 2.0 * POSITIVES / n_toxic), role(k, True)) for k in range(SCORERS)],
+        *[F.when(chance("unlabelled", k) < 2.0 * UNLABELLED / total, role(k, False)) for k in range(SCORERS)],
+    ]
     marked = usable.join(toxic, "doc_id", "left")
-    every = F.array(*[F.lit(k) for k in range(SCORERS)])
-    of_toxic = F.when(F.col("toxic") & (chance("positive") < 2.0 * POSITIVES / n_toxic), every).otherwise(F.array().cast("array<int>"))
-    one = F.array(F.pmod(F.xxhash64(F.lit("scorer"), "doc_id"), F.lit(SCORERS)).cast("int"))
-    of_all = F.when(chance("unlabelled") < 2.0 * SCORERS * UNLABELLED / total, one).otherwise(F.array().cast("array<int>"))
-    roles = lambda ids, positive: F.transform(ids, lambda k: F.struct(k.alias("scorer"), F.lit(positive).alias("positive")))
-    thin = marked.select("doc_id", "text", F.explode(F.concat(roles(of_toxic, True), roles(of_all, False))).alias("role"))
+    thin = marked.select("doc_id", "text", F.explode(F.array_compact(F.array(*drawn))).alias("role"))
     thin = thin.select("text", "role.*", F.xxhash64("role.scorer", "doc_id").alias("order"))
     found = thin.groupBy("scorer").applyInPandas(_train(float(prior)), WEIGHTS).collect()
     scorers = [(r["intercept"], np.frombuffer(r["weights"], "<f4")) for r in sorted(found)]
