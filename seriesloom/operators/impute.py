@@ -222,18 +222,18 @@ def block_neighbours(rows: np.ndarray, wanted, donors: np.ndarray, k: int):
         total += np.where(both, miss * miss, 0.0)
         shared += both
     distance = np.where(shared > 0, total * rows.shape[1] / np.where(shared > 0, shared, 1), np.inf)
-    out_row, out_column, out_donor, out_distance = [], [], [], []
-    for r, asked in enumerate(wanted):
-        for c in asked:
-            able = np.flatnonzero(~np.isnan(donors[:, c]) & np.isfinite(distance[r]))
-            picked = able[np.argsort(distance[r, able], kind="stable")[:k]]
-            out_row += [r] * len(picked)
-            out_column += [int(c)] * len(picked)
-            out_donor += picked.tolist()
-            out_distance += distance[r, picked].tolist()
-    return (
-        np.array(out_row, int),
-        np.array(out_column, "int32"),
-        np.array(out_donor, int),
-        np.array(out_distance, float),
-    )
+    asked = [np.asarray(a, int) for a in wanted]
+    asker = np.repeat(np.arange(len(asked)), [len(a) for a in asked])
+    column = np.concatenate(asked) if asked else np.zeros(0, int)
+    parts = []
+    for c in np.unique(column):
+        readers, able = asker[column == c], np.flatnonzero(~np.isnan(donors[:, c]))
+        near = distance[np.ix_(readers, able)]
+        best = np.argsort(near, axis=1, kind="stable")[:, :k]
+        found = np.take_along_axis(near, best, axis=1)
+        row, place = np.nonzero(np.isfinite(found))
+        parts.append((readers[row], np.full(len(row), c), able[best[row, place]], found[row, place]))
+    kinds = (int, "int32", int, float)
+    if not parts:
+        return tuple(np.zeros(0, kind) for kind in kinds)
+    return tuple(np.concatenate(p).astype(kind) for p, kind in zip(zip(*parts, strict=True), kinds, strict=True))

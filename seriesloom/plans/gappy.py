@@ -7,8 +7,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from seriesloom.operators import decompose, features, forecast, grid, profile, scale, split, windows
+from seriesloom.operators import decompose, features, forecast, grid, impute, profile, scale, split, windows
 from seriesloom.plans import panels
+from seriesloom.plans.oracle import ORACLE as FITTED
 from seriesloom.plans.oracle import TYPED, hourly, r, rolled, shown
 from seriesloom.plans.panels import TYPES, USERS
 from seriesloom.plans.queries import KT, Query, _array_sum, _out
@@ -93,10 +94,20 @@ def minmax_cells(spark, folder):
     return _out(scale.minmax_transform(rows, bounds, TYPES, ["y"], "ts"), [*KT, "split"], ["y"])
 
 
+@query
+def knn_blocks(spark, folder):
+    """Imputation with blocks of 64 donors, so that every series has many cells and blocks."""
+    rows = features.lags(panels.hourly_gappy(spark, folder).drop("n"), TYPES, ["y"], [1, 24])
+    rows = features.add_cyclical(rows, parts=("hour",))
+    names = ["y", "y_lag_1", "y_lag_24", "hour_sin", "hour_cos"]
+    return _out(impute.knn_impute(rows, TYPES, names, block_rows=64), KT, ["y", "y_lag_1", "y_lag_24"])
+
+
 _SRC = f"WITH {hourly()}, src AS (SELECT event_type, ts, total / n AS y FROM hourly)"
 _ROWS = "PARTITION BY event_type ORDER BY ts"
 
 ORACLE = {
+    "knn_blocks": FITTED["knn_impute"],
     "windows_gappy": f"""{_SRC}, w AS (SELECT *, sum(y) OVER f AS total, count(y) OVER f AS c FROM src
     WINDOW f AS ({_ROWS} ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING))
 SELECT {TYPED}, {shown(['y', 'total'])} FROM w WHERE c = 24""",
