@@ -375,7 +375,9 @@ SELECT model, any_value(ms_per_prediction) AS ms_per_prediction, {r('avg(abs(err
 t AS (SELECT event_type, ts, naive1, naive24, roll24, (naive1 + naive24 + roll24) / 3 AS mean, (hi - lo) / (2 * 1.96) / w AS s, w FROM fc JOIN b USING (event_type) WHERE split = 'test'),
 u AS (SELECT {TYPED}, {PASSES}, sqrt(s * s * (1 + 0.25 + 2.25) / 3) * w AS aleatoric FROM t)
 SELECT {TYPED}, {shown(['mean', 'epistemic', 'aleatoric'])}, {r('sqrt(epistemic * epistemic + aleatoric * aleatoric)')} AS total FROM u""",
-    "gauss_interval": f"""WITH {forecasts()}, t AS (SELECT event_type, ts, y, roll24 AS mean, (hi - roll24) / 1.96 AS s FROM fc WHERE position = 200),
+    "gauss_interval": f"""WITH {forecasts()} SELECT {TYPED}, {r('roll24')} AS mean, {r('roll24 - (hi - roll24)')} AS lower, {r('hi')} AS upper
+FROM fc WHERE split = 'test'""",
+    "gauss_density": f"""WITH {forecasts()}, t AS (SELECT event_type, ts, y, roll24 AS mean, (hi - roll24) / 1.96 AS s FROM fc WHERE split = 'test' AND split_position = 10),
 g AS (SELECT *, y - 30 + i * (60.0::DOUBLE / 999) AS x FROM t, (SELECT unnest(range(1000))::INTEGER AS i))
 SELECT {TYPED}, i AS grid_id, x >= mean - 1.96 * s AND x <= mean + 1.96 * s AS inside, {r('x')} AS x,
     {r('exp(-((x - mean) / s) * ((x - mean) / s) / 2) / (s * sqrt(2 * pi()))')} AS pdf, {r('mean - 1.96 * s')} AS lower, {r('mean + 1.96 * s')} AS upper FROM g""",

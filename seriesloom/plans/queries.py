@@ -479,11 +479,22 @@ def uncertainty_split(spark, folder):
     return _out(intervals.uncertainty_split(passes), KT, ["mean", "epistemic", "aleatoric", "total"])
 
 
+def _gauss_cases(spark, folder):
+    """Mean and deviation of every test row."""
+    rows = _test(panels.split_forecasts(spark, folder))
+    deviation = (F.col("hi") - F.col("roll24")) / intervals.Z95
+    return rows.select(*KT, "split_position", "y", F.col("roll24").alias("mean"), deviation.alias("total"))
+
+
 @query
 def gauss_interval(spark, folder):
-    rows = panels.split_forecasts(spark, folder).where(F.col("position") == 200)
-    cases = rows.select(*KT, "y", F.col("roll24").alias("mean"), ((F.col("hi") - F.col("roll24")) / intervals.Z95).alias("total"))
-    grid_rows = intervals.gauss_density(cases, "y")
+    return _out(intervals.gauss_interval(_gauss_cases(spark, folder)), KT, ["mean", "lower", "upper"])
+
+
+@query
+def gauss_density(spark, folder):
+    """The density around test sample 10 of each series."""
+    grid_rows = intervals.gauss_density(_gauss_cases(spark, folder).where(F.col("split_position") == 10), "y")
     return _out(grid_rows, [*KT, "grid_id", "inside"], ["x", "pdf", "lower", "upper"])
 
 
