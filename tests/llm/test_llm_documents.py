@@ -321,6 +321,33 @@ def test_scores_without_rows_or_without_training(spark, none):
     assert len(rows) == len(ODD) and {r["train_tokens"] for r in rows} == {0} and {r["base_score"] for r in rows} == {0.0}
 
 
+def test_word_order_counts_in_scores(spark):
+    dice, known = random.Random(6), vocabulary(60)
+    follows = {w: dice.sample(known, 2) for w in known}
+
+    def walk(n):
+        out = [dice.choice(known)]
+        while len(out) < n:
+            out.append(dice.choice(follows[out[-1]]))
+        return out
+
+    rows = [(i, " ".join(walk(60))) for i in range(200)]
+    held = walk(60)
+    rows += [(1000, " ".join(held)), (1001, " ".join(dice.sample(held, len(held))))]
+    got = {r["doc_id"]: r["score"] for r in mixing.score(documents(spark, rows).repartition(3), F.col("doc_id") >= 1000).collect()}
+    assert got[1000] > 0.6 * got[1001]
+    again = {r["doc_id"]: r["score"] for r in mixing.score(documents(spark, rows).repartition(7), F.col("doc_id") >= 1000).collect()}
+    assert all(abs(got[k] - again[k]) < 1e-3 for k in got)
+
+
+def test_trust_in_pairs_is_the_likeliest_share():
+    ratio, times = np.array([mixing.RATIO_LEAST, 8, -4]), np.array([30.0, 50.0, 20.0])
+    r = np.array([0.0, 4.0, 0.5])
+    grid = np.linspace(0, 0.999, 1000)
+    best = grid[np.argmax([(times * np.log(1 - x + x * r)).sum() for x in grid])]
+    assert abs(mixing.trust_of(ratio, times) - best) < 2e-3
+
+
 # --- sharding -------------------------------------------------------------------------------
 
 
