@@ -170,6 +170,18 @@ def test_templates_of_a_host_go_and_what_varies_stays(pages):
     assert wrappers.extract(pages([])).count() == 0
 
 
+def test_templates_inside_an_article_go_and_what_varies_stays(pages):
+    dice, known = random.Random(8), vocabulary()
+    body = "<body><article><h1>{}</h1><div class=note>First seen in the paper</div>{}<p>{}</p></article></body>"
+    rows, want = [], {}
+    for i in range(24):
+        text, last = [prose(dice, known, 25) for _ in range(1 + i % 3)], "the same line" if i % 2 else prose(dice, known, 6)
+        rows.append((i, f"http://one.org/{i}", body.format(f"head {i}", "".join(f"<p>{t}</p>" for t in text), last)))
+        want[i] = "\n".join([f"head {i}", *text, last])
+    got = {r["page_id"]: r["text"] for r in wrappers.extract(pages(rows).repartition(3)).collect()}
+    assert got == want
+
+
 def test_copies_of_an_article_are_no_template(pages):
     text = "<body><div><p>{}</p><p>the same words in every copy of this text</p></div></body>"
     rows = [(i, f"http://one.org/{i}", text.format("an article that was copied " * 3)) for i in range(8)]
