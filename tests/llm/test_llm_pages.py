@@ -182,6 +182,24 @@ def test_templates_inside_an_article_go_and_what_varies_stays(pages):
     assert got == want
 
 
+def test_each_layout_of_a_host_has_its_templates(pages):
+    dice, known = random.Random(9), vocabulary()
+    rows, want = [], {}
+    for i in range(60):
+        kind = "abcdef"[i % 6]
+        text = prose(dice, known, 25)
+        rows.append((i, f"http://one.org/{i}", f"<body><div class={kind}><p>Words of layout {kind}</p></div><div class={kind}{kind}><p>{text}</p></div></body>"))
+        want[i] = text
+    got = {r["page_id"]: r["text"] for r in wrappers.extract(pages(rows).repartition(3)).collect()}
+    assert got == want
+
+
+def test_a_host_of_two_pages_has_two_references(pages):
+    rows = [(2 * k + i, f"http://h{k}.org/{i}", f"<body><p>At the top of the site</p><div><p>text {k} and {i} only, and some more words of page {i}</p></div></body>") for k in range(12) for i in (0, 1)]
+    got = {r["page_id"]: r["text"] for r in wrappers.extract(pages(rows)).collect()}
+    assert got == {2 * k + i: f"text {k} and {i} only, and some more words of page {i}" for k in range(12) for i in (0, 1)}
+
+
 def test_copies_of_an_article_are_no_template(pages):
     text = "<body><div><p>{}</p><p>the same words in every copy of this text</p></div></body>"
     rows = [(i, f"http://one.org/{i}", text.format("an article that was copied " * 3)) for i in range(8)]
