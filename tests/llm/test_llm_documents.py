@@ -271,6 +271,18 @@ def test_contained_items_are_those_of_all_pairs(spark):
     assert sorted(tuple(r) for r in got.select("doc_id", "item_id", "n_shingles", "n_shared").collect()) == sorted(set(want))
 
 
+def test_null_and_shared_ids_lose_no_passage(spark):
+    dice, known = random.Random(10), vocabulary()
+    one, two, three = (prose(dice, known, 30) for _ in range(3))
+    items = spark.createDataFrame([(None, one), (None, two), (7, two), (7, three)], "item_id long, text string")
+    rows = [(1, f"a {one} b"), (None, f"c {two} d"), (None, f"e {three}"), (2, prose(dice, known, 40)), (3, f"{three} f"), (3, f"g {one}")]
+    docs = documents(spark, rows)
+    got = [tuple(r) for r in decontaminate.contained(docs, items).select("doc_id", "item_id").collect()]
+    want = [(1, None), (None, None), (None, 7), (None, 7), (3, 7), (3, None)]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert [r["doc_id"] for r in decontaminate.clean(docs, items).collect()] == [2]
+
+
 def test_decontamination_of_nothing_and_by_nothing(spark, odd, none):
     items = spark.createDataFrame([(1, "same text here in two rows of a table")], "item_id long, text string")
     assert decontaminate.contained(none, items).count() == 0
