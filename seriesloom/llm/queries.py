@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesloom.llm import decontaminate, exact, jaccard, mixing, packing, sharding, toxicity, urls, warc, wrappers
+from seriesloom.llm import decontaminate, exact, jaccard, licences, mixing, packing, periodic, resampling, sharding, toxicity, urls, warc, wrappers
 from seriesloom.session import use_utc
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -146,6 +146,45 @@ def op10_html_extraction(spark, folder):
     return wrappers.extract(pages).withColumn("n_chars", F.length("text").cast("long"))
 
 
+@query
+def op11_license_scans(spark, folder):
+    found = licences.scan(table(spark, folder, "documents", "doc_id", "text"))
+    starts = F.transform("phrases", lambda p: p["start"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("phrases").cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        licences.label_list(F.col("phrases")).alias("base_labels"),
+        licences.label_list(F.col("phrases"), F.col("notices")).alias("labels"),
+        licences.licence_score(F.col("phrases"), F.col("notices")).alias("score"),
+    )
+
+
+@query
+def op12_periodic_runs(spark, folder):
+    docs = periodic.with_periodic_tail(table(spark, folder, "documents", "doc_id", "text"))
+    found = periodic.find_runs(docs).withColumn("longest", periodic.longest_run(F.col("runs")))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "longest.start",
+        "longest.length",
+        "longest.period",
+        F.floor(F.col("longest.length") * 1000 / F.col("longest.period")).alias("exponent_milli"),
+        F.sha2(periodic.run_lines(F.col("runs")).cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+@query
+def op13_importance_resampling(spark, folder):
+    docs = table(spark, folder, "documents", "doc_id", "text")
+    drawn = resampling.resample(docs, table(spark, folder, "benchmark", "text"))
+    return drawn.select("doc_id", "n_features", "weight", "score", F.col("rank").cast("long").alias("rank"))
+
+
 # --- the same in SQL ------------------------------------------------------------------------
 
 _WORDS = r"""
@@ -272,3 +311,149 @@ SELECT doc_id, size, text_crc32, 'key' AS law, CAST(shard AS INTEGER) AS shard,
     CAST(grown_shard AS INTEGER) AS grown_shard
 FROM sized JOIN won USING (doc_id)
 """
+
+_ALNUM_WORDS = r"""
+    list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')
+"""
+_KEYS = [(n, k, licences.key_place(text, key), key) for n, (_, text, keys) in enumerate(licences.NOTICES) for k, key in enumerate(keys)]
+_BASE_ROWS = ", ".join(f"(-1, {n}, 0, '{phrase}')" for n, (phrase, _) in enumerate(licences.PHRASES))
+_KEY_ROWS = ", ".join(f"({n}, {k}, {at}, '{key}')" for n, k, at, key in _KEYS)
+_NOTICE_ROWS = ", ".join(f"({n}, '{label}', '{text}')" for n, (label, text, _) in enumerate(licences.NOTICES))
+_LABEL_ROWS = ", ".join(f"({n}, '{label}')" for n, (_, label) in enumerate(licences.PHRASES))
+
+ORACLE["op11_license_scans"] = f"""
+WITH texts AS MATERIALIZED (SELECT doc_id, {_ALNUM_WORDS} AS words FROM documents),
+keys(notice, k, place, phrase) AS (VALUES {_BASE_ROWS}, {_KEY_ROWS}),
+notices(notice, label, phrase) AS (VALUES {_NOTICE_ROWS}),
+labels(k, label) AS (VALUES {_LABEL_ROWS}),
+rows AS MATERIALIZED (SELECT doc_id, unnest(range(len(words))) AS i, unnest(words) AS w FROM texts),
+split AS (SELECT *, string_split(phrase, ' ') AS parts FROM keys),
+places AS MATERIALIZED (
+    SELECT notice, k, place, doc_id, i FROM rows JOIN split ON w = parts[1] JOIN texts USING (doc_id)
+    WHERE words[i + 1:i + len(parts)] = parts
+),
+spelt AS (SELECT notice, label, unnest(range(len(string_split(phrase, ' ')))) AS j, unnest(string_split(phrase, ' ')) AS w FROM notices),
+known AS (SELECT w, count(DISTINCT doc_id) AS n FROM rows GROUP BY w),
+weighted AS (
+    SELECT s.*, CAST(floor(1000 * ln(((SELECT count(*) FROM documents) + 1) / (coalesce(n, 0) + 1))) AS BIGINT) + 1 AS weight
+    FROM spelt s LEFT JOIN known USING (w)
+),
+met AS (
+    SELECT a.notice, a.doc_id, a.i - a.place AS start
+    FROM places a JOIN places b ON a.notice = b.notice AND a.doc_id = b.doc_id AND a.notice >= 0 AND a.k = 0
+        AND abs((b.i - b.place) - (a.i - a.place)) <= {licences.SLACK}
+        JOIN (SELECT notice, count(*) AS n_keys FROM keys GROUP BY notice) c ON c.notice = a.notice
+    GROUP BY a.notice, a.doc_id, a.i, a.place, n_keys HAVING count(DISTINCT b.k) = n_keys
+),
+agreed AS (
+    SELECT m.doc_id, p.label, m.start, m.notice,
+        sum(CASE WHEN m.start + p.j >= 0 AND t.words[m.start + p.j + 1] = p.w THEN p.weight ELSE 0 END) / sum(p.weight) AS agreement
+    FROM met m JOIN weighted p USING (notice) JOIN texts t ON t.doc_id = m.doc_id GROUP BY m.doc_id, p.label, m.start, m.notice
+),
+noticed AS (SELECT doc_id, list(label) AS found, max(agreement) AS best FROM agreed GROUP BY doc_id),
+based AS (
+    SELECT doc_id, count(*) AS n, min(i) AS first, max(i) AS last, list(label) AS found
+    FROM places JOIN labels USING (k) WHERE notice = -1 GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(b.n, 0) AS n_base, CAST(b.first AS BIGINT) AS first_word,
+    CAST(b.last AS BIGINT) AS last_word,
+    coalesce(array_to_string(list_sort(list_distinct(b.found)), ','), '') AS base_labels,
+    coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(b.found, []), coalesce(o.found, [])))), ','), '') AS labels,
+    CAST(greatest(coalesce(o.best, 0), CASE WHEN b.n > 0 THEN {licences.ALONE} ELSE 0 END) AS DOUBLE) AS score
+FROM texts LEFT JOIN based b USING (doc_id) LEFT JOIN noticed o USING (doc_id)
+"""
+
+# Fixed value: 3988292384 is the reversed polynomial of CRC-32.
+_CRC_TABLE = """
+bits(n, k, c) AS (
+    SELECT n, 0, n FROM (SELECT unnest(range(256)) AS n)
+    UNION ALL
+    SELECT n, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE k < 8
+),
+crc_table AS MATERIALIZED (SELECT list(c ORDER BY n) AS t FROM bits WHERE k = 8)
+"""
+
+
+def _crc(text: str) -> str:
+    return f"""xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT,
+        list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: ('0x' || x)::BIGINT)),
+        lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])))"""
+
+
+ORACLE["op12_periodic_runs"] = rf"""
+WITH RECURSIVE {_CRC_TABLE},
+split AS (
+    SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words,
+        {_crc("doc_id::VARCHAR")} AS h
+    FROM documents, crc_table
+),
+dealt AS (SELECT *, len(words) AS n, h // 10 AS g FROM split),
+tailed AS (
+    SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN g % n ELSE n END AS a,
+        CASE WHEN h % 10 = 0 AND n > 0 THEN 1 + (n - g % n) // (3 + g % 8) ELSE 1 END AS p
+    FROM dealt
+),
+texts AS MATERIALIZED (
+    SELECT doc_id, n, list_transform(range(n), lambda i: words[CASE WHEN i < a THEN i ELSE a + (i - a) % p END + 1]) AS words
+    FROM tailed
+),
+fives AS MATERIALIZED (
+    SELECT doc_id, n, unnest(range(n - 4)) AS i,
+        unnest(list_transform(range(n - 4), lambda i: array_to_string(words[i + 1:i + 5], ' '))) AS run
+    FROM texts WHERE n >= 6
+),
+again AS (
+    SELECT x.doc_id, x.i, y.i - x.i AS d
+    FROM fives x JOIN fives y ON x.doc_id = y.doc_id AND x.run = y.run AND y.i > x.i AND 4 * (y.i - x.i) <= x.n
+),
+islands AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, d ORDER BY i) AS island FROM again),
+stretches AS (SELECT doc_id, d, min(i) AS start, max(i) + 5 - min(i) + d AS length FROM islands GROUP BY doc_id, d, island),
+runs AS MATERIALIZED (
+    SELECT doc_id, start, length, min(d) AS period FROM stretches
+    WHERE length >= greatest(6, 4 * d) GROUP BY doc_id, start, length
+),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length DESC, start, period) AS place FROM runs),
+listed AS (
+    SELECT doc_id, count(*) AS n_runs, list({{'s': start + period, 'e': start + length}}) AS gone,
+        string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines
+    FROM runs GROUP BY doc_id
+)
+SELECT t.doc_id, coalesce(n_runs, 0) AS n_runs, CAST(start AS BIGINT) AS start, CAST(length AS BIGINT) AS length,
+    CAST(period AS BIGINT) AS period, CAST(1000 * length // period AS BIGINT) AS exponent_milli,
+    sha256(coalesce(lines, '')) AS runs_sha256,
+    sha256(CASE WHEN gone IS NULL THEN array_to_string(words, ' ') ELSE array_to_string(list_transform(
+        list_filter(range(n), lambda i: len(list_filter(gone, lambda r: r.s <= i AND i < r.e)) = 0), lambda i: words[i + 1]), ' ') END)
+        AS collapsed_sha256
+FROM texts t LEFT JOIN listed l ON l.doc_id = t.doc_id LEFT JOIN ranked r ON r.doc_id = t.doc_id AND r.place = 1
+"""
+
+ORACLE["op13_importance_resampling"] = f"""
+WITH RECURSIVE {_CRC_TABLE},
+texts AS MATERIALIZED (SELECT doc_id, {_ALNUM_WORDS} AS words FROM documents),
+doc_words AS MATERIALIZED (SELECT doc_id, unnest(words) AS w FROM texts),
+item_words AS MATERIALIZED (SELECT unnest({_ALNUM_WORDS}) AS w FROM benchmark),
+every AS (SELECT w FROM doc_words UNION SELECT w FROM item_words),
+hashed AS MATERIALIZED (SELECT w, {_crc("w")} % 10000 AS bucket FROM every, crc_table),
+raw AS (SELECT bucket, count(*) AS s FROM doc_words JOIN hashed USING (w) GROUP BY bucket),
+wanted AS (SELECT bucket, count(*) AS t FROM item_words JOIN hashed USING (w) GROUP BY bucket),
+gains AS (
+    SELECT b AS bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM doc_words) + 10000)::DOUBLE
+        / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT count(*) FROM item_words) + 10000)::DOUBLE))) AS BIGINT) AS gain
+    FROM (SELECT unnest(range(10000)) AS b) LEFT JOIN raw ON raw.bucket = b LEFT JOIN wanted ON wanted.bucket = b
+),
+weights AS (
+    SELECT doc_id, CAST(sum(gain) AS BIGINT) AS weight FROM doc_words JOIN hashed USING (w) JOIN gains USING (bucket) GROUP BY doc_id
+),
+scored AS (
+    SELECT doc_id, CAST(len(words) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+        coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE)
+            / 4294967296::DOUBLE))) AS BIGINT) AS score
+    FROM texts LEFT JOIN weights USING (doc_id)
+),
+ranked AS (
+    SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM scored WHERE n_features >= 20
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * n // 100 THEN place END AS rank
+FROM scored LEFT JOIN ranked USING (doc_id)
+"""
