@@ -9,9 +9,9 @@ from datetime import timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seriesloom.functions.columns import pearson
 from seriesloom.operators.chunks import HOUR, bounded_window, join_per_key, row_window, with_position
 from seriesloom.operators.features import full_frame
+from seriesloom.operators.lagged import centred, correlation_of_sums, lagged_sums, number_rows
 
 # Season of a daily series, and width of the short moving average.
 YEARLY_PERIOD = 365
@@ -82,17 +82,13 @@ def autocorrelation(
 ) -> DataFrame:
     """(keys, acf): the correlation of the series with itself at lags 1 to ``max_lag``.
 
-    Lagged copies come from one window pass and all correlations from one aggregate.
+    Lags are rows of the series; a lag counts the rows that are known at both ends. Chunks are correlated by
+    a fast transform, so the cost hardly depends on ``max_lag``, and their sums are added per lag.
     """
-
-    def build(spec):
-        return {f"_lag{k}": F.lag(column, k).over(spec) for k in range(1, max_lag + 1)}
-
-    rows = row_window(df.select(*keys, ts, column), keys, ts, step, max_lag, 0, build, chunk_steps)
-    cells = [
-        F.struct(F.lit(k).alias("lag"), pearson(column, f"_lag{k}").alias("r")) for k in range(1, max_lag + 1)
-    ]
-    return rows.groupBy(*keys).agg(F.array(*cells).alias("acf"))
+    rows = centred(number_rows(df, keys, [column], ts, step, chunk_steps), keys, [column], ts)
+    sums = lagged_sums(rows, keys, [column], max_lag, [(0, 0)], chunk_steps).where(F.col("lag") > 0)
+    cells = sums.select(*keys, F.struct("lag", correlation_of_sums().alias("r")).alias("_cell"))
+    return cells.groupBy(*keys).agg(F.array_sort(F.collect_list("_cell")).alias("acf"))
 
 
 def dominant_periods(
@@ -132,30 +128,36 @@ def delay_aggregate(
     keys: Sequence[str],
     column: str,
     weights: DataFrame,
-    max_lag: int,
     ts: str = "ts",
     step: timedelta = HOUR,
     out: str = "delayed",
     chunk_steps: int | None = None,
 ) -> DataFrame:
-    """Weighted sum of earlier values; ``weights`` is (keys, lag, weight), lags up to ``max_lag``.
+    """Weighted sum of earlier values; ``weights`` is (keys, lag, weight), a few lags a series of any size.
 
-    NULL where a wanted earlier value is missing.
+    Each row sends its value to the positions that look back at it, so the work is that of the lags
+    a series has, not of all lags up to the largest. NULL where a wanted earlier value is missing.
     """
-    by_lag = weights.groupBy(*keys).agg(
-        F.map_from_entries(F.collect_list(F.struct("lag", "weight"))).alias("_weights")
+    sent = weights.select(*keys, F.struct(F.col("lag").cast("bigint").alias("lag"), "weight").alias("_to"))
+    by_key = sent.groupBy(*keys).agg(F.collect_list("_to").alias("_sends"))
+    rows = join_per_key(number_rows(df, keys, [c for c in df.columns if c not in (*keys, ts)], ts, step, chunk_steps), by_key, keys, ts)
+    own = F.array(F.struct(F.lit(0).cast("bigint").alias("lag"), F.lit(None).cast("double").alias("weight")))
+    sends = F.when(F.col("_sends").isNotNull(), F.concat(own, F.col("_sends"))).otherwise(own)
+    each = rows.withColumn("_to", F.explode(sends))
+    home = F.col("_to.lag") == 0
+    met = (
+        each.withColumn("_at", F.col("position") + F.col("_to.lag"))
+        .where(F.col("_at") < F.col("n_rows"))
+        .groupBy(*keys, "_at")
+        .agg(
+            F.any_value(F.when(home, F.struct(*df.columns)), ignoreNulls=True).alias("_row"),
+            F.max(F.when(home, F.size("_sends"))).alias("_wanted"),
+            F.sum(F.when(~home, F.col("_to.weight") * F.col(column))).alias("_sum"),
+            F.count(F.when(~home, F.col(column))).alias("_met"),
+        )
     )
-
-    def build(spec):
-        return {f"_lag{k}": F.lag(column, k).over(spec) for k in range(1, max_lag + 1)}
-
-    rows = row_window(df, keys, ts, step, max_lag, 0, build, chunk_steps)
-    rows = join_per_key(rows, by_lag, keys, ts)
-    total: Column = F.lit(0.0)
-    for k in range(1, max_lag + 1):
-        w = F.try_element_at("_weights", F.lit(k))
-        total = total + F.when(w.isNotNull(), w * F.col(f"_lag{k}")).otherwise(F.lit(0.0))
-    return rows.withColumn(out, F.when(F.col("_weights").isNotNull(), total)).select(*df.columns, out)
+    complete = F.when(F.col("_met") == F.col("_wanted"), F.col("_sum"))
+    return met.select(*[F.col("_row").getField(c).alias(c) for c in df.columns], complete.alias(out))
 
 
 def difference_weights(d: int, seasonal_d: int, m: int) -> dict[int, int]:

@@ -62,7 +62,7 @@ def acf_gappy(spark, folder):
 def delay_gappy(spark, folder):
     means = panels.hourly_mean(spark, folder)
     weights = means.select(*TYPES).distinct().select(*TYPES, F.explode(F.lit([3, 24])).alias("lag")).withColumn("weight", F.col("lag") / 27)
-    return _out(decompose.delay_aggregate(means, TYPES, "y", weights, 24, chunk_steps=CHUNK), KT, ["delayed"])
+    return _out(decompose.delay_aggregate(means, TYPES, "y", weights, chunk_steps=CHUNK), KT, ["delayed"])
 
 
 @query

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from seriesloom.plans.queries import EVENT_TYPES, HOLIDAYS, LATENCY
+import math
+
+from seriesloom.plans.queries import EVENT_TYPES, HOLIDAYS, LATENCY, MAX_LAG
 
 
 def r(x: str, digits: int = 6) -> str:
@@ -148,13 +150,13 @@ se AS (SELECT part, phase, m - avg(m) OVER (PARTITION BY part) AS seasonal FROM
 de AS (SELECT tr.*, se.seasonal, y - trend - se.seasonal AS resid FROM tr JOIN se ON se.part = {part} AND se.phase = tr.phase)"""
 
 
-MAX_LAG = 48
+TOP_LAGS = int(math.log(MAX_LAG))
 ACF = f"""{hourly()},
 num AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts) AS i FROM dense),
 acf AS (SELECT a.event_type, l.lag, corr(a.y, b.y) AS r FROM num a, (SELECT unnest(range(1, {MAX_LAG + 1}))::INTEGER AS lag) l, num b
     WHERE a.event_type = b.event_type AND b.i = a.i - l.lag GROUP BY 1, 2),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY r DESC, lag) AS rank FROM acf),
-top AS (SELECT event_type, rank, lag, r, exp(r) / sum(exp(r)) OVER (PARTITION BY event_type) AS weight FROM ranked WHERE rank <= 3)"""
+top AS (SELECT event_type, rank, lag, r, exp(r) / sum(exp(r)) OVER (PARTITION BY event_type) AS weight FROM ranked WHERE rank <= {TOP_LAGS})"""
 
 BLEND = """mae AS (SELECT {k}, avg(abs(y - naive1)) AS m1, avg(abs(y - naive24)) AS m24, avg(abs(y - roll24)) AS mr
     FROM fc WHERE split = 'validation' GROUP BY 1),
@@ -417,7 +419,7 @@ SELECT {TYPED}, {r('trend')} AS trend, {r('y - trend')} AS seasonal FROM t""",
     "acf_topk": f"WITH {ACF} SELECT event_type, CAST(rank AS INTEGER) AS rank, lag, {shown(['r', 'weight'])} FROM top",
     "delay_aggregate": f"""WITH {ACF}, d AS (SELECT a.event_type, a.ts, sum(t.weight * b.y) AS v, count(b.y) AS c FROM num a JOIN top t USING (event_type)
     LEFT JOIN num b ON b.event_type = a.event_type AND b.i = a.i - t.lag GROUP BY 1, 2)
-SELECT {TYPED}, {r('CASE WHEN c = 3 THEN v END')} AS delayed FROM d""",
+SELECT {TYPED}, {r(f'CASE WHEN c = {TOP_LAGS} THEN v END')} AS delayed FROM d""",
     "seasonal_diff": f"""WITH {hourly()}, {COARSE.format(source='dense')}
 SELECT {TYPED}, {r('y - lag(y, 1) OVER w - lag(y, 8) OVER w + lag(y, 9) OVER w')} AS diff FROM coarse WINDOW w AS (PARTITION BY event_type ORDER BY ts)""",
     "quantile_bands": f"""WITH {forecasts()}, q AS (SELECT event_type, hour(ts) AS h, quantile_cont(y - roll24, 0.1) AS q1, quantile_cont(y - roll24, 0.5) AS q5,

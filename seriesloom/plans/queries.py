@@ -632,7 +632,7 @@ def trend_split(spark, folder):
     return _out(decompose.trend_split(panels.hourly_dense(spark, folder), TYPES, "y"), KT, ["trend", "seasonal"])
 
 
-MAX_LAG = 48
+MAX_LAG = 336
 
 
 def _periods(spark, folder):
@@ -648,7 +648,7 @@ def acf_topk(spark, folder):
 def delay_aggregate(spark, folder):
     dense = panels.hourly_dense(spark, folder)
     weights = _periods(spark, folder).select(*TYPES, "lag", "weight")
-    return _out(decompose.delay_aggregate(dense, TYPES, "y", weights, MAX_LAG), KT, ["delayed"])
+    return _out(decompose.delay_aggregate(dense, TYPES, "y", weights), KT, ["delayed"])
 
 
 @query

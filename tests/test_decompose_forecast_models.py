@@ -45,7 +45,7 @@ def test_periods_find_the_season(series):
     assert {rows[0].lag, rows[1].lag} == {12, 24}
     assert sum(r.weight for r in rows) == pytest.approx(1.0)
     weights = decompose.dominant_periods(df, ["key"], "y", 30).select("key", "lag", "weight")
-    out = decompose.delay_aggregate(df, ["key"], "y", weights, 30).orderBy("ts").collect()
+    out = decompose.delay_aggregate(df, ["key"], "y", weights).orderBy("ts").collect()
     deepest = max(r.lag for r in rows)
     assert out[deepest - 1].delayed is None and out[deepest].delayed is not None
     want = sum(r.weight * out[100 - r.lag].y for r in rows)
