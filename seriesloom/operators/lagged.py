@@ -27,6 +27,10 @@ SUMS = ("n", "sum_a", "sum_b", "sum_aa", "sum_bb", "sum_ab")
 ROUNDING = 1e-12
 
 
+def no_rows(schema: T.StructType) -> pd.DataFrame:
+    return pd.DataFrame({f.name: pd.Series([], dtype=object) for f in schema})
+
+
 def chunk_size(reach: int, chunk_steps: int | None = None) -> int:
     """Rows of a chunk: many times its reach, so that few rows are copied to a neighbour."""
     return chunk_steps or max(10 * reach, CHUNK_STEPS)
@@ -63,10 +67,12 @@ def over_chunks(
         part = part.sort_values(position)
         places = part[position].to_numpy()
         begin = key[-1] * size
+        if places[-1] < begin:  # rows of the chunk before only
+            return no_rows(schema)
         made_here = kernel(part[list(columns)].to_numpy(float), int(places[0]), int((places < begin).sum()), *more)
         made_here = pd.DataFrame(made_here)
-        if (places >= begin).sum() == 0:
-            made_here = made_here[:0]
+        if made_here.empty:
+            return no_rows(schema)
         for k, value in zip(keys, key, strict=False):
             made_here[k] = value
         return made_here[schema.fieldNames()]
@@ -82,7 +88,7 @@ def over_chunks(
 
     def met(key: tuple, part: pd.DataFrame, told_here: pd.DataFrame) -> pd.DataFrame:
         if part.empty or told_here.empty:
-            return pd.DataFrame({f.name: [] for f in schema})
+            return no_rows(schema)
         return run(key, part, told_here.iloc[0].rename(lambda c: c.removeprefix("_of_")))
 
     return (
