@@ -1,13 +1,9 @@
-"""Forecasters fitted by Spark: trees and linear models with ``pyspark.ml``, and per-series
-autoregressions from sums of products."""
+"""Forecasters fitted by ``pyspark.ml``: trees and linear models."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
-from datetime import timedelta
+from collections.abc import Mapping, Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
@@ -16,8 +12,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seriesloom.operators.chunks import join_per_key, row_window
-from seriesloom.operators.decompose import difference_weights
 from seriesloom.operators.scale import inverse_target, minmax_fit, scale_target
 from seriesloom.session import cut_lineage
 from seriesloom.sources.files import small_table
@@ -132,118 +126,3 @@ def score_window(
 ) -> DataFrame:
     rows = windows.withColumn("_x", array_to_vector(flat_window(seq, features)))
     return model.transform(rows).select(*ids, "y_pred")
-
-
-# Largest autoregressive order tried, season of a 3-hour series.
-MAX_ORDER = 3
-SEASON = 8
-
-
-def fit_seasonal_ar(
-    df: DataFrame,
-    keys: Sequence[str],
-    column: str,
-    d: int = 0,
-    seasonal_d: int = 1,
-    m: int = SEASON,
-    exog: Sequence[str] = (),
-    max_order: int = MAX_ORDER,
-    ts: str = "ts",
-    step: timedelta = timedelta(hours=3),
-) -> DataFrame:
-    """(keys, p, seasonal_p, n, aic, coefficients): the best order of each series by AIC.
-
-    The differenced series is regressed on a constant, its last ``p`` values, its value one
-    season back and ``exog``. Every order reads the same sums of products, so the data is
-    aggregated once; what is left per series is a small matrix.
-    """
-    rows = _ar_rows(df, keys, column, d, seasonal_d, m, exog, max_order, ts, step)
-    terms = ["_one", *[f"_ar{k}" for k in range(1, max_order + 1)], "_season", *exog, "_w"]
-    rows = rows.withColumn("_one", F.lit(1.0)).dropna(subset=terms)
-    size = len(terms)
-    products = [
-        F.sum(F.col(terms[i]) * F.col(terms[j])) for i in range(size) for j in range(i, size)
-    ]
-    sums = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.array(*products).alias("_products"))
-    schema = T.StructType(
-        [
-            *[sums.schema[k] for k in keys],
-            T.StructField("p", T.IntegerType()),
-            T.StructField("seasonal_p", T.IntegerType()),
-            T.StructField("n", T.LongType()),
-            T.StructField("aic", T.DoubleType()),
-            T.StructField("coefficients", T.ArrayType(T.DoubleType())),
-        ]
-    )
-    n_exog = len(exog)
-
-    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        upper = np.triu_indices(size)
-        for batch in batches:
-            found = []
-            for n, products in zip(batch["n"], batch["_products"]):
-                gram = np.zeros((size, size))
-                gram[upper] = products
-                gram = gram + gram.T - np.diag(np.diag(gram))
-                found.append(_best_order(gram, int(n), max_order, n_exog))
-            fits = pd.DataFrame(found, columns=["p", "seasonal_p", "aic", "coefficients"])
-            yield pd.concat([batch[[*keys, "n"]].reset_index(drop=True), fits], axis=1)[schema.fieldNames()]
-
-    return sums.mapInPandas(choose, schema)
-
-
-def _best_order(gram: np.ndarray, n: int, max_order: int, n_exog: int):
-    """Least squares for every order from one matrix of sums of products."""
-    size, best = len(gram), None
-    extra = list(range(max_order + 2, max_order + 2 + n_exog))
-    for p in range(max_order + 1):
-        for seasonal_p in (0, 1):
-            used = [0, *range(1, p + 1), *([max_order + 1] if seasonal_p else []), *extra]
-            normal, moment = gram[np.ix_(used, used)], gram[used, -1]
-            beta = np.linalg.lstsq(normal, moment, rcond=None)[0]
-            left = max(gram[-1, -1] - beta @ moment, 1e-12 * max(n, 1))
-            aic = n * np.log(left / n) + 2 * (len(used) + 1)
-            if best is None or aic < best[2] - 1e-9:
-                full = np.zeros(size - 1)
-                full[used] = beta
-                best = (p, seasonal_p, float(aic), full.tolist())
-    return best
-
-
-def _ar_rows(df, keys, column, d, seasonal_d, m, exog, max_order, ts, step) -> DataFrame:
-    """The differenced series, its lags, and ``_base``: what undoes the difference."""
-    weights = difference_weights(d, seasonal_d, m)
-    reach = max(weights) if weights else 0
-
-    def diff(spec):
-        base = sum((F.lag(column, k).over(spec) * float(-w) for k, w in weights.items() if k), F.lit(0.0))
-        return {"_base": base}
-
-    def lagged(spec):
-        out = {f"_ar{k}": F.lag("_w", k).over(spec) for k in range(1, max_order + 1)}
-        return out | {"_season": F.lag("_w", m).over(spec)}
-
-    narrow = df.select(*keys, ts, column, *exog)
-    base = row_window(narrow, keys, ts, step, reach, 0, diff).withColumn("_w", F.col(column) - F.col("_base"))
-    return row_window(base, keys, ts, step, max(m, max_order), 0, lagged)
-
-
-def score_seasonal_ar(
-    df: DataFrame,
-    fits: DataFrame,
-    keys: Sequence[str],
-    column: str,
-    d: int = 0,
-    seasonal_d: int = 1,
-    m: int = SEASON,
-    exog: Sequence[str] = (),
-    max_order: int = MAX_ORDER,
-    ts: str = "ts",
-    step: timedelta = timedelta(hours=3),
-) -> DataFrame:
-    """(keys, ts, y_pred): one-step forecasts, back on the level of the series."""
-    rows = _ar_rows(df, keys, column, d, seasonal_d, m, exog, max_order, ts, step)
-    rows = join_per_key(rows, fits.select(*keys, "coefficients"), keys, ts)
-    terms = [F.lit(1.0), *[F.col(f"_ar{k}") for k in range(1, max_order + 1)], F.col("_season"), *map(F.col, exog)]
-    change = sum((F.col("coefficients")[i] * t for i, t in enumerate(terms)), F.lit(0.0))
-    return rows.select(*keys, ts, (F.col("_base") + change).alias("y_pred")).dropna(subset=["y_pred"])

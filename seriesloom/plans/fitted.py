@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import functions as F
 
-from seriesloom.operators import scale, split, window_model
+from seriesloom.operators import arma, clean, features, forecast, grid, metrics, scale, split, window_model
+from seriesloom.operators.chunks import running_totals
 from seriesloom.plans import panels
-from seriesloom.plans.oracle import TYPED, hourly, shown, splits
-from seriesloom.plans.panels import TYPES
-from seriesloom.plans.queries import KT, Query, _array_sum, _out, _test
+from seriesloom.plans.oracle import TYPED, hourly, r, scores, shown, splits
+from seriesloom.plans.panels import TYPES, USERS
+from seriesloom.plans.queries import KT, STEP_3H, Query, _array_sum, _out, _test
+from seriesloom.session import cut_lineage
 
 QUERIES: dict[str, Query] = {}
 
@@ -31,20 +35,228 @@ def window_forecast(spark, folder):
     return _out(level.join(_test(rows).select(*KT), KT, "left_semi"), KT, list(steps))
 
 
-def solved(source: str, key: str) -> str:
+# --- seasonal autoregressions ---------------------------------------------------------------
+
+CANDIDATES = ("n", "day_of_week_sin", "day_of_week_cos")
+EXOG_SHAPE = arma.Shape("y", ("x1", "x2"), 1, 1, 8, 2, 1, 1, 0, 12)
+PLAIN_SHAPE = arma.Shape("y", (), 1, 1, 8, 2, 1, 1, 0, 12)
+AR_SHAPE = arma.Shape("y", (), 1, 1, 8, 3, 0, 1, 0)
+EXOG_ORDERS = [(2, 1, 1, 0)]
+HORIZON = 72
+
+
+def _coarse(spark, folder, keys):
+    rows = grid.resample_mean(panels.hourly_dense(spark, folder, keys), keys, ["y"], "3 hours")
+    return split.chrono_split(rows, keys, step=STEP_3H).select(*keys, "ts", "y", "split")
+
+
+@query
+def seasonal_arma(spark, folder):
+    """One step ahead with shocks and the two best of three exogenous columns, fitted before 70% and run after."""
+    hours = grid.to_grid(panels.hourly(spark, folder), TYPES, unique=True).withColumnRenamed("total", "y")
+    hours = features.add_cyclical(hours.fillna(0, ["y", "n"]).withColumn("n", F.col("n").cast("double")), parts=("day_of_week",))
+    coarse = grid.resample_mean(hours, TYPES, ["y", *CANDIDATES], "3 hours")
+    rows = split.chrono_split(coarse, TYPES, step=STEP_3H).drop("position", "n_rows")
+    train = rows.where(F.col("split") == "train")
+    best = [r["feature"] for r in forecast.rank_features(train, CANDIDATES, "y", 2).orderBy("rank").collect()]
+    used = clean.select_features(rows, best, [*KT, "split", "y"]).toDF(*KT, "split", "y", "x1", "x2")
+    fits = arma.fit_arma(used.where(F.col("split") == "train"), TYPES, EXOG_SHAPE, EXOG_ORDERS)
+    made = arma.forecast_next(used, fits, TYPES, EXOG_SHAPE)
+    return _out(made.join(used.where(F.col("split") != "train").select(*KT), KT, "left_semi"), KT, ["y_pred"])
+
+
+@query
+def arma_orders(spark, folder):
+    """The order of each series by AIC."""
+    rows = _coarse(spark, folder, TYPES)
+    fits = arma.fit_arma(rows.where(F.col("split") == "train"), TYPES, PLAIN_SHAPE)
+    return _out(fits, [*TYPES, "p", "q", "seasonal_p", "seasonal_q", "n"], ["aic"], 5)
+
+
+@query
+def arma_horizon(spark, folder):
+    """From the end of the training rows on, each 3-hour step on the forecasts before it, carried to the hours."""
+    dense = panels.hourly_dense(spark, folder)
+    train = _coarse(spark, folder, TYPES).where(F.col("split") == "train")
+    fits = arma.fit_arma(train, TYPES, PLAIN_SHAPE)
+    made = arma.forecast_horizon(train, fits, TYPES, PLAIN_SHAPE, HORIZON)
+    hours = _test(split.chrono_split(dense, TYPES)).select(*KT)
+    return _out(grid.asof_fill(hours, made, TYPES, ["y_pred", "horizon"]), [*KT, "horizon"], ["y_pred"])
+
+
+@query
+def seasonal_ar(spark, folder):
+    """Per-user seasonal autoregressions on 3-hour means with one plain and one seasonal difference,
+    fitted before 70% and scored after."""
+    rows = _coarse(spark, folder, USERS)
+    fits = arma.fit_arma(rows.where(F.col("split") == "train"), USERS, AR_SHAPE)
+    made = arma.forecast_next(rows.drop("split"), fits, USERS, AR_SHAPE)
+    scored = rows.where(F.col("split") != "train").join(made, [*USERS, "ts"])
+    return _out(metrics.scoreboard(scored.withColumnRenamed("y", "y_true"), USERS), [*USERS, "n"], ["mae", "rmse", "smape"], 5)
+
+
+# --- unit roots -----------------------------------------------------------------------------
+
+KINDS = ["event_type", "kind"]
+
+
+def _flows_and_stocks(spark, folder):
+    """The 3-hour means of each type, their running totals, and the running totals of these: differenced 0, 1 and 2 times."""
+    rows = _coarse(spark, folder, TYPES).select(*KT, "y")
+    parts, level = [], rows
+    for kind in ("flow", "stock", "stock_of_stock"):
+        parts.append(level.select("event_type", F.lit(kind).alias("kind"), "ts", "y"))
+        level = running_totals(level, TYPES, "ts", "y", "stock", step=STEP_3H).select(*KT, F.col("stock").alias("y"))
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+@query
+def difference_order(spark, folder):
+    return _out(arma.difference_order(_flows_and_stocks(spark, folder), KINDS, "y"), [*KINDS, "d", "lags", "n"], ["t_stat"])
+
+
+@query
+def difference_rounds(spark, folder):
+    """Every series, differenced as often as its own test says."""
+    rows = cut_lineage(_flows_and_stocks(spark, folder))
+    made = arma.difference_rounds(rows, arma.difference_order(rows, KINDS, "y"), KINDS, "y")
+    return _out(made, [*KINDS, "ts"], ["diff"], 5)
+
+
+def solved(source: str, key: str, name: str = "solved") -> str:
     """``solved``: for each key the matrix ``m`` after elimination of its square left part; what stands right of it is the solution."""
     return f"""
-elim({key}, k, m) AS (
+{name}_steps({key}, k, m) AS (
     SELECT {key}, 0, m FROM {source}
     UNION ALL
     SELECT {key}, k + 1, list_transform(m, lambda row, i: CASE WHEN i = k + 1 THEN list_transform(row, lambda x: x / row[k + 1])
         ELSE list_transform(row, lambda x, j: x - row[k + 1] * m[k + 1][j] / m[k + 1][k + 1]) END)
-    FROM elim WHERE k < len(m)
+    FROM {name}_steps WHERE k < len(m)
+),
+{name} AS (SELECT {key}, m FROM {name}_steps WHERE k = len(m))"""
+
+
+def matrix(terms: Sequence[str], *targets: str) -> str:
+    """Sums of products of the terms with each other and with the targets, as a list of rows."""
+    row = lambda a: "[" + ", ".join(f"sum(({a}) * ({b}))::DOUBLE" for b in [*terms, *targets]) + "]"
+    return "[" + ", ".join(row(a) for a in terms) + "]"
+
+
+def dot(coefficients: str, terms: Sequence[str]) -> str:
+    return " + ".join(f"{coefficients}[{i + 1}] * ({t})" for i, t in enumerate(terms))
+
+
+def arma_sql(key: str, shape: arma.Shape, orders: Sequence[tuple[int, int, int, int]]) -> str:
+    """From ``src`` (key, ts, i, fit, y, exogenous columns): ``rows`` with all terms, and ``best`` with the order and coefficients of each series."""
+    over = f"OVER (PARTITION BY {key} ORDER BY i)"
+    diff = lambda c: f"{c} - lag({c}, 1) {over} - lag({c}, 8) {over} + lag({c}, 9) {over}"
+    inputs = [f"u_{x}" for x in shape.exog]
+    changes = ", ".join(f"{diff(x)} AS u_{x}" for x in shape.exog)
+    past = [f"l{k}" for k in range(1, shape.long + 1)]
+    first = ["1", *past, *inputs]
+    names = {"one": "1", "seasonal_ar": "sar", **{f"ar{k}": f"l{k}" for k in range(1, 4)}, **{f"ma{k}": f"e{k}" for k in range(1, 4)}}
+    terms = [names.get(t, f"u_{t}") for t in shape.terms]
+    deepest = max(shape.long, shape.max_p)
+    lags = ", ".join(f"lag(w, {k}) {over} AS l{k}" for k in range(1, deepest + 1))
+    shocks = "".join(f", lag(e, {k}) {over} AS e{k}" for k in range(1, shape.max_q + 1))
+    whole = " AND ".join(f"{t} IS NOT NULL" for t in [*terms, "w"])
+    if shape.shocks:
+        long = f"""
+first_m AS (SELECT {key}, {matrix(first, 'w')} AS m FROM lagged WHERE fit AND w IS NOT NULL AND {past[-1]} IS NOT NULL GROUP BY 1),
+{solved('first_m', key, 'first')},
+shocked AS (SELECT g.*, w - ({dot('c', first)}) AS e FROM lagged g JOIN (SELECT {key}, list_transform(m, lambda row: row[len(row)]) AS c FROM first) USING ({key})),"""
+    else:
+        long = "shocked AS (SELECT *, 0 AS e FROM lagged),"
+    each = " UNION ALL ".join(
+        f"SELECT {key} || '|{o}' AS id, {matrix([terms[i] for i in shape.used(*order)], 'w')} AS m, count(*) AS n, sum(w * w) AS ww FROM rows WHERE fit AND {whole} GROUP BY {key}"
+        for o, order in enumerate(orders)
+    )
+    full = " ".join(
+        f"WHEN {o} THEN [{', '.join(f'c[{shape.used(*order).index(i) + 1}]' if i in shape.used(*order) else '0' for i in range(len(terms)))}]"
+        for o, order in enumerate(orders)
+    )
+    shown_orders = ", ".join(
+        f"CASE o {' '.join(f'WHEN {o} THEN {order[j]}' for o, order in enumerate(orders))} END AS {name}"
+        for j, name in enumerate(("p", "q", "seasonal_p", "seasonal_q"))
+    )
+    return f"""
+changed AS (SELECT *, {diff('y')} AS w{', ' + changes if changes else ''} FROM src),
+lagged AS MATERIALIZED (SELECT *, {lags} FROM changed), {long}
+rows AS MATERIALIZED (SELECT *, lag(w, {shape.m}) {over} AS sar{shocks} FROM shocked),
+order_m AS MATERIALIZED ({each}),
+{solved('order_m', 'id', 'fitted')},
+tried AS (
+    SELECT split_part(id, '|', 1) AS k, split_part(id, '|', 2)::INTEGER AS o, o.n,
+        list_transform(f.m, lambda row: row[len(row)]) AS c, list_transform(o.m, lambda row: row[len(row)]) AS moment, ww
+    FROM fitted f JOIN order_m o USING (id)
 ),
-solved AS (SELECT {key}, m FROM elim WHERE k = len(m))"""
+judged AS (SELECT *, n * ln((ww - list_dot_product(c, moment)) / n) + 2 * (len(c) + 1) AS aic FROM tried),
+best AS MATERIALIZED (
+    SELECT k, n, aic, {shown_orders}, CASE o {full} END AS c
+    FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY aic, o) AS place FROM judged) WHERE place = 1
+),
+made AS (SELECT g.*, y - w + {dot('c', terms)} AS y_pred FROM rows g JOIN best ON best.k = g.{key}::VARCHAR)"""
+
+
+def coarse_sql(key: str) -> str:
+    return f"""{hourly(key)},
+coarse AS (SELECT {key}, time_bucket(INTERVAL '3 hours', ts) AS ts, avg(y) AS y FROM dense GROUP BY 1, 2),
+{splits('coarse', 'sp', key)},
+src AS (SELECT {key}, ts, position AS i, split = 'train' AS fit, y FROM sp)"""
+
+
+CYCLE = ", ".join(f"avg({f}(2 * pi() * ((dayofweek(ts) + 6) % 7) / 7.0)) AS day_of_week_{f}" for f in ("sin", "cos"))
+
+
+def _unit_root_sql() -> str:
+    """``orders``: the number of differences of each series of ``src`` (key, i, y)."""
+    over = "OVER (PARTITION BY key ORDER BY i)"
+    rounds = "d0 AS (SELECT key, i, y - avg(y) OVER (PARTITION BY key) AS v0 FROM src)"
+    rounds += "".join(f", d{d} AS (SELECT *, v{d - 1} - lag(v{d - 1}) {over} AS v{d} FROM d{d - 1})" for d in range(1, arma.MAX_D + 2))
+    lags = range(1, arma.MAX_LAGS + 1)
+    each = []
+    for d in range(arma.MAX_D + 1):
+        cells = ", ".join(f"lag(v{d + 1}, {k}) {over} AS l{k}" for k in lags)
+        source = f"(SELECT key, v{d + 1} AS dy, lag(v{d}) {over} AS b, {cells} FROM d{arma.MAX_D + 1})"
+        for k in range(arma.MAX_LAGS + 1):
+            terms = ["1", "b", *[f"l{j}" for j in range(1, k + 1)]]
+            each.append(f"""SELECT key || '|{d}|{k}' AS id, {matrix(terms, 'dy')} AS m, count(*) AS n, sum(dy * dy) AS ww
+                FROM {source} WHERE l{arma.MAX_LAGS} IS NOT NULL GROUP BY key""")
+    return f"""
+{rounds},
+order_m AS MATERIALIZED ({' UNION ALL '.join(each)}),
+unit AS (SELECT id, list_transform(m, lambda row, i: list_append(row, CASE WHEN i = 2 THEN 1 ELSE 0 END)) AS m FROM order_m),
+{solved('unit', 'id', 'fitted')},
+tried AS (
+    SELECT split_part(id, '|', 1) AS key, split_part(id, '|', 2)::INTEGER AS d, split_part(id, '|', 3)::INTEGER AS lags, n,
+        len(f.m) AS size, list_transform(f.m, lambda row: row[len(row) - 1]) AS c, f.m[2][len(f.m) + 2] AS inv,
+        ww - list_dot_product(list_transform(f.m, lambda row: row[len(row) - 1]), list_transform(o.m, lambda row: row[len(row)])) AS rest
+    FROM fitted f JOIN order_m o USING (id)
+),
+chosen AS (SELECT *, c[2] / sqrt(rest / (n - size) * inv) AS t_stat, row_number() OVER (PARTITION BY key, d ORDER BY n * ln(rest / n) + 2 * size) AS place FROM tried),
+orders AS (
+    SELECT key, min_by(struct_pack(d := d, lags := lags, n := n, t_stat := t_stat), d) AS o FROM chosen
+    WHERE place = 1 AND (t_stat < {arma.UNIT_ROOT_5} OR d = {arma.MAX_D}) GROUP BY key
+)"""
 
 
+FLOWS = f"""{hourly()},
+coarse AS (SELECT event_type, time_bucket(INTERVAL '3 hours', ts) AS ts, avg(y) AS y FROM dense GROUP BY 1, 2),
+stock AS (SELECT event_type, ts, sum(y) OVER (PARTITION BY event_type ORDER BY ts) AS y FROM coarse),
+stock2 AS (SELECT event_type, ts, sum(y) OVER (PARTITION BY event_type ORDER BY ts) AS y FROM stock),
+every AS (SELECT event_type, 'flow' AS kind, ts, y FROM coarse UNION ALL SELECT event_type, 'stock', ts, y FROM stock
+    UNION ALL SELECT event_type, 'stock_of_stock', ts, y FROM stock2),
+src AS (SELECT *, event_type || '/' || kind AS key, row_number() OVER (PARTITION BY event_type, kind ORDER BY ts) AS i FROM every)"""
+
 ORACLE = {
+    "difference_order": f"""
+WITH RECURSIVE {FLOWS}, {_unit_root_sql()}
+SELECT split_part(key, '/', 1) AS event_type, split_part(key, '/', 2) AS kind, o.d AS d, o.lags AS lags, o.n AS n, {r('o.t_stat')} AS t_stat FROM orders""",
+    "difference_rounds": f"""
+WITH RECURSIVE {FLOWS}, {_unit_root_sql()},
+made AS (SELECT s.*, CASE o.d WHEN 0 THEN y WHEN 1 THEN y - lag(y) OVER w ELSE y - 2 * lag(y) OVER w + lag(y, 2) OVER w END AS diff
+    FROM src s JOIN orders USING (key) WINDOW w AS (PARTITION BY key ORDER BY i))
+SELECT event_type, kind, ts, {r('diff', 5)} AS diff FROM made""",
     # The ridge in its dual form: weights are a mix of the training windows.
     "window_forecast": f"""
 WITH RECURSIVE {hourly()}, {splits('dense', 'sp')},
@@ -70,4 +282,34 @@ made AS (SELECT t.event_type, t.ts, h, any_value(my[h]) + sum(list_dot_product(t
 wide AS (SELECT event_type, ts, max(v) FILTER (WHERE h = 1) AS s1, max(v) FILTER (WHERE h = 24) AS s24, avg(v) AS s FROM made GROUP BY 1, 2),
 out AS (SELECT event_type, ts, s1 * (hi - lo) + lo AS step_1, s24 * (hi - lo) + lo AS step_24, s * (hi - lo) + lo AS mean FROM wide JOIN b USING (event_type))
 SELECT {TYPED}, {shown(['step_1', 'step_24', 'mean'])} FROM out""",
+    "seasonal_arma": f"""
+WITH RECURSIVE {hourly()},
+hours AS (SELECT g.event_type, g.ts, coalesce(h.total, 0) AS y, coalesce(h.n, 0) AS n FROM grid g LEFT JOIN hourly h ON g.event_type = h.event_type AND g.ts = h.ts),
+coarse AS (SELECT event_type, time_bucket(INTERVAL '3 hours', ts) AS ts, avg(y) AS y, avg(n) AS n, {CYCLE} FROM hours GROUP BY 1, 2),
+{splits('coarse', 'sp')},
+ranked AS (SELECT list(f ORDER BY r DESC, f) AS f FROM (
+    {' UNION ALL '.join(f"SELECT '{c}' AS f, abs(corr({c}, y)) AS r FROM sp WHERE split = 'train'" for c in CANDIDATES)})),
+src AS (SELECT event_type, ts, position AS i, split = 'train' AS fit, y,
+    {', '.join(f"CASE f[{j}] {' '.join(f"WHEN '{c}' THEN {c}" for c in CANDIDATES)} END AS x{j}" for j in (1, 2))} FROM sp, ranked),
+{arma_sql('event_type', EXOG_SHAPE, EXOG_ORDERS)}
+SELECT {TYPED}, {r('y_pred')} AS y_pred FROM made WHERE NOT fit AND y_pred IS NOT NULL""",
+    "arma_orders": f"""
+WITH RECURSIVE {coarse_sql('event_type')}, {arma_sql('event_type', PLAIN_SHAPE, arma.grid_of(PLAIN_SHAPE))}
+SELECT k AS event_type, p::INTEGER AS p, q::INTEGER AS q, seasonal_p::INTEGER AS seasonal_p, seasonal_q::INTEGER AS seasonal_q, n, {r('aic', 5)} AS aic FROM best""",
+    "arma_horizon": f"""
+WITH RECURSIVE {coarse_sql('event_type')}, {arma_sql('event_type', PLAIN_SHAPE, arma.grid_of(PLAIN_SHAPE))},
+ends AS (SELECT k, max(ts) AS ts, list(y ORDER BY i)[-9:] AS ys, list(w ORDER BY i)[-8:] AS ws, list(e ORDER BY i)[-8:] AS es, any_value(c) AS c
+    FROM rows JOIN best ON k = event_type WHERE fit GROUP BY 1),
+ahead(k, h, ts, ys, ws, es, c, y_pred) AS (
+    SELECT k, 0, ts, ys, ws, es, c, NULL::DOUBLE FROM ends
+    UNION ALL
+    SELECT k, h + 1, ts + INTERVAL 3 HOURS, list_append(ys[2:], v + ys[9] + ys[2] - ys[1]), list_append(ws[2:], v), list_append(es[2:], 0), c, v + ys[9] + ys[2] - ys[1]
+    FROM (SELECT *, c[1] + c[2] * ws[8] + c[3] * ws[7] + c[4] * ws[1] + c[5] * es[8] AS v FROM ahead WHERE h < {HORIZON})
+),
+f AS (SELECT k AS event_type, ts, h AS horizon, y_pred FROM ahead WHERE h > 0),
+{splits('dense', 'hs')}
+SELECT h.event_type, h.ts, f.horizon, {r('f.y_pred')} AS y_pred FROM hs h ASOF LEFT JOIN f ON h.event_type = f.event_type AND h.ts >= f.ts WHERE h.split = 'test'""",
+    "seasonal_ar": f"""
+WITH RECURSIVE {coarse_sql('user_id')}, {arma_sql('user_id', AR_SHAPE, arma.grid_of(AR_SHAPE))}
+SELECT user_id, {scores('y', 'y_pred').replace('1e6', '1e5')} FROM made WHERE NOT fit AND y_pred IS NOT NULL GROUP BY 1""",
 }

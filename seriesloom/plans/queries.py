@@ -723,18 +723,6 @@ def stacked_linear(spark, folder):
     return metrics.scoreboard(long)
 
 
-@query
-def seasonal_ar(spark, folder):
-    """Per-user seasonal autoregressions on 3-hour means with one plain and one seasonal difference,
-    fitted before 70% and scored after."""
-    coarse = grid.resample_mean(panels.hourly_dense(spark, folder, USERS), USERS, ["y"], "3 hours")
-    rows = split.chrono_split(coarse, USERS, step=STEP_3H)
-    fits = models.fit_seasonal_ar(rows.where(F.col("split") == "train"), USERS, "y", d=1)
-    predicted = models.score_seasonal_ar(rows, fits, USERS, "y", d=1)
-    scored = rows.where(F.col("split") != "train").join(predicted, [*USERS, "ts"])
-    return metrics.scoreboard(scored.withColumnRenamed("y", "y_true"), USERS)
-
-
 @query
 def window_ridge(spark, folder):
     """A ridge regression from 72 past hours to the next one, scored on the test rows."""

@@ -137,31 +137,6 @@ def test_score_models_times_every_model(base):
     assert {r.model for r in latency.collect()} == {"same", "half"}
 
 
-def test_seasonal_ar_recovers_its_coefficients(series):
-    rng = np.random.default_rng(6)
-    w = [0.0, 0.0]
-    for _ in range(1500):
-        w.append(0.5 * w[-1] - 0.3 * w[-2] + float(rng.normal(0, 0.5)))
-    df = series({"k": w}, step=timedelta(hours=3))
-    fit = models.fit_seasonal_ar(df, ["key"], "y", seasonal_d=0).first()
-    assert fit.p >= 2
-    assert fit.coefficients[1:3] == pytest.approx([0.5, -0.3], abs=0.08)
-    level = series({"k": [v + 5 * math.sin(2 * math.pi * i / 8) for i, v in enumerate(w)]}, step=timedelta(hours=3))
-    fits = models.fit_seasonal_ar(level, ["key"], "y")
-    scored = models.score_seasonal_ar(level, fits, ["key"], "y").join(level, ["key", "ts"])
-    mae, spread = scored.agg(F.avg(F.abs(F.col("y") - F.col("y_pred"))), F.stddev("y")).first()
-    assert mae < 0.4 * spread
-
-
-def test_exogenous_column(series):
-    rng = np.random.default_rng(7)
-    x = [float(v) for v in rng.normal(size=300)]
-    df = series({"k": [2.0 * v for v in x]}, step=timedelta(hours=3))
-    df = df.withColumn("x", F.col("y") / 2)
-    fit = models.fit_seasonal_ar(df, ["key"], "y", seasonal_d=0, exog=["x"]).first()
-    assert fit.coefficients[-1] == pytest.approx(2.0, abs=1e-6)
-
-
 def test_window_ridge_and_encdec_steps(series):
     df = series({"k": seasonal(200, 12, slope=0.0)})
     rows = windows.encdec_windows(df, ["key"], ["y"], "y", 24, 3)

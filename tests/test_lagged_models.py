@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from seriesloom.operators import lagged, window_model
+from seriesloom.operators import arma, lagged, window_model
 
 HOUR = timedelta(hours=1)
 
@@ -101,3 +101,115 @@ def test_window_fit_shuffles_no_arrays(series):
     rows = lagged.number_rows(df, ["key"], ["y"])
     plan = lagged.lagged_sums(rows, ["key"], ["y"], 40)._jdf.queryExecution().executedPlan().toString()
     assert "collect_list" not in plan and "array<" not in plan
+
+
+def lag(x, k):
+    return np.concatenate([np.full(min(k, len(x)), np.nan), x[: max(len(x) - k, 0)]])
+
+
+def plain_arma(y, x, shape, orders):
+    """The two-stage fit and its one-step forecasts, with whole arrays; x has a column per exogenous series."""
+    def change_of(v):
+        for _ in range(shape.d):
+            v = v - lag(v, 1)
+        for _ in range(shape.seasonal_d):
+            v = v - lag(v, shape.m)
+        return v
+
+    def fit(columns, w):
+        rows = np.column_stack([*columns, w])
+        rows = rows[~np.isnan(rows).any(1)]
+        return np.linalg.lstsq(rows[:, :-1], rows[:, -1], rcond=None)[0], rows
+
+    w, u = change_of(y), [change_of(c) for c in x.T]
+    one = np.ones(len(w))
+    e = np.zeros(len(w))
+    if shape.shocks:
+        first = [one, *[lag(w, k) for k in range(1, shape.long + 1)], *u]
+        beta, _ = fit(first, w)
+        e = w - np.column_stack(first) @ beta
+    terms = [one, *[lag(w, k) for k in range(1, shape.max_p + 1)], *[lag(w, shape.m)] * shape.max_seasonal_p]
+    terms += [*[lag(e, k) for k in range(1, shape.max_q + 1)], *[lag(e, shape.m)] * shape.max_seasonal_q, *u]
+    _, rows = fit(terms, w)
+    best = None
+    for order in orders:
+        used = shape.used(*order)
+        beta = np.linalg.lstsq(rows[:, used], rows[:, -1], rcond=None)[0]
+        left = ((rows[:, -1] - rows[:, used] @ beta) ** 2).sum()
+        aic = len(rows) * math.log(left / len(rows)) + 2 * (len(used) + 1)
+        if best is None or aic < best[0] - 1e-9:
+            full = np.zeros(len(terms))
+            full[used] = beta
+            best = (aic, order, full)
+    made = np.column_stack(terms) @ best[2] + (y - w)
+    return best, made, w, e, u
+
+
+def arma_series(n, seed, m=8):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=n)
+    shock, w = rng.normal(size=n), np.zeros(n)
+    for t in range(2, n):
+        w[t] = 0.6 * w[t - 1] - 0.2 * w[t - 2] + shock[t] + 0.4 * shock[t - 1] + 1.5 * x[t]
+    return 1000 + np.cumsum(w) * 0.1 + 3 * np.sin(2 * np.pi * np.arange(n) / m), x
+
+
+@pytest.mark.parametrize("d, seasonal_d, q, size", [(1, 1, 1, 8192), (0, 1, 2, 120), (0, 0, 1, 120), (1, 0, 0, 120)])
+def test_arma_is_that_of_whole_arrays(series, d, seasonal_d, q, size):
+    y, x = arma_series(400, 7)
+    shape = arma.Shape("y", ("x",), d, seasonal_d, 8, 2, q, 1, 0, 10)
+    df = series({"k": list(zip(map(float, y), map(float, x)))}, step=timedelta(hours=3), schema="key string, ts timestamp_ntz, v struct<y:double,x:double>").select("key", "ts", "v.*")
+    fits = arma.fit_arma(df, ["key"], shape, chunk_steps=size)
+    (aic, order, beta), made, *_ = plain_arma(y - y.mean(), (x - x.mean())[:, None], shape, arma.grid_of(shape))
+    row = fits.first()
+    assert (row.p, row.q, row.seasonal_p, row.seasonal_q) == order and row.aic == pytest.approx(aic, abs=1e-4)
+    assert np.allclose(row.coefficients, beta, atol=1e-6)
+    got = arma.forecast_next(df, fits, ["key"], shape, chunk_steps=size).orderBy("ts").collect()
+    assert [r.y_pred for r in got] == pytest.approx(list(made[~np.isnan(made)] + y.mean()), abs=1e-5)
+
+
+def test_moving_average_terms_are_recovered(series):
+    rng = np.random.default_rng(1)
+    e = rng.normal(size=6001)
+    df = series({"k": [float(v) for v in 5 + e[1:] + 0.7 * e[:-1]]}, step=timedelta(hours=3))
+    shape = arma.Shape("y", (), 0, 0, 8, 0, 1, 0, 0, 20)
+    fit = arma.fit_arma(df, ["key"], shape, [(0, 1, 0, 0)], chunk_steps=500).first()
+    assert fit.coefficients[1] == pytest.approx(0.7, abs=0.03)
+
+
+@pytest.mark.parametrize("with_exog", [True, False])
+def test_horizon_repeats_its_own_forecasts(series, with_exog):
+    y, x = arma_series(260, 9)
+    past, horizon = 220, 40
+    exog = ("x",) if with_exog else ()
+    shape = arma.Shape("y", exog, 1, 1, 8, 2, 1, 1, 1, 10)
+    df = series({"k": list(zip(map(float, y), map(float, x)))}, step=timedelta(hours=3), schema="key string, ts timestamp_ntz, v struct<y:double,x:double>").select("key", "ts", "v.*")
+    known = df.orderBy("ts").limit(past)
+    fits = arma.fit_arma(known, ["key"], shape)
+    got = arma.forecast_horizon(known, fits, ["key"], shape, horizon, df).orderBy("ts").collect()
+    xs = x[:past, None] if with_exog else np.zeros((past, 0))
+    (_, _, beta), _, w, e, _ = plain_arma(y[:past] - y[:past].mean(), xs - (xs.mean(0) if with_exog else 0), shape, arma.grid_of(shape))
+    level, w, e = list(y[:past]), list(w), list(e)
+    du = x - lag(x, 1)
+    du = du - lag(du, 8)
+    for t in range(past, past + horizon):
+        terms = [1.0, w[t - 1], w[t - 2], w[t - 8], e[t - 1], e[t - 8], *([du[t]] if with_exog else [])]
+        w.append(float(np.dot(beta, terms)))
+        e.append(0.0)
+        level.append(w[t] + level[t - 1] + level[t - 8] - level[t - 9])
+    assert [r.horizon for r in got] == list(range(1, horizon + 1))
+    assert [r.y_pred for r in got] == pytest.approx(level[past:], abs=1e-4)
+    assert [r.ts for r in got] == [r.ts for r in df.orderBy("ts").collect()][past:]
+
+
+def test_arma_of_series_without_keys_and_short_series(series):
+    y, _ = arma_series(120, 3)
+    shape = arma.Shape("y", (), 1, 0, 4, 1, 1, 0, 0, 4)
+    one = series({"k": [float(v) for v in y]}, step=timedelta(hours=3)).drop("key")
+    fits = arma.fit_arma(one, [], shape)
+    assert fits.count() == 1
+    assert arma.forecast_next(one, fits, [], shape).count() == 120 - shape.reach
+    assert arma.forecast_horizon(one, fits, [], shape, 5).count() == 5
+    short = series({"a": [1.0, 2.0], "b": [float(v) for v in y]}, step=timedelta(hours=3))
+    fits = arma.fit_arma(short, ["key"], shape)
+    assert {r.key for r in arma.forecast_horizon(short, fits, ["key"], shape, 3).collect()} == {"b"}
