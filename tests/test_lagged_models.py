@@ -213,3 +213,36 @@ def test_arma_of_series_without_keys_and_short_series(series):
     short = series({"a": [1.0, 2.0], "b": [float(v) for v in y]}, step=timedelta(hours=3))
     fits = arma.fit_arma(short, ["key"], shape)
     assert {r.key for r in arma.forecast_horizon(short, fits, ["key"], shape, 3).collect()} == {"b"}
+
+
+def plain_unit_root(y, max_lags=3):
+    dy = np.diff(y)
+    best = None
+    for k in range(max_lags + 1):
+        x = [np.ones(len(dy) - max_lags), y[max_lags:-1], *[dy[max_lags - j : len(dy) - j] for j in range(1, k + 1)]]
+        x, t = np.stack(x, 1), dy[max_lags:]
+        beta = np.linalg.lstsq(x, t, rcond=None)[0]
+        left = ((t - x @ beta) ** 2).sum()
+        aic = len(t) * math.log(left / len(t)) + 2 * x.shape[1]
+        if best is None or aic < best[0]:
+            best = (aic, k, beta[1] / math.sqrt(left / (len(t) - x.shape[1]) * np.linalg.inv(x.T @ x)[1, 1]))
+    return best[1:]
+
+
+@pytest.mark.parametrize("size", [8192, 60])
+def test_series_are_differenced_until_no_unit_root_is_left(series, size):
+    rng = np.random.default_rng(2)
+    noise = rng.normal(size=300) + 100
+    data = {"flow": noise, "stock": np.cumsum(noise - 100), "twice": np.cumsum(np.cumsum(noise - 100)), "flat": np.full(50, 7.0), "line": np.arange(50.0)}
+    df = series({k: values_of(v) for k, v in data.items()}, step=timedelta(hours=3))
+    orders = arma.difference_order(df, ["key"], "y", chunk_steps=size)
+    got = {r.key: r for r in orders.collect()}
+    assert {k: r.d for k, r in got.items()} == {"flow": 0, "stock": 1, "twice": 2, "flat": 0, "line": 1}
+    assert got["flat"].t_stat is None
+    for key, d in (("flow", 0), ("stock", 1), ("twice", 2)):
+        lags, t = plain_unit_root(np.diff(data[key], d))
+        assert (got[key].lags, got[key].t_stat) == (lags, pytest.approx(t, rel=1e-6))
+    made = arma.difference_rounds(df, orders, ["key"], "y", chunk_steps=size)
+    for key, d in (("flow", 0), ("stock", 1), ("twice", 2)):
+        diff = [r.diff for r in made.where(F.col("key") == key).orderBy("ts").collect()]
+        assert diff[:d] == [None] * d and diff[d:] == pytest.approx(list(np.diff(data[key], d)), abs=1e-6)

@@ -84,3 +84,41 @@ def test_knn_blank_column_stays_null_and_fit_rows_limit_donors(spark):
     got = impute.knn_impute(df, (), ["a", "blank", "v"], k=1, fit_on=F.col("i") >= 4).orderBy("i").collect()
     assert [r.blank for r in got] == [None] * 6
     assert got[2].v == pytest.approx(40.0)
+
+
+@pytest.mark.parametrize("fan", [2, 64])
+def test_knn_down_a_deep_tree(spark, monkeypatch, fan):
+    """Blocks of four rows under nodes of two children: many levels, rows of one time, a column that is missing in some rows only."""
+    monkeypatch.setattr(impute, "FAN", fan)
+    rng = np.random.default_rng(5)
+    m = rng.normal(size=(150, 4)).cumsum(axis=0)
+    m[rng.random((150, 4)) < 0.15] = np.nan
+    m[100:120] = m[0:20]
+    flat = [(i, *[None if np.isnan(v) else float(v) for v in row]) for i, row in enumerate(m)]
+    df = spark.createDataFrame(flat, "i int, a double, b double, c double, d double").withColumn(
+        "ts", F.timestamp_seconds(F.floor(F.col("i") / 2) * 3600).cast("timestamp_ntz")
+    )
+    got = impute.knn_impute(df.coalesce(1), (), ["a", "b", "c", "d"], k=4, block_rows=4).orderBy("i").collect()
+    assert len(got) == 150
+    mine = np.array([[r.a, r.b, r.c, r.d] for r in got], float)
+    assert mine == pytest.approx(brute_force(m, 4), abs=1e-9)
+
+
+def test_visits_do_not_grow_with_the_rows(spark):
+    """Ten columns that move together: ten times the rows, about as many blocks a gap."""
+    names = [f"c{i}" for i in range(10)]
+
+    def visits(n):
+        rng = np.random.default_rng(8)
+        u, v = rng.random(n), rng.random(n)
+        m = np.stack([np.sin(3 * u + i) + 0.5 * np.cos(2 * v * (i + 1) / 5) for i in range(10)], 1)
+        m = (m - m.min(0)) / (m.max(0) - m.min(0))
+        m[:100, 0] = np.nan
+        rows = [(i, i, *[None if np.isnan(x) else float(x) for x in r]) for i, r in enumerate(m)]
+        df = spark.createDataFrame(rows, "_row long, ts long, " + ", ".join(f"{c} double" for c in names))
+        donors = impute.into_blocks(df, (), names, "ts", 32)
+        levels = impute.box_tree(donors, (), names)
+        return impute.search(df.where("c0 is null"), levels, (), names, 5).count() / 100, levels[0].count()
+
+    (few, blocks), (many, more) = visits(2_000), visits(20_000)
+    assert more > 8 * blocks and many < 2 * few and many < 0.1 * more
