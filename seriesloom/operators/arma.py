@@ -352,7 +352,7 @@ MAX_LAGS = 3
 
 
 def unit_root(gram: np.ndarray, n: int, max_lags: int) -> tuple[int, float | None]:
-    """Lag count by AIC, and the t statistic of the level; no statistic where nothing varies.
+    """Lag count by AIC, and the t statistic of the level: none where nothing changes, infinite where every fit is exact.
 
     ``gram`` holds the products of: one, the level before, ``max_lags`` earlier changes, the change.
     """
@@ -367,12 +367,12 @@ def unit_root(gram: np.ndarray, n: int, max_lags: int) -> tuple[int, float | Non
         except np.linalg.LinAlgError:
             continue
         left = gram[-1, -1] - beta @ moment
-        if n <= len(used) or left <= 0 or inverse[1, 1] <= 0:
+        if n <= len(used) or left <= 1e-12 * gram[-1, -1] or inverse[1, 1] <= 0:
             continue
         aic = n * np.log(left / n) + 2 * len(used)
         if best is None or aic < best[0] - 1e-9:
             best = (aic, lags, float(beta[1] / np.sqrt(left / (n - len(used)) * inverse[1, 1])))
-    return best[1:] if best else (0, None)
+    return best[1:] if best else (0, np.inf)
 
 
 def difference_order(

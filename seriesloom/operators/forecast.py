@@ -6,7 +6,7 @@ import time
 from collections.abc import Callable, Mapping, Sequence
 from datetime import timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from seriesloom.functions.columns import epoch_seconds, hash_unit, pearson
@@ -14,6 +14,7 @@ from seriesloom.operators.chunks import HOUR, join_per_key, row_window, with_pos
 from seriesloom.operators.quantiles import exact_quantiles, quantile_curve
 from seriesloom.operators.reshape import assemble_predictions
 from seriesloom.operators.scale import inverse_target, minmax_fit, scale_target
+from seriesloom.session import cut_lineage
 from seriesloom.sources.files import small_table
 
 # Seasons of a 3-hour series per day, training share, interval quantiles.
@@ -186,16 +187,45 @@ def score_models(
     """Run every model over the same rows.
 
     A model is a function from the rows to a table with the ids and ``y_pred``. Returns the
-    wide prediction table and, with ``timed``, (model, ms_per_prediction) measured by running
-    each model once to its end.
+    wide prediction table and, with ``timed``, (model, n, ms_per_prediction). A timed model runs once: its
+    forecasts are written to the shared folder, counted on the way, and the table is made of what was written.
     """
-    outputs = {name: model(rows) for name, model in registry.items()}
-    table = assemble_predictions(rows.select(*ids, actual), outputs, ids)
     if not timed:
-        return table, None
-    spark, measured, n = rows.sparkSession, [], rows.count()
-    for name, out in outputs.items():
+        outputs = {name: model(rows) for name, model in registry.items()}
+        return assemble_predictions(rows.select(*ids, actual), outputs, ids), None
+    spark, outputs, measured = rows.sparkSession, {}, []
+    for name, model in registry.items():
+        seen = Observation(name)
         begin = time.perf_counter()
-        out.write.format("noop").mode("overwrite").save()
-        measured.append((name, (time.perf_counter() - begin) * 1000 / max(n, 1)))
-    return table, small_table(spark, measured, "model string, ms_per_prediction double")
+        counted = model(rows).select(*ids, "y_pred").observe(seen, F.count(F.lit(1)).alias("n"))
+        outputs[name] = cut_lineage(counted)
+        spent = time.perf_counter() - begin
+        n = seen.get["n"]
+        measured.append((name, n, spent * 1000 / max(n, 1)))
+    table = assemble_predictions(rows.select(*ids, actual), outputs, ids)
+    return table, small_table(spark, measured, "model string, n long, ms_per_prediction double")
+
+
+def residual_index(
+    df: DataFrame, keys: Sequence[str], y: str, pred: str, ts: str = "ts", step: timedelta = HOUR, chunk_steps: int | None = None
+) -> DataFrame:
+    """(keys, position, n_rows, residual): the known residuals of each series, numbered from 0 in time order."""
+    residual = df.select(*keys, ts, (F.col(y) - F.col(pred)).alias("residual")).dropna(subset=["residual"])
+    return with_position(residual, keys, ts, step, chunk_steps=chunk_steps).drop(ts)
+
+
+def residual_draws(
+    df: DataFrame, index: DataFrame, keys: Sequence[str], pred: str, n: int = SAMPLES, ts: str = "ts"
+) -> DataFrame:
+    """(keys, ts, sample_id, value): ``n`` draws a row, each the forecast plus one residual of the series.
+
+    A draw is a place in the index, from a hash of series, time and sample number, looked up by a join: the work is
+    spread by place, and a repeated run draws the same. Series without residuals get no rows.
+    """
+    sizes = index.groupBy(*keys).agg(F.max("n_rows").alias("_size"))
+    rows = join_per_key(df.select(*keys, ts, F.col(pred).alias("_pred")), sizes, keys, ts, "inner")
+    asks = rows.withColumn("sample_id", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    unit = hash_unit(*keys, epoch_seconds(ts), "sample_id")
+    asks = asks.withColumn("position", F.floor(unit * F.col("_size")).cast("bigint"))
+    met = asks.join(index.select(*keys, "position", "residual"), [*keys, "position"])
+    return met.select(*keys, ts, "sample_id", (F.col("_pred") + F.col("residual")).alias("value"))

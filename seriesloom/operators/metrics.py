@@ -43,8 +43,8 @@ def lookup_metric(table: DataFrame, old: DataFrame, on: Sequence[str], columns:
 
 
 def latency_tradeoff(scores: DataFrame, latency: DataFrame) -> DataFrame:
-    """(model, mae, ms_per_prediction)."""
-    return lookup_metric(scores.select("model", "mae"), latency, ["model"], ["ms_per_prediction"])
+    """(model, n, mae, ms_per_prediction); see ``forecast.score_models`` for measured latencies."""
+    return lookup_metric(scores.select("model", "n", "mae"), latency, ["model"], ["ms_per_prediction"])
 
 
 def error_corr(residuals: DataFrame, models: Sequence[str], by: Sequence[str] = ()) -> DataFrame:

@@ -6,11 +6,24 @@ from collections.abc import Sequence
 
 from pyspark.sql import functions as F
 
-from seriesloom.operators import arma, clean, features, forecast, grid, metrics, scale, split, window_model
+from seriesloom.operators import (
+    arma,
+    clean,
+    features,
+    forecast,
+    grid,
+    metrics,
+    models,
+    reshape,
+    scale,
+    split,
+    stacking,
+    window_model,
+)
 from seriesloom.operators.chunks import running_totals
 from seriesloom.plans import panels
-from seriesloom.plans.oracle import TYPED, hourly, r, scores, shown, splits
-from seriesloom.plans.panels import TYPES, USERS
+from seriesloom.plans.oracle import TYPED, forecasts, hourly, r, scores, shown, splits
+from seriesloom.plans.panels import MODELS, TYPES, USERS
 from seriesloom.plans.queries import KT, STEP_3H, Query, _array_sum, _out, _test
 from seriesloom.session import cut_lineage
 
@@ -123,6 +136,59 @@ def difference_rounds(spark, folder):
     return _out(made, [*KINDS, "ts"], ["diff"], 5)
 
 
+# --- learning from forecasts ----------------------------------------------------------------
+
+FEATURES = ["naive1", "naive24", "roll24"]
+
+
+def _folded(spark, folder):
+    rows = panels.split_forecasts(spark, folder).select(*KT, "y", *FEATURES, "split")
+    return stacking.blocked_folds(rows, TYPES)
+
+
+@query
+def fold_forecasts(spark, folder):
+    """Every row by the regression of its fold, fitted on the other folds; test rows by that of all folds."""
+    rows = _folded(spark, folder)
+    made = stacking.fold_forecasts(rows, stacking.fit_folds(rows, TYPES, FEATURES, "y"), TYPES, FEATURES)
+    return _out(made, [*KT, "fold"], ["base"])
+
+
+@query
+def nonnegative_meta(spark, folder):
+    """The forecasts mixed by weights that are not negative, learnt and used on the scale of the training rows."""
+    rows = panels.split_forecasts(spark, folder)
+    return _out(_test(stacking.nonnegative_meta(rows, TYPES, "y", MODELS)), KT, ["meta"])
+
+
+@query
+def column_worth(spark, folder):
+    """How much worse the base regression gets on the test rows when a column changes places."""
+    rows = _folded(spark, folder)
+    fits = stacking.fit_folds(rows, TYPES, FEATURES, "y").where(F.col("fold") == stacking.ALL)
+    predict = lambda df: stacking.fold_forecasts(df, fits, TYPES, FEATURES, out="y_pred")
+    return _out(stacking.permutation_importance(_test(rows), TYPES, FEATURES, "y", predict), ["rank", "feature"], ["importance"])
+
+
+@query
+def tree_meta(spark, folder):
+    """Boosted trees on out-of-fold forecasts, stopped by the validation rows, scored on the test rows next to their parts."""
+    rows = _folded(spark, folder)
+    base = stacking.fold_forecasts(rows, stacking.fit_folds(rows, TYPES, FEATURES, "y"), TYPES, FEATURES)
+    names = ["base", *FEATURES]
+    model = models.fit_point(base, names, "y", rounds=50, depth=3)
+    made = models.score(model, _test(base), names, [*KT, "y", *names]).withColumnRenamed("y_pred", "trees")
+    return metrics.scoreboard(reshape.predictions_long(made, KT, "y", ["trees", *names]))
+
+
+@query
+def residual_draws(spark, folder):
+    """Fifty draws of every test row from the training residuals of its series."""
+    rows = panels.split_forecasts(spark, folder)
+    index = forecast.residual_index(rows.where(F.col("split") == "train"), TYPES, "y", "roll24")
+    return _out(forecast.residual_draws(_test(rows), index, TYPES, "roll24"), [*KT, "sample_id"], ["value"])
+
+
 def solved(source: str, key: str, name: str = "solved") -> str:
     """``solved``: for each key the matrix ``m`` after elimination of its square left part; what stands right of it is the solution."""
     return f"""
@@ -248,7 +314,63 @@ every AS (SELECT event_type, 'flow' AS kind, ts, y FROM coarse UNION ALL SELECT
     UNION ALL SELECT event_type, 'stock_of_stock', ts, y FROM stock2),
 src AS (SELECT *, event_type || '/' || kind AS key, row_number() OVER (PARTITION BY event_type, kind ORDER BY ts) AS i FROM every)"""
 
+FOLDED = f"""{forecasts()},
+folded AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts) - 1 AS p, count(*) OVER (PARTITION BY event_type) AS np FROM fc),
+cuts AS (SELECT *, CAST(trunc(np * CAST(0.9 AS DOUBLE)) AS BIGINT) AS cut FROM folded),
+rows AS MATERIALIZED (SELECT *, CASE WHEN p < cut THEN CAST(floor(p * {stacking.FOLDS} / cut) AS INTEGER) ELSE {stacking.ALL} END AS fold FROM cuts),
+folds AS (SELECT unnest(range(-1, {stacking.FOLDS}))::INTEGER AS f),
+fold_m AS (SELECT event_type || '|' || f AS id, {matrix(['1', *FEATURES], 'y')} AS m FROM rows, folds WHERE fold >= 0 AND fold <> f GROUP BY event_type, f),
+{solved('fold_m', 'id')},
+betas AS (SELECT split_part(id, '|', 1) AS event_type, split_part(id, '|', 2)::INTEGER AS fold, list_transform(m, lambda row: row[len(row)]) AS c FROM solved)"""
+
+_SUBSETS = [[m for j, m in enumerate(MODELS) if bits >> j & 1] for bits in range(2 ** len(MODELS))]
+
+
+def _weights_sql() -> str:
+    """``best``: of all subsets of the models whose least-squares weights are not negative, that with the least squares left."""
+    each = " UNION ALL ".join(
+        f"SELECT event_type || '|{o}' AS id, {matrix(['1', *[f's_{m}' for m in used]], 's_y')} AS m, sum(s_y * s_y) AS ww FROM small WHERE split = 'validation' GROUP BY event_type"
+        for o, used in enumerate(_SUBSETS)
+    )
+    full = " ".join(
+        f"WHEN {o} THEN [c[1], {', '.join(f'c[{used.index(m) + 2}]' if m in used else '0' for m in MODELS)}]" for o, used in enumerate(_SUBSETS)
+    )
+    scaled = ", ".join(f"({c} - b.lo) / (b.hi - b.lo) AS s_{c}" for c in ("y", *MODELS))
+    return f"""
+b AS (SELECT event_type, min(y) AS lo, max(y) AS hi FROM fc WHERE split = 'train' GROUP BY 1),
+small AS MATERIALIZED (SELECT event_type, ts, split, b.lo, b.hi, {scaled} FROM fc JOIN b USING (event_type)),
+order_m AS MATERIALIZED ({each}),
+{solved('order_m', 'id')},
+tried AS (SELECT split_part(id, '|', 1) AS event_type, split_part(id, '|', 2)::INTEGER AS o, list_transform(s.m, lambda row: row[len(row)]) AS c,
+    ww - list_dot_product(list_transform(s.m, lambda row: row[len(row)]), list_transform(o.m, lambda row: row[len(row)])) AS rest
+    FROM solved s JOIN order_m o USING (id)),
+best AS (SELECT event_type, min_by(CASE o {full} END, rest) AS c FROM tried WHERE coalesce(list_min(c[2:]), 0) >= 0 GROUP BY 1)"""
+
+
+STRIDE = "coalesce(" + ", ".join(f"CASE WHEN n % {s} <> 0 THEN {s} END" for s in stacking.STRIDES) + ", 1)"
+
 ORACLE = {
+    "fold_forecasts": f"""
+WITH RECURSIVE {FOLDED}
+SELECT event_type, ts, fold, {r(dot('c', ['1', *FEATURES]))} AS base FROM rows JOIN betas USING (event_type, fold)""",
+    "nonnegative_meta": f"""
+WITH RECURSIVE {forecasts()}, {_weights_sql()}
+SELECT event_type, ts, {r('(' + dot('c', ['1', *[f's_{m}' for m in MODELS]]) + ') * (hi - lo) + lo')} AS meta FROM small JOIN best USING (event_type) WHERE split = 'test'""",
+    "column_worth": f"""
+WITH RECURSIVE {FOLDED},
+test AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM rows WHERE split = 'test'),
+asks AS (SELECT t.*, c, (i * {STRIDE} + {stacking.OFFSET}) % n AS j FROM test t JOIN betas USING (event_type, fold)),
+met AS (SELECT a.*, {', '.join(f'g.{f} AS p_{f}' for f in FEATURES)} FROM asks a JOIN test g ON g.event_type = a.event_type AND g.i = a.j),
+plain AS (SELECT avg(abs(y - ({dot('c', ['1', *FEATURES])}))) AS mae FROM met),
+worse AS ({' UNION ALL '.join(f"SELECT '{f}' AS feature, avg(abs(y - ({dot('c', ['1', *[f'p_{g}' if g == f else g for g in FEATURES]])}))) AS mae FROM met" for f in FEATURES)})
+SELECT CAST(row_number() OVER (ORDER BY worse.mae DESC, feature) AS INTEGER) AS rank, feature, {r('worse.mae - plain.mae')} AS importance FROM worse, plain""",
+    "residual_draws": f"""
+WITH {forecasts()},
+idx AS (SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY ts) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n, y - roll24 AS e FROM fc WHERE split = 'train'),
+asks AS (SELECT f.event_type, f.ts, f.roll24, b.sample_id, n, CAST(floor(CAST('0x' || substr(md5(f.event_type || '|' || CAST(epoch(f.ts) AS BIGINT) || '|' || b.sample_id), 1, 12) AS BIGINT)
+    / 281474976710656.0::DOUBLE * n) AS BIGINT) AS i
+    FROM fc f JOIN (SELECT event_type, max(n) AS n FROM idx GROUP BY 1) USING (event_type), (SELECT unnest(range(50))::INTEGER AS sample_id) b WHERE f.split = 'test')
+SELECT a.event_type, a.ts, a.sample_id, {r('a.roll24 + x.e')} AS value FROM asks a JOIN idx x ON x.event_type = a.event_type AND x.i = a.i""",
     "difference_order": f"""
 WITH RECURSIVE {FLOWS}, {_unit_root_sql()}
 SELECT split_part(key, '/', 1) AS event_type, split_part(key, '/', 2) AS kind, o.d AS d, o.lags AS lags, o.n AS n, {r('o.t_stat')} AS t_stat FROM orders""",

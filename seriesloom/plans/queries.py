@@ -36,11 +36,8 @@ from seriesloom.sources import files
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-# The event types, the holidays of the calendar input, and the latencies of an
-# earlier metric table, in ms per prediction.
-EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
+# Fixed value: the holidays of the calendar input.
 HOLIDAYS = (date(2024, 1, 1), date(2024, 1, 6), date(2024, 1, 15))
-LATENCY = {"naive1": 0.002, "naive24": 0.003, "roll24": 0.08}
 
 KT = [*TYPES, "ts"]
 STRATEGIES = {"oracle": ("y", "y"), "naive": ("naive24", "naive24"), "risk_aware": ("hi", "lo")}
@@ -387,7 +384,8 @@ def minmax_roundtrip(spark, folder):
     bounds = scale.minmax_fit(rows, TYPES, ["y"], F.col("split") == "train")
     names = ["y", *MODELS]
     small = scale.scale_target(rows, bounds, TYPES, names, "y")
-    return _out(scale.inverse_target(small, bounds, TYPES, names, "y"), KT, names)
+    kept = small.withColumns({f"scaled_{c}": F.col(c) for c in names})
+    return _out(scale.inverse_target(kept, bounds, TYPES, names, "y"), KT, [*names, *[f"scaled_{c}" for c in names]])
 
 
 @query
@@ -459,10 +457,13 @@ def error_by_hour(spark, folder):
 
 @query
 def tradeoff_table(spark, folder):
+    """Error and measured latency of three forecasters, each run once over the test rows."""
     test = _test(panels.split_forecasts(spark, folder))
-    scores = metrics.scoreboard(reshape.predictions_long(test, KT, "y", MODELS))
-    old = files.small_table(spark, list(LATENCY.items()), "model string, ms_per_prediction double")
-    return _out(metrics.latency_tradeoff(scores, old), ["model", "ms_per_prediction"], ["mae"])
+    registry = {m: (lambda rows, m=m: rows.select(*KT, F.col(m).alias("y_pred"))) for m in MODELS}
+    table, latency = forecast.score_models(test, registry, KT, "y", timed=True)
+    scores = metrics.scoreboard(reshape.predictions_long(table, KT, "y", MODELS))
+    out = metrics.latency_tradeoff(scores, latency).withColumn("timed", F.col("ms_per_prediction") > 0)
+    return _out(out, ["model", "n", "timed"], ["mae"])
 
 
 @query

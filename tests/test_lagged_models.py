@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from seriesloom.operators import arma, lagged, window_model
+from seriesloom.operators import arma, forecast, lagged, scale, split, stacking, window_model
 
 HOUR = timedelta(hours=1)
 
@@ -246,3 +246,101 @@ def test_series_are_differenced_until_no_unit_root_is_left(series, size):
     for key, d in (("flow", 0), ("stock", 1), ("twice", 2)):
         diff = [r.diff for r in made.where(F.col("key") == key).orderBy("ts").collect()]
         assert diff[:d] == [None] * d and diff[d:] == pytest.approx(list(np.diff(data[key], d)), abs=1e-6)
+
+
+def test_base_forecasts_have_not_seen_their_own_fold(series):
+    """Changing the targets of a fold changes no forecast inside it."""
+    y = wave(300, 6)
+    df = series({"k": values_of(y)}).withColumns({"x1": F.sin("y"), "x2": F.hour("ts").cast("double")})
+    rows = stacking.blocked_folds(df, ["key"], 4)
+    fold = np.array([r.fold for r in rows.orderBy("ts").collect()])
+    assert sorted(set(fold)) == [-1, 0, 1, 2, 3] and (fold == -1).sum() == 30
+    names = ["x1", "x2"]
+
+    def base(r):
+        made = stacking.fold_forecasts(r, stacking.fit_folds(r, ["key"], names, "y"), ["key"], names)
+        return np.array([v.base for v in made.orderBy("ts").collect()])
+
+    other = rows.withColumn("y", F.when(F.col("fold") == 2, F.col("y") * 3 - 7).otherwise(F.col("y")))
+    a, b = base(rows), base(other)
+    assert np.allclose(a[fold == 2], b[fold == 2], atol=1e-9) and not np.allclose(a[fold == 1], b[fold == 1], atol=1e-3)
+    x = np.column_stack([np.ones(300), np.sin(y), np.arange(300) % 24])
+    for f in (0, 3, -1):
+        learnt = (fold != f) & (fold >= 0)
+        beta = np.linalg.lstsq(x[learnt], y[learnt], rcond=None)[0]
+        assert np.allclose(a[fold == f], x[fold == f] @ beta, atol=1e-8)
+
+
+def test_weights_are_the_best_that_are_not_negative():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        n = int(rng.integers(1, 6))
+        x = rng.normal(size=(20, n)) @ rng.normal(size=(n, n))
+        if rng.random() < 0.3 and n > 1:
+            x[:, 1] = x[:, 0]
+        y = rng.normal(size=20)
+        got = stacking.nonnegative(x.T @ x, x.T @ y)
+        assert (got >= 0).all()
+        best = np.inf
+        for bits in range(2**n):
+            used = [j for j in range(n) if bits >> j & 1]
+            beta = np.linalg.lstsq(x[:, used], y, rcond=None)[0] if used else np.zeros(0)
+            if (beta >= -1e-12).all():
+                best = min(best, ((y - x[:, used] @ beta) ** 2).sum())
+        assert ((y - x @ got) ** 2).sum() == pytest.approx(best, abs=1e-8)
+
+
+def test_scale_counts_for_meta_weights(series):
+    """Weights learnt on scaled values, met with forecasts on another scale, give another mix."""
+    y = wave(400, 8)
+    df = series({"k": values_of(y)}).withColumns({"a": F.col("y") * 0.5 + 3 * F.sin(F.hour("ts")), "b": F.col("y") + 5})
+    rows = split.chrono_split(df, ["key"])
+    made = stacking.nonnegative_meta(rows, ["key"], "y", ["a", "b"]).orderBy("ts").collect()
+    assert np.allclose([r.meta for r in made], y, atol=1e-6)
+    bounds = scale.minmax_fit(rows, ["key"], ["y"], F.col("split") == "train")
+    small = scale.scale_target(rows, bounds, ["key"], ["y", "a", "b"], "y")
+    weights = stacking.fit_nonnegative(small, ["key"], "y", ["a", "b"], F.col("split") == "validation").first()
+    raw = [weights.intercept + weights.w_a * r.a + weights.w_b * r.b for r in made]
+    assert not np.allclose(raw, y, atol=1e-2)
+
+
+def test_permuted_values_are_each_used_once(series):
+    df = series({"k": [float(i) for i in range(100)], "j": [float(i) for i in range(7919)]})
+    for key, n in (("k", 100), ("j", 7919)):
+        rows = stacking.permuted(df.where(F.col("key") == key), ["key"], ["y"]).collect()
+        assert sorted(r.permuted_y for r in rows) == [float(i) for i in range(n)]
+        assert sum(r.y == r.permuted_y for r in rows) < n / 10
+
+
+def test_worth_finds_the_column_that_matters(series):
+    df = series({"k": values_of(wave(300, 4))}).withColumns({"x1": F.col("y") * 2, "x2": F.sin(F.hour("ts"))})
+    got = stacking.permutation_importance(df, ["key"], ["x1", "x2"], "y", lambda d: d.withColumn("y_pred", F.col("x1") / 2)).collect()
+    assert [r.feature for r in got] == ["x1", "x2"] and got[0].importance > 1 and got[1].importance == pytest.approx(0)
+
+
+def test_draws_are_residuals(series):
+    y = wave(200, 5)
+    df = series({"k": values_of(y), "none": [None] * 5}).withColumn("p", F.coalesce("y", F.lit(0.0)) + F.sin(F.hour("ts")))
+    index = forecast.residual_index(df, ["key"], "y", "p", chunk_steps=50)
+    got = forecast.residual_draws(df, index, ["key"], "p", 20).join(df, ["key", "ts"]).collect()
+    assert len(got) == 200 * 20 and {r.key for r in got} == {"k"}
+    residuals = np.array([r.residual for r in index.collect()])
+    drawn = np.array([r.value - r.p for r in got])
+    assert np.abs(drawn[:, None] - residuals[None, :]).min(1).max() < 1e-9
+    assert drawn.mean() == pytest.approx(residuals.mean(), abs=0.05) and len(np.unique(drawn.round(9))) > 20
+
+
+def test_timed_models_run_once(spark, series):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    df = series({"k": [float(i) for i in range(50)]})
+    model = lambda rows: rows.mapInPandas(count, rows.schema).withColumnRenamed("y", "y_pred")
+    table, latency = forecast.score_models(df, {"same": model}, ["key", "ts"], "y", timed=True)
+    assert table.count() == 50 and table.where("same <> y").isEmpty()
+    row = latency.first()
+    assert seen.value == 50 and row.n == 50 and row.ms_per_prediction > 0
