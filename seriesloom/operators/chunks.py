@@ -113,12 +113,16 @@ def row_window(
     after: int,
     build: Callable[[WindowSpec], dict[str, Column]],
     chunk_steps: int | None = None,
+    regular: bool = False,
 ) -> DataFrame:
     """``bounded_window`` over rows in time order, whatever times are missing.
 
     Rows are numbered first, and chunks are cut by row number, so a frame of ``before`` rows finds
-    them all. ``step`` only sets how much time one numbering task covers.
+    them all. ``step`` only sets how much time one numbering task covers. With ``regular`` the series
+    are said to have a row for every step: that saves the numbering, and a gap is an error.
     """
+    if regular:
+        return grid_window(df, keys, ts, step, before, after, build, chunk_steps)
     numbered = with_position(df, keys, ts, step, "_position", "_rows", chunk_steps)
     out = bounded_window(numbered, keys, "_position", F.col("_position"), before, after, build, chunk_steps)
     return out.drop("_position", "_rows")

@@ -65,6 +65,7 @@ def trend_split(
     ts: str = "ts",
     step: timedelta = HOUR,
     chunk_steps: int | None = None,
+    regular: bool = False,
 ) -> DataFrame:
     """Add ``trend`` (centred moving average over the rows there are) and ``seasonal`` (the rest)."""
     back, ahead = (width - 1) // 2, width // 2
@@ -72,7 +73,7 @@ def trend_split(
     def build(spec):
         return {"trend": F.avg(column).over(spec.rowsBetween(-back, ahead))}
 
-    out = row_window(df, keys, ts, step, back, ahead, build, chunk_steps)
+    out = row_window(df, keys, ts, step, back, ahead, build, chunk_steps, regular)
     return out.withColumn("seasonal", F.col(column) - F.col("trend"))
 
 
@@ -180,6 +181,7 @@ def difference(
     step: timedelta = timedelta(hours=3),
     out: str = "diff",
     chunk_steps: int | None = None,
+    regular: bool = False,
 ) -> DataFrame:
     """Add the regular and seasonal difference by row position, NULL at its start."""
     weights = difference_weights(d, seasonal_d, m)
@@ -190,4 +192,4 @@ def difference(
             total = total + (F.col(column) if k == 0 else F.lag(column, k).over(spec)) * F.lit(float(w))
         return {out: total}
 
-    return row_window(df, keys, ts, step, max(weights), 0, build, chunk_steps)
+    return row_window(df, keys, ts, step, max(weights), 0, build, chunk_steps, regular)

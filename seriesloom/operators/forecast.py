@@ -144,12 +144,12 @@ def rescaled_blend(
 
 def stationarity_stat(
     df: DataFrame, keys: Sequence[str], column: str, ts: str = "ts", step: timedelta = HOUR,
-    chunk_steps: int | None = None,
+    chunk_steps: int | None = None, regular: bool = False,
 ) -> DataFrame:
     """(keys, n, slope, t_stat): Dickey-Fuller statistic without augmentation, with constant."""
     rows = row_window(
         df.select(*keys, ts, column), keys, ts, step, 1, 0,
-        lambda spec: {"_before": F.lag(column, 1).over(spec)}, chunk_steps,
+        lambda spec: {"_before": F.lag(column, 1).over(spec)}, chunk_steps, regular,
     ).withColumn("_change", F.col(column) - F.col("_before"))
     fits = rows.groupBy(*keys).agg(
         F.regr_count("_change", "_before").alias("n"),

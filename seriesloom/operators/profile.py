@@ -51,14 +51,14 @@ def dataset_profile(df: DataFrame, ts: str = "ts", by: Sequence[str] = ()) -> Da
 
 def volatility_rows(
     df: DataFrame, keys: Sequence[str], column: str, rows: int = WEEK_ROWS, ts: str = "ts", step: timedelta = HOUR,
-    chunk_steps: int | None = None,
+    chunk_steps: int | None = None, regular: bool = False,
 ) -> DataFrame:
     """Deviation of the current and the ``rows - 1`` earlier rows, NULL until all have a value."""
 
     def build(spec):
         return {"volatility": full_frame(spec, column, 1 - rows, 0, F.stddev_samp)}
 
-    return row_window(df, keys, ts, step, rows - 1, 0, build, chunk_steps)
+    return row_window(df, keys, ts, step, rows - 1, 0, build, chunk_steps, regular)
 
 
 def volatility_time(

@@ -21,10 +21,11 @@ def sequence_windows(
     step: timedelta = HOUR,
     chunk_steps: int | None = None,
     carry: Sequence[str] = (),
+    regular: bool = False,
 ) -> DataFrame:
     """(keys, ts, carry, seq, y): ``seq`` holds the ``length`` rows before ``ts``, ``y`` the target at it.
 
-    A series of n rows gives n - length windows. ``carry`` names columns to keep from the row at
+    A series of n rows gives n - length windows; ``regular`` as in ``chunks.row_window``. ``carry`` names columns to keep from the row at
     ``ts``: what is worked out on the narrow rows first needs no shuffle of arrays later.
     """
 
@@ -32,7 +33,7 @@ def sequence_windows(
         return {"seq": F.collect_list(F.struct(*features)).over(spec.rowsBetween(-length, -1))}
 
     narrow = df.select(*keys, ts, *dict.fromkeys([*features, target, *carry]))
-    windows = row_window(narrow, keys, ts, step, length, 0, build, chunk_steps)
+    windows = row_window(narrow, keys, ts, step, length, 0, build, chunk_steps, regular)
     return windows.where(F.size("seq") == length).select(*keys, ts, *carry, "seq", F.col(target).alias("y"))
 
 
@@ -54,6 +55,7 @@ def encdec_windows(
     ts: str = "ts",
     step: timedelta = HOUR,
     chunk_steps: int | None = None,
+    regular: bool = False,
 ) -> DataFrame:
     """(keys, ts, encoder, decoder, target): ``ts`` is the last time the encoder sees.
 
@@ -68,7 +70,7 @@ def encdec_windows(
         }
 
     narrow = df.select(*keys, ts, *dict.fromkeys([*features, target]))
-    windows = row_window(narrow, keys, ts, step, length - 1, horizon, build, chunk_steps)
+    windows = row_window(narrow, keys, ts, step, length - 1, horizon, build, chunk_steps, regular)
     full = (F.size("encoder") == length) & (F.size("_target") == horizon)
     return windows.where(full).select(
         *keys,

@@ -282,7 +282,7 @@ def _array_sum(column: str, field: str | None = None):
 
 @query
 def sequence_windows(spark, folder):
-    rows = windows.sequence_windows(panels.hourly_dense(spark, folder), TYPES, ["y"], "y", 72)
+    rows = windows.sequence_windows(panels.hourly_dense(spark, folder), TYPES, ["y"], "y", 72, regular=True)
     first, last = F.col("seq")[0]["y"], F.col("seq")[71]["y"]
     shown = rows.withColumns({"first": first, "last": last, "total": _array_sum("seq", "y"), "n": F.size("seq")})
     return _out(shown, [*KT, "n"], ["y", "first", "last", "total"])
@@ -293,13 +293,13 @@ def nth_window(spark, folder):
     """Window 200 of each series; only the rows it is made of become an array."""
     rows = with_position(panels.hourly_dense(spark, folder), TYPES, "ts")
     needed = rows.where(F.col("position").between(200, 272)).withColumn("position", F.col("position") - 72)
-    picked = clean.nth_row(windows.sequence_windows(needed, TYPES, ["y"], "y", 72, carry=["position"]), 200)
+    picked = clean.nth_row(windows.sequence_windows(needed, TYPES, ["y"], "y", 72, carry=["position"], regular=True), 200)
     return _out(picked.withColumn("total", _array_sum("seq", "y")), [*KT, "position"], ["y", "total"])
 
 
 @query
 def encdec_windows(spark, folder):
-    rows = windows.encdec_windows(panels.hourly_dense(spark, folder), TYPES, ["y"], "y", 336, 24)
+    rows = windows.encdec_windows(panels.hourly_dense(spark, folder), TYPES, ["y"], "y", 336, 24, regular=True)
     shown = rows.withColumns(
         {
             "n_encoder": F.size("encoder"),
@@ -517,7 +517,7 @@ def dataset_profile(spark, folder):
 
 @query
 def volatility_rows(spark, folder):
-    return _out(profile.volatility_rows(panels.hourly_dense(spark, folder), TYPES, "y"), KT, ["volatility"])
+    return _out(profile.volatility_rows(panels.hourly_dense(spark, folder), TYPES, "y", regular=True), KT, ["volatility"])
 
 
 @query
@@ -527,7 +527,7 @@ def volatility_time(spark, folder):
 
 @query
 def volatile_week(spark, folder):
-    rows = profile.volatility_rows(panels.hourly_dense(spark, folder), TYPES, "y")
+    rows = profile.volatility_rows(panels.hourly_dense(spark, folder), TYPES, "y", regular=True)
     return _out(profile.volatile_week(rows, TYPES), KT, ["y", "volatility"])
 
 
@@ -630,7 +630,7 @@ def decompose_hourly(spark, folder):
 
 @query
 def trend_split(spark, folder):
-    return _out(decompose.trend_split(panels.hourly_dense(spark, folder), TYPES, "y"), KT, ["trend", "seasonal"])
+    return _out(decompose.trend_split(panels.hourly_dense(spark, folder), TYPES, "y", regular=True), KT, ["trend", "seasonal"])
 
 
 MAX_LAG = 336
@@ -655,7 +655,7 @@ def delay_aggregate(spark, folder):
 @query
 def seasonal_diff(spark, folder):
     coarse = grid.resample_mean(panels.hourly_dense(spark, folder), TYPES, ["y"], "3 hours")
-    return _out(decompose.difference(coarse, TYPES, "y", d=1, seasonal_d=1, m=8), KT, ["diff"])
+    return _out(decompose.difference(coarse, TYPES, "y", d=1, seasonal_d=1, m=8, regular=True), KT, ["diff"])
 
 
 # --- forecast jobs --------------------------------------------------------------------------
@@ -694,7 +694,7 @@ def rescaled_meta(spark, folder):
 
 @query
 def df_stat(spark, folder):
-    out = forecast.stationarity_stat(panels.hourly_dense(spark, folder, USERS), USERS, "y")
+    out = forecast.stationarity_stat(panels.hourly_dense(spark, folder, USERS), USERS, "y", regular=True)
     return _out(out, [*USERS, "n"], ["slope", "t_stat"])
 
 
@@ -729,6 +729,6 @@ def window_ridge(spark, folder):
     """A ridge regression from 72 past hours to the next one, scored on the test rows."""
     rows = with_position(panels.hourly_dense(spark, folder), TYPES, "ts")
     rows = rows.withColumn("split", split.split_label(F.col("position") - 72, F.col("n_rows") - 72))
-    rows = windows.sequence_windows(rows, TYPES, ["y"], "y", 72, carry=["split"])
+    rows = windows.sequence_windows(rows, TYPES, ["y"], "y", 72, carry=["split"], regular=True)
     model = models.fit_window(rows.where(F.col("split") == "train"), "seq", ["y"], "y")[1]
     return models.score_window(model, _test(rows), "seq", ["y"], KT)
