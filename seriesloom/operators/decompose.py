@@ -79,14 +79,15 @@ def trend_split(
 
 def autocorrelation(
     df: DataFrame, keys: Sequence[str], column: str, max_lag: int, ts: str = "ts", step: timedelta = HOUR,
-    chunk_steps: int | None = None,
+    chunk_steps: int | None = None, regular: bool = False,
 ) -> DataFrame:
     """(keys, acf): the correlation of the series with itself at lags 1 to ``max_lag``.
 
     Lags are rows of the series; a lag counts the rows that are known at both ends. Chunks are correlated by
-    a fast transform, so the cost hardly depends on ``max_lag``, and their sums are added per lag.
+    a fast transform, so the cost hardly depends on ``max_lag``, and their sums are added per lag. ``regular`` as in
+    ``lagged.number_rows``.
     """
-    rows = centred(number_rows(df, keys, [column], ts, step, chunk_steps), keys, [column], ts)
+    rows = centred(number_rows(df, keys, [column], ts, step, chunk_steps, regular), keys, [column], ts)
     sums = lagged_sums(rows, keys, [column], max_lag, [(0, 0)], chunk_steps).where(F.col("lag") > 0)
     cells = sums.select(*keys, F.struct("lag", correlation_of_sums().alias("r")).alias("_cell"))
     return cells.groupBy(*keys).agg(F.array_sort(F.collect_list("_cell")).alias("acf"))
@@ -133,6 +134,7 @@ def delay_aggregate(
     step: timedelta = HOUR,
     out: str = "delayed",
     chunk_steps: int | None = None,
+    regular: bool = False,
 ) -> DataFrame:
     """Weighted sum of earlier values; ``weights`` is (keys, lag, weight), a few lags a series of any size.
 
@@ -141,24 +143,24 @@ def delay_aggregate(
     """
     sent = weights.select(*keys, F.struct(F.col("lag").cast("bigint").alias("lag"), "weight").alias("_to"))
     by_key = sent.groupBy(*keys).agg(F.collect_list("_to").alias("_sends"))
-    rows = join_per_key(number_rows(df, keys, [c for c in df.columns if c not in (*keys, ts)], ts, step, chunk_steps), by_key, keys, ts)
+    others = [c for c in df.columns if c not in (*keys, ts)]
+    rows = join_per_key(number_rows(df, keys, others, ts, step, chunk_steps, regular), by_key, keys, ts)
     own = F.array(F.struct(F.lit(0).cast("bigint").alias("lag"), F.lit(None).cast("double").alias("weight")))
     sends = F.when(F.col("_sends").isNotNull(), F.concat(own, F.col("_sends"))).otherwise(own)
     each = rows.withColumn("_to", F.explode(sends))
     home = F.col("_to.lag") == 0
     met = (
         each.withColumn("_at", F.col("position") + F.col("_to.lag"))
-        .where(F.col("_at") < F.col("n_rows"))
         .groupBy(*keys, "_at")
         .agg(
             F.any_value(F.when(home, F.struct(*df.columns)), ignoreNulls=True).alias("_row"),
-            F.max(F.when(home, F.size("_sends"))).alias("_wanted"),
+            F.max(F.when(home, F.size("_sends"))).alias("_wanted"),  # NULL beyond the last row
             F.sum(F.when(~home, F.col("_to.weight") * F.col(column))).alias("_sum"),
             F.count(F.when(~home, F.col(column))).alias("_met"),
         )
     )
     complete = F.when(F.col("_met") == F.col("_wanted"), F.col("_sum"))
-    return met.select(*[F.col("_row").getField(c).alias(c) for c in df.columns], complete.alias(out))
+    return met.where(F.col("_row").isNotNull()).select(*[F.col("_row").getField(c).alias(c) for c in df.columns], complete.alias(out))
 
 
 def difference_weights(d: int, seasonal_d: int, m: int) -> dict[int, int]:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seriesloom.operators.chunks import CHUNK_STEPS, HOUR, join_per_key, with_position
+from seriesloom.operators.chunks import CHUNK_STEPS, HOUR, join_per_key, known, slot, with_position
 
 # A kernel gets the values of a chunk (a row per row, NaN where missing), the position of the first of
 # them, and how many of the first rows belong to the chunk before.
@@ -67,6 +67,8 @@ def over_chunks(
         part = part.sort_values(position)
         places = part[position].to_numpy()
         begin = key[-1] * size
+        if len(places) and places[-1] - places[0] != len(places) - 1:
+            raise ValueError(f"rows of a series are missing or repeated between {places[0]} and {places[-1]}")
         if places[-1] < begin:  # rows of the chunk before only
             return no_rows(schema)
         made_here = kernel(part[list(columns)].to_numpy(float), int(places[0]), int((places < begin).sum()), *more)
@@ -154,9 +156,15 @@ def lagged_sums(
 
 def number_rows(
     df: DataFrame, keys: Sequence[str], columns: Sequence[str], ts: str = "ts", step: timedelta = HOUR,
-    chunk_steps: int | None = None,
+    chunk_steps: int | None = None, regular: bool = False,
 ) -> DataFrame:
-    """(keys, ts, columns, position, n_rows); an existing numbering is kept."""
+    """(keys, ts, columns, position, n_rows); an existing numbering is kept.
+
+    With ``regular`` the series are said to have a row for every step: positions are steps since the epoch, which saves
+    the numbering, and ``n_rows`` is left out. A gap is an error in ``over_chunks``.
+    """
+    if regular:
+        return known(df, [*keys, ts]).select(*keys, ts, *columns, slot(ts, step).alias("position"))
     if {"position", "n_rows"} <= set(df.columns):
         return df.select(*keys, ts, *columns, "position", "n_rows")
     return with_position(df.select(*keys, ts, *columns), keys, ts, step, chunk_steps=chunk_steps)

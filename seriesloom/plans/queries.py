@@ -637,7 +637,7 @@ MAX_LAG = 336
 
 
 def _periods(spark, folder):
-    return decompose.dominant_periods(panels.hourly_dense(spark, folder), TYPES, "y", MAX_LAG)
+    return decompose.dominant_periods(panels.hourly_dense(spark, folder), TYPES, "y", MAX_LAG, regular=True)
 
 
 @query
@@ -649,7 +649,7 @@ def acf_topk(spark, folder):
 def delay_aggregate(spark, folder):
     dense = panels.hourly_dense(spark, folder)
     weights = _periods(spark, folder).select(*TYPES, "lag", "weight")
-    return _out(decompose.delay_aggregate(dense, TYPES, "y", weights), KT, ["delayed"])
+    return _out(decompose.delay_aggregate(dense, TYPES, "y", weights, regular=True), KT, ["delayed"])
 
 
 @query
