@@ -33,14 +33,23 @@ _SPACE = re.compile(r"[\x20\x09-\x0D]+")
 # Latin letters whose lower case is one letter and that no normal form changes.
 _LATIN = re.compile("[a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+\\Z")
 
+# Texts by which a tokenizer is tried: case, accents, digits, punctuation, scripts, and runs of white space.
+_PROBES = (
+    "Hello, World. It's 12 o'clock!",
+    " two  spaces\tand\nlines\x0b ",
+    "Zoë naïve İ. é. рус. 中文, x",
+    "www.example.com/a_b?c=1 3.14 (ok)",
+)
+
 _tokenizers: dict[str, WordTokenizer] = {}
 
 
 class WordTokenizer:
-    """Ids of whole texts by a tokenizer that parts words at white space.
+    """Ids of whole texts.
 
-    For such a tokenizer the ids of a text are those of its words in turn, so a word is encoded once
-    and remembered. The memory is bounded; it is emptied when full.
+    For a tokenizer that parts words at white space the ids of a text are those of its words in turn, so a word is
+    encoded once and remembered; the memory is bounded and emptied when full. Whether a tokenizer is of that kind is
+    tried on a few texts when it is loaded; the texts of any other are encoded whole.
     """
 
     def __init__(self, path: str, cache_bytes: int = CACHE_BYTES) -> None:
@@ -50,20 +59,23 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
         self.room = self.cache_bytes = cache_bytes
+        self.by_words = all(self._text_by_words(t) == self._whole(t) for t in _PROBES)
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _encode(self, word: str) -> bytes:
         if _LATIN.match(word):  # only letters: one piece for the model, once in lower case and as bytes
             low = word.lower()
             ids = [t.id for t in self.tokenizer.model.tokenize(low if low.isascii() else self._letters(low)[0][0])]
         else:
-            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+            return self._whole(word)
         return np.array(ids, "<u4").tobytes()
 
     def _learn(self, word: str) -> bytes:
         body, last = word[:-1], word[-1:]
-        if last in ".," and body and body.isalpha():  # a run of letters is a piece of its own
-            low = body.lower() if body.isascii() else body
-            ids = self.word(low) + self.word(last)
+        if last in ".," and _LATIN.match(body):  # a run of letters is a piece of its own
+            ids = self.word(body.lower()) + self.word(last)
         elif word.isascii() and word.isalpha() and not word.islower():
             ids = self.word(word.lower())
         else:
@@ -80,6 +92,9 @@ class WordTokenizer:
 
     def text(self, text: str) -> bytes:
         """Little-endian 32-bit ids."""
+        return self._text_by_words(text) if self.by_words else self._whole(text)
+
+    def _text_by_words(self, text: str) -> bytes:
         known, learn = self.known.get, self._learn
         return b"".join([known(w) or learn(w) for w in _SPACE.split(text) if w])
 

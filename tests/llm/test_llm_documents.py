@@ -424,3 +424,32 @@ def test_keep_one_keeps_a_row_of_each_text(spark, odd, none):
     assert left.columns == odd.columns
     assert sorted(t or "" for t, in left.select("text").collect()) == sorted({t or "" for _, t in ODD})
     assert exact.keep_one(none).count() == 0
+
+
+# --- tokenizers of other kinds, and letters that normal forms change ------------------------
+
+
+def test_letters_before_full_stops_have_the_tokenizers_ids():
+    words_of = packing.WordTokenizer(PATH)
+    letters = [chr(c) for c in range(0x41, 0x3000) if chr(c).isalpha()]
+    text = " ".join(f"{c}. a{c}b, {c}" for c in letters)
+    assert words_of.by_words
+    assert words_of.text(text) == np.array(words_of.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_other_tokenizers_give_their_own_ids():
+    import os
+
+    folder = os.path.dirname(PATH)
+    tried = 0
+    texts = ["Hello world, it's  me.", " lead \u4e2d\u6587\nnext", "a b c."]
+    for name in sorted(os.listdir(folder)):
+        if name.endswith(".json") and "bpe" in name or "unigram" in name and name.endswith(".json"):
+            try:
+                one = packing.WordTokenizer(os.path.join(folder, name))
+            except Exception:  # another kind of file
+                continue
+            tried += 1
+            for t in texts:
+                assert one.text(t) == np.array(one.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), name
+    assert tried >= 2
