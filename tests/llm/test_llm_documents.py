@@ -318,7 +318,7 @@ def test_word_probabilities_of_a_bucket_sum_to_at_most_one():
     texts = pa.array([" ".join(known), " ".join(known[:100]), "aab aabc aabd aabbb " * 5])
     batch = pa.RecordBatch.from_arrays([pa.array([0, 1, 2]), texts, pa.array([False] * 3)], ["doc_id", "text", "held"])
     centres = np.zeros((mixing.CLASSES, 1 << mixing.CLASS_BITS))
-    rows = [r for b in mixing._chunked(1, centres)(iter([batch])) for r in b.to_pylist()]
+    rows = [r for b in mixing._chunked(1, 1, centres)(iter([batch])) for r in b.to_pylist()]
     bucket = mixing.Bucket([(r["chunk"], r["size"], r["payload"]) for r in rows if r["bucket"] is not None])
     tables = [np.zeros(2 << b, np.uint32) for b in mixing.TABLE_BITS]
     mixing._add_types(bucket, tables)
@@ -453,3 +453,33 @@ def test_other_tokenizers_give_their_own_ids():
             for t in texts:
                 assert one.text(t) == np.array(one.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), name
     assert tried >= 2
+
+
+# --- language-model scores: what they may depend on ------------------------------------------
+
+
+def lm_corpus():
+    dice, known = random.Random(21), vocabulary()
+    return [(i, prose(dice, known if i % 2 else known[:50], dice.randint(3, 60))) for i in range(240)]
+
+
+def lm_scores(df):
+    return {r.doc_id: (r.score, r.base_score) for r in mixing.score(df, toxicity.crc_of_id() % 7 == 2).collect()}
+
+
+def test_held_out_texts_move_no_other_score(spark):
+    rows = lm_corpus()
+    held = {i for i, _ in rows if zlib.crc32(str(i).encode()) % 7 == 2}
+    other = [(i, "quite other words of an other tongue " * 3 if i in held else t) for i, t in rows]
+    a, b = lm_scores(documents(spark, rows)), lm_scores(documents(spark, other))
+    assert len(held) > 20 and all(a[i] == pytest.approx(b[i], rel=1e-12) for i, _ in rows if i not in held)
+
+
+def test_scores_do_not_depend_on_the_number_of_partitions(spark):
+    rows, before = documents(spark, lm_corpus()).cache(), spark.conf.get("spark.sql.shuffle.partitions")
+    found = []
+    for n in ("2", "64"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        found.append(lm_scores(rows))
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert all(found[0][i] == pytest.approx(found[1][i], rel=1e-6) for i in found[0])
