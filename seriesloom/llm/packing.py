@@ -13,6 +13,7 @@ repeated rows and NULL ids are packed too. Only the last window may be short. No
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -44,6 +45,11 @@ _PROBES = (
 _tokenizers: dict[str, WordTokenizer] = {}
 
 
+def _stays_letters(word: str) -> bool:
+    """Letters only, also in lower case and normal form, which make letter and mark of some."""
+    return word.isalpha() and (word.isascii() or unicodedata.normalize("NFC", word.lower()).isalpha())
+
+
 class WordTokenizer:
     """Ids of whole texts.
 
@@ -74,8 +80,8 @@ class WordTokenizer:
 
     def _learn(self, word: str) -> bytes:
         body, last = word[:-1], word[-1:]
-        if last in ".," and _LATIN.match(body):  # a run of letters is a piece of its own
-            ids = self.word(body.lower()) + self.word(last)
+        if last in ".," and body and _stays_letters(body):  # a run of letters is a piece of its own
+            ids = self.word(body.lower() if body.isascii() else body) + self.word(last)
         elif word.isascii() and word.isalpha() and not word.islower():
             ids = self.word(word.lower())
         else:
