@@ -7,7 +7,9 @@ import pytest
 import __spark_entry__ as contract
 
 DATA = "/root/testdata/sf0.001"
-QUERIES = ["scoreboard", "lag_features", "daily_pnl", "error_quartiles", "volatile_week", "rescaled_meta", "delay_aggregate"]
+QUERIES = ["scoreboard", "lag_features", "daily_pnl", "error_quartiles", "volatile_week", "rescaled_meta", "delay_aggregate", "acf_topk", "trend_split"]
+# Shuffles of queries over regular series: those of the panel, and the operator's own.
+SHUFFLES = {"sequence_windows": 8, "df_stat": 8, "seasonal_diff": 8, "daily_pnl": 8, "volatile_week": 12, "nth_window": 12}
 
 
 @pytest.fixture
@@ -32,3 +34,9 @@ def test_only_used_columns_are_read(big):
     schema = re.search(r"ReadSchema: struct<([^>]*)>", plan).group(1)
     assert {c.split(":")[0] for c in schema.split(",")} == {"user_id", "ts", "value"}
     assert "IsNotNull(user_id)" in plan
+
+
+@pytest.mark.parametrize("name", SHUFFLES)
+def test_regular_series_are_not_numbered_again(big, name):
+    plan = contract.queries()[name](big, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"Exchange (?:hash|range|Single)", plan)) <= SHUFFLES[name]
