@@ -20,7 +20,7 @@ from seriesloom.operators import (
     stacking,
     window_model,
 )
-from seriesloom.operators.chunks import running_totals
+from seriesloom.operators.chunks import running_totals, with_position
 from seriesloom.plans import panels
 from seriesloom.plans.oracle import TYPED, forecasts, hourly, r, scores, shown, splits
 from seriesloom.plans.panels import MODELS, TYPES, USERS
@@ -48,6 +48,20 @@ def window_forecast(spark, folder):
     return _out(level.join(_test(rows).select(*KT), KT, "left_semi"), KT, list(steps))
 
 
+SHORT = 72
+
+
+@query
+def window_ridge(spark, folder):
+    """72 past hours to the next one, split by windows: fitted on the first 70% of them, shown for the last tenth."""
+    rows = with_position(panels.hourly_dense(spark, folder), TYPES, "ts")
+    rows = rows.withColumn("split", split.split_label(F.col("position") - SHORT, F.col("n_rows") - SHORT)).select(*KT, "y", "split")
+    model = window_model.fit_windows(rows.where(F.col("split") == "train").drop("split"), TYPES, ["y"], "y", SHORT, 1)
+    out = window_model.forecast_windows(rows.drop("split"), model, TYPES, ["y"], SHORT)
+    ahead = out.select(*TYPES, (F.col("ts") + F.expr("INTERVAL 1 HOUR")).alias("ts"), F.col("forecast")[0].alias("y_pred"))
+    return _out(ahead.join(_test(rows).select(*KT), KT, "left_semi"), KT, ["y_pred"])
+
+
 # --- seasonal autoregressions ---------------------------------------------------------------
 
 CANDIDATES = ("n", "day_of_week_sin", "day_of_week_cos")
@@ -379,6 +393,25 @@ WITH RECURSIVE {FLOWS}, {_unit_root_sql()},
 made AS (SELECT s.*, CASE o.d WHEN 0 THEN y WHEN 1 THEN y - lag(y) OVER w ELSE y - 2 * lag(y) OVER w + lag(y, 2) OVER w END AS diff
     FROM src s JOIN orders USING (key) WINDOW w AS (PARTITION BY key ORDER BY i))
 SELECT event_type, kind, ts, {r('diff', 5)} AS diff FROM made""",
+    "window_ridge": f"""
+WITH RECURSIVE {hourly()},
+lists AS (SELECT event_type, list(y ORDER BY ts) AS vs, list(ts ORDER BY ts) AS times, count(*) AS n FROM dense GROUP BY 1),
+w AS MATERIALIZED (SELECT event_type, t, vs[t - {SHORT - 1}:t] AS x, vs[t + 1] AS y, times[t + 1] AS ts,
+    t - {SHORT} < CAST(trunc((n - {SHORT}) * CAST(0.7 AS DOUBLE)) AS BIGINT) AS train, t - {SHORT} >= CAST(trunc((n - {SHORT}) * CAST(0.9 AS DOUBLE)) AS BIGINT) AS test
+    FROM lists, unnest(range({SHORT}, n)) u(t)),
+cells AS (SELECT event_type, t, y, unnest(range(1, {SHORT + 1})) AS j, unnest(x) AS v FROM w WHERE train),
+mx AS (SELECT event_type, j, avg(v) AS m, avg(y) AS my, count(*) AS n FROM cells GROUP BY 1, 2),
+c AS MATERIALIZED (SELECT event_type, t, j, v - m AS v, y - my AS y, n FROM cells JOIN mx USING (event_type, j)),
+gram AS (SELECT a.event_type, a.j AS i, b.j, sum(a.v * b.v) / any_value(a.n) + CASE WHEN a.j = b.j THEN {window_model.RIDGE} ELSE 0 END AS g
+    FROM c a JOIN c b ON a.event_type = b.event_type AND a.t = b.t GROUP BY 1, 2, 3),
+moment AS (SELECT event_type, j AS i, sum(v * y) / any_value(n) AS g FROM c GROUP BY 1, 2),
+rows AS (SELECT g.event_type, g.i, list_append(list(g.g ORDER BY g.j), any_value(m.g)) AS row FROM gram g JOIN moment m ON m.event_type = g.event_type AND m.i = g.i GROUP BY 1, 2),
+mat AS (SELECT event_type, list(row ORDER BY i) AS m FROM rows GROUP BY 1),
+{solved('mat', 'event_type')},
+beta AS (SELECT event_type, list_transform(m, lambda row: row[len(row)]) AS b FROM solved),
+centre AS (SELECT event_type, list(m ORDER BY j) AS mx, any_value(my) AS my FROM mx GROUP BY 1)
+SELECT w.event_type, ts, {r('my + list_dot_product(b, list_transform(x, lambda v, j: v - mx[j]))')} AS y_pred
+FROM w JOIN beta ON beta.event_type = w.event_type JOIN centre ON centre.event_type = w.event_type WHERE test""",
     # The ridge in its dual form: weights are a mix of the training windows.
     "window_forecast": f"""
 WITH RECURSIVE {hourly()}, {splits('dense', 'sp')},

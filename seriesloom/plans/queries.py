@@ -722,13 +722,3 @@ def stacked_linear(spark, folder):
     rows = models.fit_stack(panels.split_forecasts(spark, folder, USERS), USERS, "y", MODELS)
     long = reshape.predictions_long(_test(rows), [*USERS, "ts"], "y", [*MODELS, "stack"])
     return metrics.scoreboard(long)
-
-
-@query
-def window_ridge(spark, folder):
-    """A ridge regression from 72 past hours to the next one, scored on the test rows."""
-    rows = with_position(panels.hourly_dense(spark, folder), TYPES, "ts")
-    rows = rows.withColumn("split", split.split_label(F.col("position") - 72, F.col("n_rows") - 72))
-    rows = windows.sequence_windows(rows, TYPES, ["y"], "y", 72, carry=["split"], regular=True)
-    model = models.fit_window(rows.where(F.col("split") == "train"), "seq", ["y"], "y")[1]
-    return models.score_window(model, _test(rows), "seq", ["y"], KT)
