@@ -12,7 +12,7 @@ from seriesloom.operators.features import LAGS, WIDTHS
 from seriesloom.operators.impute import NEIGHBOURS
 from seriesloom.plans import panels
 from seriesloom.plans.evaluate import evaluate
-from seriesloom.plans.oracle import CYCLES, DAYS_SQL, ERRORS, EVENT_TYPES, ORACLE as SINGLE, forecasts, hourly, r, rolled, scores, splits
+from seriesloom.plans.oracle import CYCLES, DAYS_SQL, ERRORS, EVENT_TYPES, ORACLE as SINGLE, forecasts, hourly, r, scores, splits
 from seriesloom.plans.panels import MODELS, TYPES
 from seriesloom.plans.preprocess import FOSSIL_PARTS, LAGGED, TARGET, UNUSED_ENERGY, UNUSED_WEATHER, prepare
 from seriesloom.plans.queries import KT, STRATEGIES, Query, _calendar, _out, _test
