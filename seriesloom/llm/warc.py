@@ -9,6 +9,14 @@ Writers stream: a task holds one record. A file gets its final name when it is c
 files that the finished tasks name are read, so a rerun task leaves no doubled records. Files lie in
 the shared folder and are reached through ``pyarrow.fs``, which knows local and remote stores.
 
+Archives of other writers are read too. Every record comes back, whatever its type, with its own id and the id
+it refers to; ``page_id`` and ``refers_to`` are only known where an id has this writer's form. Length and digest of a
+payload are computed, but for revisits: their digest is that of the header if it is SHA-1, and their length is NULL
+unless the header has it. The payload of an HTTP response or request is what stands behind the HTTP head, as stored;
+that of another record is its block. Lines that are no header field are passed over, and a record without a length
+ends with its member. Only this writer's records are held against their digest. An archive stored in another one
+without compression cannot be told from records where a range starts inside it: such files need one range.
+
 Defined results: NULL html is an empty payload. Of equal payloads of at least ``revisit_bytes`` the
 record with the largest id is a response and others revisit it; rows that repeat the largest id are
 all responses, and a NULL id is never the largest unless all are NULL. A NULL url is left out of the
@@ -20,6 +28,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import os
+import re
 import zlib
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
@@ -38,12 +47,14 @@ READ_BYTES = 1 << 20
 REVISIT_BYTES = 1000
 VERSION = b"WARC/1.1\r\n"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
+DIGITS, PAGE = re.compile(r"[0-9]+"), re.compile(r"<urn:page:(-?[0-9]+)>")
+HEX_DIGEST, BASE32_DIGEST = re.compile(r"[0-9A-Fa-f]{40}"), re.compile(r"[A-Za-z2-7]{32}")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 FILES = "path string, size long"
 RECORDS = (
-    "page_id long, url string, record_type string, refers_to long, payload_bytes long, "
-    "payload_digest string, payload binary, path string, at long"
+    "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, "
+    "payload binary, path string, at long, record_id string, refers_to_id string"
 )
 RECORD_SCHEMA = pa.schema(
     [
@@ -56,6 +67,8 @@ RECORD_SCHEMA = pa.schema(
         ("payload", pa.binary()),
         ("path", pa.string()),
         ("at", pa.int64()),
+        ("record_id", pa.string()),
+        ("refers_to_id", pa.string()),
     ]
 )
 
@@ -216,27 +229,46 @@ class Record(NamedTuple):
 
 
 def parse(data: bytes) -> Record:
-    """A decoded record: header by lower-case name, and the payload behind the HTTP head."""
+    """A decoded record: header by lower-case name, and the payload, which stands behind the HTTP head if there is one."""
     head, _, rest = data.partition(b"\r\n\r\n")
-    fields = (line.partition(": ") for line in head.decode().split("\r\n")[1:])
-    named = {k.lower(): v for k, _, v in fields}
-    block = rest[: int(named["content-length"])]
-    return Record(named, block.partition(b"\r\n\r\n")[2] if named["warc-type"] == "response" else b"")
+    fields = (line.partition(":") for line in head.decode(errors="replace").split("\r\n")[1:])
+    named = {k.strip().lower(): v.strip() for k, colon, v in fields if colon}
+    length = named.get("content-length", "")
+    block = rest[: int(length)] if DIGITS.fullmatch(length) else rest.removesuffix(b"\r\n\r\n")
+    if named.get("warc-type") == "revisit":
+        return Record(named, b"")
+    http = named.get("content-type", "").lower().startswith("application/http")
+    return Record(named, block.partition(b"\r\n\r\n")[2] if http else block)
 
 
 def _page(text: str | None) -> int | None:
-    number = text.removeprefix("<urn:page:").removesuffix(">") if text else "None"
-    return None if number == "None" else int(number)
+    found = PAGE.fullmatch(text or "")
+    return int(found[1]) if found else None
+
+
+def _stated_digest(text: str) -> str | None:
+    """A stated SHA-1, in base 32 or hex, as hex; None for any other."""
+    name, _, value = text.partition(":")
+    if name.lower() != "sha1":
+        return None
+    if HEX_DIGEST.fullmatch(value):
+        return value.lower()
+    return base64.b32decode(value.upper()).hex() if BASE32_DIGEST.fullmatch(value) else None
 
 
 def _row(path: str, at: int, data: bytes) -> tuple:
     head, payload = parse(data)
-    digest = base64.b32decode(head["warc-payload-digest"].removeprefix("sha1:")).hex()
-    length, kind = int(head["x-payload-length"]), head["warc-type"]
-    if kind == "response" and (len(payload), hashlib.sha1(payload).hexdigest()) != (length, digest):
-        raise ValueError(f"damaged record in {path} at {at}")
-    page, refers = _page(head["warc-record-id"]), _page(head.get("warc-refers-to"))
-    return page, head.get("warc-target-uri"), kind, refers, length, digest, payload, path, at
+    stated = head.get("x-payload-length", "")
+    length = int(stated) if DIGITS.fullmatch(stated) else None
+    digest, kind = _stated_digest(head.get("warc-payload-digest", "")), head.get("warc-type")
+    if kind != "revisit":
+        known = len(payload), hashlib.sha1(payload).hexdigest()
+        if length is not None and known != (length, digest):
+            raise ValueError(f"damaged record in {path} at {at}")
+        length, digest = known
+    name, refers = head.get("warc-record-id"), head.get("warc-refers-to")
+    page, url = _page(name), head.get("warc-target-uri")
+    return page, url, kind, _page(refers), length, digest, payload, path, at, name, refers
 
 
 def _reader(payloads: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

@@ -65,6 +65,50 @@ def test_magic_inside_a_member_is_no_record(tmp_path):
         assert found == [inner * 50, b"x"]
 
 
+def foreign(kind, block, **head):
+    """A record as another program may write it."""
+    lines = "".join(f"{k.replace('_', '-')}:{v}\r\n" for k, v in head.items())
+    return gzip.compress(f"WARC/1.0\r\nWARC-Type: {kind}\r\n{lines}\r\n".encode() + block + b"\r\n\r\n")
+
+
+@pytest.mark.parametrize("size", [40, 333, 100_000])
+def test_archives_of_other_writers_come_back_whole(spark, tmp_path, size):
+    body = b"<p>one</p>\r\n\r\n<p>two</p>"
+    http = b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\n" + body
+    ask = b"GET / HTTP/1.1\r\nHost: a.net\r\n\r\n"
+    sha, other = hashlib.sha1(body), "ab" * 20
+    kinds = "application/http; msgtype="
+    data = b"".join(
+        [
+            foreign("warcinfo", b"software: x\r\n", Content_Length=13, WARC_Record_ID="<urn:uuid:1>", Content_Type="application/warc-fields"),
+            foreign("request", ask, content_length=len(ask), WARC_Record_ID="<urn:uuid:2>", Content_Type=kinds + "request"),
+            foreign("response", http, CONTENT_LENGTH=len(http), WARC_Target_URI="http://a.net/", Content_Type=kinds + "response", WARC_Record_ID="<urn:uuid:3>"),
+            foreign("revisit", b"", Content_Length=0, WARC_Refers_To="<urn:uuid:3>", WARC_Payload_Digest=f"sha1:{other.upper()}"),
+            foreign("revisit", b"", Content_Length=0, WARC_Payload_Digest="md5:00"),
+            foreign("resource", b"plain", WARC_Target_URI="ftp://b.net/", Content_Type="text/plain"),
+            warc.record(7, "http://c.net/", b"own", "response", None),
+            foreign("conversion", b"", Content_Length="none"),
+        ]
+    )
+    (tmp_path / "other.warc.gz").write_bytes(data)
+    files = spark.createDataFrame([(f"file://{tmp_path}/other.warc.gz", len(data))], warc.FILES)
+    got = warc.read_archives(files, range_bytes=size).orderBy("at").collect()
+    hexed = lambda b: hashlib.sha1(b).hexdigest()
+    assert [(r["record_type"], r["payload_bytes"], r["payload_digest"]) for r in got] == [
+        ("warcinfo", 13, hexed(b"software: x\r\n")),
+        ("request", 0, hexed(b"")),
+        ("response", len(body), sha.hexdigest()),
+        ("revisit", None, other),
+        ("revisit", None, None),
+        ("resource", 5, hexed(b"plain")),
+        ("response", 3, hexed(b"own")),
+        ("conversion", 0, hexed(b"")),
+    ]
+    assert [r["page_id"] for r in got] == [None] * 6 + [7, None]
+    assert got[2]["url"] == "http://a.net/" and bytes(got[2]["payload"]) == body
+    assert got[3]["refers_to_id"] == got[2]["record_id"] == "<urn:uuid:3>" and got[3]["refers_to"] is None
+
+
 def test_no_pages_no_records(pages):
     files = warc.write_archives(pages([]), warc.archive_folder(pages([])))
     assert warc.read_archives(files).count() == 0
