@@ -13,8 +13,9 @@ from that among the unlabelled (under LEAST_Z standard errors) get no weight, an
 it from more: long texts don't gather noise.
 
 Several scorers are trained, each in one task on its own bounded sample: up to POSITIVES positives
-and UNLABELLED unlabelled texts, drawn by a hash of the id (scorers may share texts). Their weights, 2**BITS numbers each,
-are sent to the scoring tasks. All texts are scored whole.
+and UNLABELLED unlabelled texts of any length, drawn by a hash of the id (scorers may share texts). A drawn text travels as
+the set of its buckets, 2**BITS / 8 bytes at most, and a task holds those of the telling words only. The weights, 2**BITS
+numbers a scorer, are sent to the scoring tasks. All texts are scored whole.
 
 Texts count as the set of their hashed words, ASCII punctuation parting words.
 
@@ -42,7 +43,6 @@ BITS = 18
 SCORERS = 4
 POSITIVES = 3000
 UNLABELLED = 6000
-SAMPLE_BYTES = 8000  # longer sample texts are left to the scoring
 LEAST_Z = 4.0
 LEAST_TEXTS = 5
 PENALTY = 1.5e-4
@@ -71,11 +71,29 @@ def features(texts: pa.Array, bits: int = BITS) -> Sparse:
     return Sparse(np.concatenate(rows or [none]), np.concatenate(buckets or [none]), len(texts))
 
 
+def packed_set(buckets: np.ndarray, bits: int = BITS) -> bytes:
+    """Sorted distinct buckets: their numbers, or one bit for each bucket there is if that is shorter."""
+    if 4 * len(buckets) < (1 << bits) // 8:
+        return buckets.astype("<u4").tobytes()
+    held = np.zeros(1 << bits, bool)
+    held[buckets] = True
+    return np.packbits(held).tobytes()
+
+
+def unpacked_set(data: bytes, bits: int = BITS) -> np.ndarray:
+    if len(data) < (1 << bits) // 8:
+        return np.frombuffer(data, "<u4").astype(np.int64)
+    return np.flatnonzero(np.unpackbits(np.frombuffer(data, np.uint8)))
+
+
 def _telling(x: Sparse, positive: np.ndarray, size: int) -> np.ndarray:
     """The buckets whose share among positives differs from that among the others."""
-    n_pos, n_unl = positive.sum(), (~positive).sum()
     with_pos = np.bincount(x.bucket, positive[x.row], size)
     with_unl = np.bincount(x.bucket, ~positive[x.row], size)
+    return _differs(with_pos, with_unl, positive.sum(), (~positive).sum())
+
+
+def _differs(with_pos: np.ndarray, with_unl: np.ndarray, n_pos: int, n_unl: int) -> np.ndarray:
     usual = (with_unl + 1) / (n_unl + 2)
     z = (with_pos / n_pos - usual) / np.sqrt(usual * (1 - usual) / n_pos)
     enough = (with_pos + with_unl >= LEAST_TEXTS) & ((with_pos >= 0.01 * n_pos) | (z < 0))
@@ -113,14 +131,37 @@ def fit(x: Sparse, positive: np.ndarray, prior: float, bits: int = BITS, steps:
     return float(intercept), out
 
 
+def _telling_sets(sets: list[bytes], positive: np.ndarray) -> Sparse:
+    """The texts' sets without the buckets that tell nothing, unpacked one at a time."""
+    with_bucket = {True: np.zeros(1 << BITS), False: np.zeros(1 << BITS)}
+    for data, known in zip(sets, positive, strict=True):
+        with_bucket[bool(known)][unpacked_set(data)] += 1
+    telling = _differs(with_bucket[True], with_bucket[False], positive.sum(), (~positive).sum())
+    kept = [buckets[telling[buckets]] for buckets in map(unpacked_set, sets)]
+    row = np.repeat(np.arange(len(sets)), [len(k) for k in kept])
+    return Sparse(row, np.concatenate(kept), len(sets))
+
+
+def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts to the sets of their buckets; doc_id and roles as they are."""
+    for batch in batches:
+        x = features(batch.column("text"))
+        order = np.lexsort([x.bucket, x.row])
+        edges = np.searchsorted(x.row[order], np.arange(x.rows + 1))
+        buckets = x.bucket[order]
+        sets = [packed_set(buckets[edges[i] : edges[i + 1]]) for i in range(x.rows)]
+        columns = [batch.column("doc_id"), batch.column("roles"), pa.array(sets, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "roles", "buckets"])
+
+
 def _train(prior: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["order", "text"])
+        rows = rows.sort_values(["order", "buckets"])
         rows = pd.concat([rows[rows["positive"]].head(POSITIVES), rows[~rows["positive"]].head(UNLABELLED)])
         positive = rows["positive"].to_numpy(bool)
         if positive.all() or not positive.any():
             return pd.DataFrame({"scorer": [], "intercept": [], "weights": []})
-        intercept, weights = fit(features(pa.array(rows["text"], pa.large_string())), positive, prior)
+        intercept, weights = fit(_telling_sets(rows["buckets"].tolist(), positive), positive, prior)
         found = {"scorer": [int(rows["scorer"].iloc[0])], "intercept": [intercept], "weights": [weights.astype("<f4").tobytes()]}
         return pd.DataFrame(found)
 
@@ -131,14 +172,13 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column) -> list[tuple[float
     """Scorers from the rows of ``docs`` and ``labels`` for which ``learn``, a condition on doc_id, holds.
 
     The class prior is the share of toxic labels there. At most SCORERS rows come back, of fixed size.
-    Texts over SAMPLE_BYTES are not learnt from (they are scored).
     """
     known = labels.where(learn & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     prior = known.agg(F.avg(F.col("toxic").cast("double"))).first()[0]
     if not prior or prior >= 1:
         return [(0.0 if prior is None else -20.0 if not prior else 20.0, np.zeros(1 << BITS, np.float32))]
-    fits = F.octet_length("text") <= SAMPLE_BYTES
-    usable = docs.where(learn & F.col("doc_id").isNotNull() & fits).select("doc_id", "text")
+    usable = docs.where(learn & F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    usable = usable.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     toxic = stage(known.where("toxic = 1").select("doc_id", F.lit(True).alias("toxic")), "toxic-ids")
     n_toxic, total = max(1, toxic.count()), max(1, usable.count())
     # Thinned by hash first, so that few texts move: about twice as many as wanted.
@@ -149,8 +189,10 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column) -> list[tuple[float
         *[F.when(chance("unlabelled", k) < 2.0 * UNLABELLED / total, role(k, False)) for k in range(SCORERS)],
     ]
     marked = usable.join(toxic, "doc_id", "left")
-    thin = marked.select("doc_id", "text", F.explode(F.array_compact(F.array(*drawn))).alias("role"))
-    thin = thin.select("text", "role.*", F.xxhash64("role.scorer", "doc_id").alias("order"))
+    thin = marked.select("doc_id", "text", F.array_compact(F.array(*drawn)).alias("roles")).where(F.size("roles") > 0)
+    sets = thin.mapInArrow(_with_sets, "doc_id long, roles array<struct<scorer: int, positive: boolean>>, buckets binary")
+    thin = sets.select("doc_id", "buckets", F.explode("roles").alias("role"))
+    thin = thin.select("buckets", "role.*", F.xxhash64("role.scorer", "doc_id").alias("order"))
     found = thin.groupBy("scorer").applyInPandas(_train(float(prior)), WEIGHTS).collect()
     scorers = [(r["intercept"], np.frombuffer(r["weights"], "<f4")) for r in sorted(found)]
     return scorers or [(float(np.log(prior / (1 - prior))), np.zeros(1 << BITS, np.float32))]
