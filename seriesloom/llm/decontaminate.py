@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.llm.shared import stage
+from seriesloom.llm.shared import free_name, stage
 
 SIZE = 5
 SHARE = 0.75
@@ -114,6 +114,7 @@ def contained(
 
 def clean(docs: DataFrame, items: DataFrame, share: float = SHARE) -> DataFrame:
     """The documents that contain no item. Rows count by their text, so their ids may repeat or be NULL."""
-    coded = docs.withColumn("code_", F.xxhash64("text"))
-    bad = contained(coded.select("code_", "text"), items, share, key="code_").select(F.col("doc_id").alias("code_"))
-    return coded.join(stage(bad.distinct(), "contaminated"), "code_", "left_anti").drop("code_")
+    code = free_name(docs, "code_")
+    coded = docs.withColumn(code, F.xxhash64("text"))
+    bad = contained(coded.select(code, "text"), items, share, key=code).select(F.col("doc_id").alias(code))
+    return coded.join(stage(bad.distinct(), "contaminated"), code, "left_anti").select(docs.columns)

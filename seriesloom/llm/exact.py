@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.llm.shared import partitions, stage
+from seriesloom.llm.shared import free_name, partitions, stage
 
 TABLE_BYTES = 16 << 20
 BUCKET_BYTES = 64 << 20
@@ -223,11 +223,12 @@ def keep_one(docs: DataFrame) -> DataFrame:
     fates = deduplicate(docs)
     rows = fates.groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("kept"), F.count("*").alias("rows"))
     stays = stage(rows.where("kept").select(F.col("doc_id").alias("id_"), F.col("text_sha256").alias("sha_"), "rows"), "stays")
-    coded = docs.withColumn("own_", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
-    same = (coded["own_"] == stays["sha_"]) & coded["doc_id"].eqNullSafe(stays["id_"])
-    once = coded.join(stays.where("rows = 1"), same, "left_semi").drop("own_")
+    own = free_name(docs, "own_")
+    coded = docs.withColumn(own, F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
+    same = (coded[own] == stays["sha_"]) & coded["doc_id"].eqNullSafe(stays["id_"])
+    once = coded.join(stays.where("rows = 1"), same, "left_semi").select(docs.columns)
     again = stays.where("rows > 1")
     if again.isEmpty():
         return once
-    repeated = coded.join(again, same, "left_semi").dropDuplicates(["doc_id", "own_"]).drop("own_")
+    repeated = coded.join(again, same, "left_semi").dropDuplicates(["doc_id", own]).select(docs.columns)
     return once.union(repeated)
