@@ -91,6 +91,27 @@ def test_toxicity_learns_words_and_keeps_clean_texts(spark):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in got)
 
 
+def test_toxicity_learns_from_long_texts(spark):
+    dice, known = random.Random(6), vocabulary(3000)
+    rows, labels = [], []
+    for i in range(400):
+        bad = i % 4 == 0
+        rows.append((i, prose(dice, known, 2000) + (" grumlin voxter" if bad else "")))
+        labels.append((i, int(bad)))
+    assert min(len(t) for _, t in rows) > 8000
+    table = spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = [r for r in queries.toxicity_scores(spark, documents(spark, rows), table).collect() if r["held_out"]]
+    assert all(r["predicted"] == (r["doc_id"] % 4 == 0) for r in got)
+
+
+@pytest.mark.parametrize("size", [0, 1, 8191, 8192, 100_000, 1 << toxicity.BITS])
+def test_sets_of_buckets_come_back(size):
+    buckets = np.sort(np.random.default_rng(size).permutation(1 << toxicity.BITS)[:size])
+    data = toxicity.packed_set(buckets)
+    assert len(data) <= (1 << toxicity.BITS) // 8
+    assert (toxicity.unpacked_set(data) == buckets).all()
+
+
 def test_toxicity_of_odd_rows_and_without_labels(spark, odd, none):
     labels = spark.createDataFrame([(1, 1), (None, 1), (5, 0), (6, None)], "doc_id long, toxic int")
     assert queries.toxicity_scores(spark, odd, labels).count() == len(ODD)
@@ -179,10 +200,23 @@ def components_of(df):
 
 
 @pytest.mark.parametrize("small, tile", [(12, 2048), (2, 8)])
-def test_jaccard_components_are_those_of_all_pairs(spark, corpus, monkeypatch, small, tile):
-    monkeypatch.setattr(jaccard, "SMALL", small)
-    monkeypatch.setattr(jaccard, "TILE", tile)
-    assert components_of(jaccard.join(documents(spark, corpus).repartition(5))) == brute_components(corpus)
+def test_jaccard_components_are_those_of_all_pairs(spark, corpus, small, tile):
+    links = jaccard.node_links(documents(spark, corpus).repartition(5), small=small, tile=tile)
+    assert components_of(jaccard.membership(*links)) == brute_components(corpus)
+
+
+def test_tiles_that_neighbours_join_do_not_meet(spark):
+    dice, known = random.Random(21), vocabulary()
+    first, second = (prose(dice, known, 200) for _ in range(2))
+    rows = list(enumerate(edited(dice, known, dice.choice([first] * 9 + [second]), 0.005) for _ in range(150)))
+    docs = documents(spark, rows)
+    got = jaccard.membership(*jaccard.node_links(docs, small=2, tile=8))
+    assert components_of(got) == brute_components(rows)
+    tiles = spark.createDataFrame([(7, t, 10 * t + k, 5) for t in range(6) for k in range(3)], "shingle long, tile int, node long, n int")
+    clusters = spark.createDataFrame([(10 * t + k, 0 if t < 5 else 50) for t in range(6) for k in range(3)], "node long, cluster long")
+    far = jaccard._tile_pairs(tiles).where("j - i > 1")
+    assert {(r["i"], r["j"]) for r in jaccard._mixed(tiles, far, clusters).collect()} == {(i, 5) for i in range(4)}
+    assert jaccard._mixed(tiles, far, clusters.where("cluster < 0")).count() == far.count() == 10
 
 
 def test_jaccard_of_odd_rows(spark, odd, none):
@@ -199,16 +233,14 @@ def _run(steps, rows, names, kinds, size):
     return [r for b in steps(iter(batches)) for r in b.to_pylist()]
 
 
-def test_groups_lose_no_pair_whatever_the_batches(monkeypatch):
-    monkeypatch.setattr(jaccard, "SMALL", 3)
-    monkeypatch.setattr(jaccard, "TILE", 4)
+def test_groups_lose_no_pair_whatever_the_batches():
     dice = random.Random(9)
     rows = [(t, dice.randrange(60), 0) for t in range(12) for _ in range(dice.choice([1, 2, 3, 5, 9, 23]))]
     rows = sorted({(t, node, 10 + node % 3) for t, node, _ in rows}, key=lambda r: (r[0], r[2], r[1]))
     rows = sorted([*rows, *dice.sample(rows, 9)], key=lambda r: (r[0], r[2], r[1]))
     want = {(min(a, b), max(a, b)) for t, a, n in rows for u, b, m in rows if t == u and a != b and 100 * min(n, m) >= 75 * max(n, m)}
     for size in (3, 7, 1000):
-        out = _run(jaccard._grouped, rows, ["shingle", "node", "n"], [pa.int64(), pa.int64(), pa.int32()], size)
+        out = _run(jaccard._grouped(3, 4), rows, ["shingle", "node", "n"], [pa.int64(), pa.int64(), pa.int32()], size)
         pairs = {(r["a"], r["b"]) for r in out if r["a"] is not None}
         tiles = defaultdict(set)
         for r in out:
@@ -426,6 +458,15 @@ def test_keep_one_keeps_a_row_of_each_text(spark, odd, none):
     assert exact.keep_one(none).count() == 0
 
 
+def test_helper_columns_have_names_that_the_table_has_not(spark):
+    rows = [(1, "a b c d e f", 5, "x"), (2, "a b c d e f", 6, "y"), (3, "some other words stand here now", 7, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, code_ int, OWN_ string")
+    items = spark.createDataFrame([(1, "words stand here now")], "item_id long, text string")
+    for left, ids in ((exact.keep_one(docs), [2, 3]), (jaccard.thin(docs), [1, 3]), (decontaminate.clean(docs, items), [1, 2])):
+        assert left.columns == docs.columns
+        assert sorted(map(tuple, left.collect())) == [rows[i - 1] for i in ids]
+
+
 # --- tokenizers of other kinds, and letters that normal forms change ------------------------
 
 
