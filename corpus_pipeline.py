@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriesloom.llm import decontaminate, exact, jaccard, queries, toxicity
-from seriesloom.llm.shared import stage
+from seriesloom.llm.shared import free_name, stage
 from seriesloom.session import scratch_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -18,10 +18,11 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that the classifier holds for toxic. Rows count by their text."""
     labels = queries.table(spark, sf_dir, "labels", "doc_id", "toxic")
     scorers = toxicity.train(docs, labels, F.coalesce(toxicity.crc_of_id() % 4, F.lit(0)) != 2)
-    coded = docs.withColumn("code_", F.xxhash64("text"))
-    scored = toxicity.score(coded.select(F.col("code_").alias("doc_id"), "text"), scorers)
-    bad = scored.where(F.col("score") >= toxicity.THRESHOLD).select(F.col("doc_id").alias("code_")).distinct()
-    return coded.join(stage(bad, "toxic"), "code_", "left_anti").select(docs.columns)
+    code = free_name(docs, "code_")
+    coded = docs.withColumn(code, F.xxhash64("text"))
+    scored = toxicity.score(coded.select(F.col(code).alias("doc_id"), "text"), scorers)
+    bad = scored.where(F.col("score") >= toxicity.THRESHOLD).select(F.col("doc_id").alias(code)).distinct()
+    return coded.join(stage(bad, "toxic"), code, "left_anti").select(docs.columns)
 
 
 def copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
