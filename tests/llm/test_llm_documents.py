@@ -359,6 +359,19 @@ def test_word_probabilities_of_a_bucket_sum_to_at_most_one():
     assert 0.3 < (2.0 ** -bits[:, 0]).sum() <= 1
 
 
+def test_long_words_are_priced_to_their_last_byte():
+    long = "ab" * 300
+    texts = pa.array([" ".join([long + "x", long + "y", long, "abc abd"])] * 3)
+    batch = pa.RecordBatch.from_arrays([pa.array([0, 1, 2]), texts, pa.array([False] * 3)], ["doc_id", "text", "held"])
+    rows = [r for b in mixing._chunked(1, 1, np.zeros((mixing.CLASSES, 1 << mixing.CLASS_BITS)))(iter([batch])) for r in b.to_pylist()]
+    bucket = mixing.Bucket([(r["chunk"], r["size"], r["payload"]) for r in rows if r["bucket"] is not None])
+    tables = [np.zeros(2 << b, np.uint32) for b in mixing.TABLE_BITS]
+    mixing._add_types(bucket, tables)
+    bits = mixing.costs(bucket, [t.astype(np.float32) for t in tables], bucket.by_class.sum(0) + np.array([3, 0, 0, 0]))[:, 0]
+    assert (bits > 0).all() and bits[bucket.lengths > 500].max() < 601  # under a bit a byte
+    assert (2.0**-bits).sum() <= 1
+
+
 def test_scores_without_rows_or_without_training(spark, none):
     assert mixing.score(none, F.lit(True)).count() == 0
     rows = mixing.score(documents(spark, ODD), F.lit(True)).collect()
