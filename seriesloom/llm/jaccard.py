@@ -549,7 +549,8 @@ def node_links(
     links = _links(pairs, sets)
 
     dense = met.where("shingle is not null").select("shingle", "i", "j")
-    for open_pairs, cover in ((meetings.where("j - i > 1"), True), (dense, False)):
+    for cover in (True, False):
+        open_pairs = meetings.where("j - i > 1") if cover else dense  # the last round takes what both before it covered
         if open_pairs.isEmpty():
             continue
         clusters = components(links, "a", "b").withColumnRenamed("component", "cluster")

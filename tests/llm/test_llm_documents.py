@@ -1,6 +1,7 @@
 """Operators on documents against brute force, and on odd rows."""
 
 import hashlib
+import itertools
 import math
 import random
 import zlib
@@ -219,6 +220,28 @@ def test_tiles_that_neighbours_join_do_not_meet(spark):
     assert jaccard._mixed(tiles, far, clusters.where("cluster < 0")).count() == far.count() == 10
 
 
+def test_far_tiles_with_a_cover_meet_again(spark, monkeypatch):
+    # Two clusters just under the threshold: far tiles keep a star cover of them, so no pair of theirs is settled before the last round.
+    name = (f"w{k}" for k in range(10_000))
+    words = lambda n: list(itertools.islice(name, n))
+    core, left, right = words(754), words(95), words(150)
+    texts = [core[20 + t :] + left for t in range(8)] + [left + core[: -20 - t] for t in range(8)]
+    texts += [core + left + words(12) for _ in range(56)]
+    texts += [words(12) + right + core for _ in range(24)]
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    meet, last = jaccard._meet, []
+
+    def watched(tiles, meetings, nodes, cover):
+        if not cover:
+            last.extend(r["j"] - r["i"] for r in meetings.collect())
+        return meet(tiles, meetings, nodes, cover)
+
+    monkeypatch.setattr(jaccard, "_meet", watched)
+    got = jaccard.membership(*jaccard.node_links(documents(spark, rows), small=2, tile=24))
+    assert components_of(got) == brute_components(rows)
+    assert max(last) > 1
+
+
 def test_jaccard_of_odd_rows(spark, odd, none):
     assert components_of(jaccard.join(odd)) == brute_components(ODD)
     assert jaccard.join(none).count() == 0
