@@ -25,10 +25,12 @@ comments and cut-off tags are read as browsers read them, nearly. Repeated rows
 from __future__ import annotations
 
 import html as entities
+import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -42,7 +44,8 @@ SAME_PAGE = 0.5
 TEMPLATE_SHARE = 0.5
 LEAST_INSIDE = 4  # equal pairs, so at least three pages, before a text inside <article> or <main> is template
 LINK_SHARE = 0.7
-WIDEST = 4_000_000  # cells of one alignment; wider child lists are paired from both ends
+WIDEST = 4_000_000  # cells of one alignment; wider ones give the same pairs from a few rows of cells at a time
+ALIKE = 32  # children of one shape that are weighed together in a wide alignment
 
 # Elements by how they are read.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -284,16 +287,106 @@ class Matching:
             return self._known[key]
         m, n = len(x.kids), len(y.kids)
         if m * n > WIDEST:
-            k = min(m, n) // 2
-            pairs = [(i, i) for i in range(k)] + [(m - i, n - i) for i in range(k, 0, -1)]
-            pairs = [(i, j) for i, j in pairs if x.kids[i].label == y.kids[j].label]
-            best = len(pairs)
+            best, pairs = _align_wide(self._wide_weights(x, y), m, n)
         else:
             weights = [[self._weight(p, q) for q in y.kids] for p in x.kids]
             best, pairs = _align(weights, m, n)
         self._known[key] = best, pairs
         return best, pairs
 
+    def _wide_weights(self, x: Node, y: Node) -> Callable[[int], np.ndarray]:
+        """The weights of a child of ``x`` with all children of ``y``, those of one shape together."""
+        groups: dict[tuple, list[int]] = {}
+        for j, q in enumerate(y.kids):
+            groups.setdefault(_shape(q), []).append(j)
+        names: dict[str, int] = {}
+        alike = []
+        for shape, at in groups.items():
+            leaves = [[names.setdefault(t, len(names)) for t in _leaves(y.kids[j])] for j in at] if len(at) >= ALIKE else None
+            alike.append((shape, np.array(at), np.array(leaves) if leaves else None))
+
+        def row(i: int) -> np.ndarray:
+            p, out = x.kids[i], np.zeros(len(y.kids), np.int32)
+            kept, self._known = self._known, {}  # of a wide list only the chosen pairs are kept
+            for shape, at, leaves in alike:
+                if shape[0] != p.label:
+                    continue
+                if leaves is None:
+                    out[at] = [self._weight(p, y.kids[j]) for j in at]
+                else:
+                    out[at] = _weights(p, shape, iter(leaves.T), names)
+            self._known = kept
+            return out
+
+        return row
+
+
+def _shape(node: Node) -> tuple:
+    return node.label, None if node.text is not None else tuple(map(_shape, node.kids))
+
+
+def _leaves(node: Node) -> Iterator[str]:
+    if node.text is not None:
+        yield node.text
+    for kid in node.kids:
+        yield from _leaves(kid)
+
+
+def _weights(x: Node, shape: tuple, leaves: Iterator[np.ndarray], names: dict[str, int]) -> np.ndarray:
+    """The weights of ``x`` with nodes of one shape; ``leaves``: the numbers of their texts, text by text."""
+    return _weigh(x, _numbered(shape, leaves), names)
+
+
+def _numbered(shape: tuple, leaves: Iterator[np.ndarray]) -> tuple:
+    label, kids = shape
+    return (label, None, next(leaves)) if kids is None else (label, [_numbered(k, leaves) for k in kids], None)
+
+
+def _weigh(x: Node, like: tuple, names: dict[str, int]) -> np.ndarray | int:
+    label, kids, texts = like
+    if x.label != label:
+        return 0
+    if x.text is not None:
+        return 1 + (texts == names.get(x.text, -1))
+    if len(x.kids) == 1 == len(kids) and x.kids[0].text is not None and kids[0][1] is None:
+        return 2 + (kids[0][2] == names.get(x.kids[0].text, -1))
+    row: list[np.ndarray | int] = [0] * (len(kids) + 1)
+    for p in x.kids:
+        above, row = row, [0]
+        for j, q in enumerate(kids):
+            row.append(np.maximum(np.maximum(above[j + 1], row[j]), above[j] + _weigh(p, q, names)))
+    return 1 + row[-1]
+
+
+def _align_wide(weights: Callable[[int], np.ndarray], m: int, n: int) -> tuple[int, list[tuple[int, int]]]:
+    """What ``_align`` gives: some rows of its table are kept, and those between them made again on the way back."""
+
+    def after(above: np.ndarray, w: np.ndarray) -> np.ndarray:
+        best = np.maximum(above[1:], np.where(w > 0, above[:-1] + w, 0))
+        return np.r_[np.int32(0), np.maximum.accumulate(best)]
+
+    step, kept, row = math.isqrt(max(m, 1)), [], np.zeros(n + 1, np.int32)
+    for i in range(m):
+        if i % step == 0:
+            kept.append(row)
+        row = after(row, weights(i))
+    best, pairs, j, end = int(row[-1]), [], n, m
+    while kept and j:
+        table, start = [kept.pop()], len(kept) * step
+        for i in range(start, end):
+            table.append(after(table[-1], weights(i)))
+        i, end = end - start, start
+        while i and j:
+            here = table[i][j]
+            if here == table[i - 1][j]:
+                i -= 1
+            elif here == table[i][j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                pairs.append((start + i, j))
+    return best, pairs[::-1]
+
 
 def _align(weights: list[list[int]], m: int, n: int) -> tuple[int, list[tuple[int, int]]]:
     if not m or not n:

@@ -260,3 +260,24 @@ def test_simple_tree_matching_pairs_the_most_nodes():
         ("a", "a"),
         ("z", "y"),
     ]
+
+
+def test_wide_lists_are_paired_like_others(monkeypatch):
+    dice = random.Random(5)
+    cell = lambda: "".join(f"<td>{dice.choice('abcde')}</td>" for _ in range(dice.choice([1, 3, 3])))
+    kinds = [lambda: f"<li>{dice.choice('abcd')}</li>", lambda: f"<tr>{cell()}</tr>", lambda: dice.choice("xyz") + "<hr>", lambda: "<div><p>a</p>b</div>"]
+    pages = ["<ul>" + "".join(dice.choice(kinds)() for _ in range(dice.randint(0, 60))) + "</ul>" for _ in range(24)]
+
+    def pairs():
+        out = []
+        for a, b in zip(pages[::2], pages[1::2], strict=True):
+            one, two = wrappers.Page(a), wrappers.Page(b)
+            place = {id(t): (k, i) for k, p in enumerate((one, two)) for i, t in enumerate(p.texts)}
+            out.append(sorted((place[id(x)], place[id(y)]) for x, y in wrappers.Matching(one, two).pairs))
+        return out
+
+    wanted = pairs()
+    monkeypatch.setattr(wrappers, "WIDEST", 0)
+    for alike in (1, 4, 1000):
+        monkeypatch.setattr(wrappers, "ALIKE", alike)
+        assert pairs() == wanted
