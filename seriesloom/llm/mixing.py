@@ -15,8 +15,8 @@ counts of all word pairs of the corpus, START and END of a text being words too,
 the first. How much the pairs are believed depends on how often the first word was seen; these weights
 are fitted on the pairs of all training texts, each pair without its own count.
 
-Classes of texts, such as languages, are CLASSES clusters by short words: means over all training texts of what is
-nearest to centres found on a sample of them (at most SAMPLE). A text's probability is the sum over the classes of
+Classes of texts, such as languages, are CLASSES clusters by short words: centres that start where the vectors of all
+training texts differ most and move to the means of all that is nearest. A text's probability is the sum over the classes of
 the class's share times the text's probability there.
 
 The weights are those of a bucket of heads, so all that a bucket needs is the words of the corpus that
@@ -58,7 +58,7 @@ SPREAD_BYTES = 16 << 20  # of the corpus, for the number of buckets and parts
 CLASSES = 4
 CLASS_BITS = 6  # hashed short words that tell classes apart
 SHORT = 3  # bytes of a short word, at most
-SAMPLE = 2000  # texts on which the classes are fitted
+ROUNDS = 20  # in which the classes' centres move, at most
 HEAD = 3
 PIECE = 40  # bytes of a word that are gone through together
 ORDERS = (1, 2, 3, 4)
@@ -262,66 +262,76 @@ def class_of(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return (x @ centres.T - 0.5 * (centres * centres).sum(1)).argmax(1)
 
 
-def cluster(x: np.ndarray) -> np.ndarray:
-    """CLASSES centres: far apart at first, then means of what is nearest."""
-    if not len(x):
-        return np.zeros((CLASSES, 1 << CLASS_BITS))
-    centres = [x.mean(0)]
-    for _ in range(CLASSES):
-        away = np.min([((x - c) ** 2).sum(1) for c in centres], axis=0)
-        centres.append(x[int(away.argmax())])
-    out = np.array(centres[1:])
-    for _ in range(20):
-        kind = class_of(x, out)
-        out = np.array([x[kind == k].mean(0) if (kind == k).any() else out[k] for k in range(CLASSES)])
-    return out
+VECTOR_UNIT = 255  # places of a text's vector travel as bytes; sums of whole numbers are the same in any order
 
 
 def _vectors(batches: Batches) -> Batches:
+    """The short-word vectors of texts."""
     for batch in batches:
-        rows = [v.tobytes() for part in words(batch.column("text")) for v in short_words(part)]
-        yield pa.RecordBatch.from_arrays([batch.column("code"), pa.array(rows, pa.binary())], ["code", "vector"])
+        rows = [v.tobytes() for part in words(batch.column("text")) for v in np.rint(short_words(part) * VECTOR_UNIT).astype(np.uint8)]
+        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["vector"])
 
 
-VECTOR_UNIT = 1 << 20  # sums of whole numbers are the same in any order
+SUMS = "kind long, dim long, total long"
 
 
-def _class_sums(centres: np.ndarray) -> Callable[[Batches], Batches]:
-    """Sums of the short-word vectors of the texts nearest to each centre; dim -1 counts the texts."""
+def _summed_vectors(sums_of: Callable[[np.ndarray], np.ndarray]) -> Callable[[Batches], Batches]:
+    """The task's sums of a table of whole numbers that ``sums_of`` makes of vectors, with a 1 in front of each."""
 
     def run(batches: Batches) -> Batches:
-        sums = np.zeros((CLASSES, centres.shape[1] + 1), np.int64)
+        sums = 0
         for batch in batches:
-            for part in words(batch.column("text")):
-                vectors = short_words(part)
-                kind = class_of(vectors, centres)
-                np.add.at(sums, (kind, slice(1, None)), np.rint(vectors * VECTOR_UNIT).astype(np.int64))
-                sums[:, 0] += np.bincount(kind, minlength=CLASSES)
-        kind, dim = np.divmod(np.arange(sums.size), sums.shape[1])
-        yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(dim - 1), pa.array(sums.ravel())], ["kind", "dim", "total"])
+            x = np.frombuffer(b"".join(batch.column("vector").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+            sums = sums + sums_of(np.column_stack([np.ones(len(x)), x])).astype(np.int64)
+        if np.ndim(sums):
+            kind, dim = np.divmod(np.arange(sums.size), sums.shape[1])
+            yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(dim), pa.array(sums.ravel())], ["kind", "dim", "total"])
+
+    return run
+
+
+def _sums(vectors: DataFrame, sums_of: Callable[[np.ndarray], np.ndarray], rows: int) -> np.ndarray:
+    out = np.zeros((rows, (1 << CLASS_BITS) + 1))
+    dealt = vectors.mapInArrow(_summed_vectors(sums_of), SUMS).groupBy("kind", "dim").agg(F.sum("total").alias("total"))
+    for row in dealt.collect():  # ``rows`` times the places of a vector
+        out[row["kind"], row["dim"]] = row["total"]
+    return out
+
+
+def _products(x: np.ndarray) -> np.ndarray:
+    return x.T @ x
+
+
+def _by_class(centres: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+    """The sums of the vectors nearest to each centre, their number in front."""
+
+    def run(x: np.ndarray) -> np.ndarray:
+        return np.eye(CLASSES)[class_of(x[:, 1:], centres)].T @ x
 
     return run
 
 
+def spread_centres(products: np.ndarray) -> np.ndarray:
+    """CLASSES points around the mean, along the directions in which the vectors differ most."""
+    count = max(products[0, 0], 1.0)
+    mean = products[0, 1:] / count
+    size, way = np.linalg.eigh(products[1:, 1:] / count - np.outer(mean, mean))
+    way = way[:, ::-1][:, : CLASSES - 1] * np.sqrt(np.maximum(size[::-1][: CLASSES - 1], 0))
+    corners = np.eye(CLASSES) - 1 / CLASSES  # of a body whose corners are equally far apart
+    return mean + corners @ np.linalg.svd(corners)[2][: CLASSES - 1].T @ way.T * CLASSES**0.5
+
+
 def centres_of(docs: DataFrame) -> np.ndarray:
-    """Class centres: those of SAMPLE texts, the first by hash, moved to the means of all texts nearest to them."""
-    first = _first_centres(docs)
-    sums = docs.select("text").mapInArrow(_class_sums(first), "kind long, dim long, total long").groupBy("kind", "dim").agg(F.sum("total").alias("total"))
-    out, count = first * VECTOR_UNIT, np.ones(CLASSES)
-    found = {(r["kind"], r["dim"]): r["total"] for r in sums.collect()}  # CLASSES times the places of a vector
-    for k in range(CLASSES):
-        if found.get((k, -1)):
-            out[k], count[k] = [found[k, d] for d in range(first.shape[1])], found[k, -1]
-    return out / VECTOR_UNIT / count[:, None]
-
-
-def _first_centres(docs: DataFrame) -> np.ndarray:
-    share = 4.0 * SAMPLE / max(1, docs.count())
-    coded = docs.select("text", F.xxhash64("text").alias("code"))
-    thin = coded.where(F.pmod("code", F.lit(1 << 20)) < F.lit(share * (1 << 20)))
-    rows = thin.mapInArrow(_vectors, "code long, vector binary").distinct().orderBy("code").limit(SAMPLE).collect()
-    found = [np.frombuffer(r["vector"]) for r in rows]
-    return cluster(np.array(found) if found else np.zeros((0, 1 << CLASS_BITS)))
+    """Class centres: means of what is nearest to them, over all texts in every round."""
+    vectors = stage(docs.select("text").mapInArrow(_vectors, "vector binary"), "vectors")
+    centres = spread_centres(_sums(vectors, _products, (1 << CLASS_BITS) + 1))
+    for _ in range(ROUNDS):
+        sums = _sums(vectors, _by_class(centres), CLASSES)
+        moved = np.where(sums[:, :1] > 0, sums[:, 1:] / np.maximum(sums[:, :1], 1), centres)
+        if (moved == centres).all():
+            break
+        centres = moved
+    return centres / VECTOR_UNIT
 
 
 def _chunked(buckets: int, parts: int, centres: np.ndarray) -> Callable[[Batches], Batches]:
@@ -766,31 +776,36 @@ class _Met:
         self.counts = np.concatenate([*[p[1] for p in self.words], np.array([ends, ends], np.int64)])
         self.bits = np.concatenate([*[p[2] for p in self.words], np.zeros((1, CLASSES), "f4"), end_bits[None].astype("f4")])
         self.words.clear()
-        first, self.place, codes = pairs_of(self.names, self.seqs)
+        first, place, codes = pairs_of(self.names, self.seqs)
         self.edges = np.r_[0, np.cumsum([len(q) + 1 for q in self.seqs])]
         self.seqs.clear()
-        _, at, self.inverse = np.unique(codes, return_index=True, return_inverse=True)
-        self.first, self.second = first[at], self.place[at]
-        del first, codes, at
+        self.place = place.astype(np.int32)
+        _, at, inverse = np.unique(codes, return_index=True, return_inverse=True)
+        self.inverse = inverse.astype(np.int32)
+        self.first, self.second = first[at], place[at]
+        del first, place, codes, at, inverse
         self.pair_counts = np.concatenate([p[1] for p in self.pairs]).astype(float)
         self.pairs.clear()
 
 
-def _chunks_met(batches: Batches, ends: int, end_bits: np.ndarray) -> Iterator[_Met]:
-    """Rows ordered by chunk, the texts last, as chunks."""
+def _chunks_met[T](batches: Batches, ends: int, end_bits: np.ndarray, work: Callable[[_Met], T]) -> Iterator[T]:
+    """Rows ordered by chunk, the texts last, to what ``work`` makes of each chunk; one chunk is held at a time."""
     number, chunk = None, _Met()
-    names = ("chunk", "bucket", "part", "size", "payload", "doc_id", "held", "tokens", "bytes")
+    names = ("chunk", "bucket", "part", "size", "doc_id", "held", "tokens", "bytes")
     for batch in batches:
-        for at, bucket, part, size, payload, *text in zip(*[batch.column(c).to_pylist() for c in names], strict=True):
+        payloads = batch.column("payload")
+        for k, (at, bucket, part, size, *text) in enumerate(zip(*[batch.column(c).to_pylist() for c in names], strict=True)):
             if at != number:
                 if number is not None:
                     chunk.settle(ends, end_bits)
-                    yield chunk
+                    done = work(chunk)
+                    del chunk
+                    yield done
                 number, chunk = at, _Met()
-            chunk.take(bucket, part, size, payload, tuple(text))
+            chunk.take(bucket, part, size, payloads[k].as_buffer(), tuple(text))
     if number is not None:
         chunk.settle(ends, end_bits)
-        yield chunk
+        yield work(chunk)
 
 
 def _gate(seen: np.ndarray) -> np.ndarray:
@@ -806,22 +821,25 @@ def _ratios(ends: int, end_bits: np.ndarray) -> Callable[[Batches], Batches]:
     """How much likelier the pairs of training texts are by the other pairs than by the word alone, tallied."""
     wide = RATIO_MOST - RATIO_LEAST + 1
 
+    def tallied(met: _Met) -> np.ndarray:
+        sizes = np.diff(met.edges)
+        kind = np.repeat([t[-1] for t in met.texts], sizes)
+        learnt = np.repeat([not t[1] for t in met.texts], sizes)
+        # Pairs of a class are alike: tallied once, with how often they come.
+        every = np.bincount(met.inverse[learnt] * CLASSES + kind[learnt])
+        both = np.flatnonzero(every)
+        pair, kind, times = both // CLASSES, both % CLASSES, every[both]
+        others, seen = met.pair_counts[pair] - 1, met.counts[met.first[pair]]
+        ratio = np.full(len(pair), RATIO_LEAST)
+        some = (others > 0) & (seen > 1)
+        log2 = np.log2(others[some] / (seen[some] - 1)) + met.bits[met.second[pair[some]], kind[some]]
+        ratio[some] = np.clip(np.rint(log2 * RATIO_STEPS), RATIO_LEAST + 1, RATIO_MOST)
+        return np.bincount(_gate(seen) * wide + ratio - RATIO_LEAST, times, GATES * wide)
+
     def run(batches: Batches) -> Batches:
         sums = np.zeros(GATES * wide)
-        for met in _chunks_met(batches, ends, end_bits):
-            sizes = np.diff(met.edges)
-            kind = np.repeat([t[-1] for t in met.texts], sizes)
-            learnt = np.repeat([not t[1] for t in met.texts], sizes)
-            # Pairs of a class are alike: tallied once, with how often they come.
-            every = np.bincount(met.inverse[learnt] * CLASSES + kind[learnt])
-            both = np.flatnonzero(every)
-            pair, kind, times = both // CLASSES, both % CLASSES, every[both]
-            others, seen = met.pair_counts[pair] - 1, met.counts[met.first[pair]]
-            ratio = np.full(len(pair), RATIO_LEAST)
-            some = (others > 0) & (seen > 1)
-            log2 = np.log2(others[some] / (seen[some] - 1)) + met.bits[met.second[pair[some]], kind[some]]
-            ratio[some] = np.clip(np.rint(log2 * RATIO_STEPS), RATIO_LEAST + 1, RATIO_MOST)
-            sums += np.bincount(_gate(seen) * wide + ratio - RATIO_LEAST, times, GATES * wide)
+        for one in _chunks_met(batches, ends, end_bits, tallied):
+            sums += one
         at = np.flatnonzero(sums)
         rows = [pa.array(at // wide, pa.int32()), pa.array(at % wide + RATIO_LEAST, pa.int32()), pa.array(sums[at])]
         yield pa.RecordBatch.from_arrays(rows, ["gate", "ratio", "times"])
@@ -844,26 +862,28 @@ SCORES = "doc_id long, held_out boolean, n_tokens long, bytes long, n_known long
 def _added(trust: np.ndarray, ends: int, end_bits: np.ndarray) -> Callable[[Batches], Batches]:
     """A chunk's priced words, counted pairs and texts to the sums of each text."""
 
+    def added(met: _Met) -> pa.RecordBatch:
+        seen = met.counts[met.first]
+        share = np.where(seen > 0, trust[_gate(seen)], 0.0)
+        with np.errstate(divide="ignore"):
+            by_pair = np.log2(share * met.pair_counts / np.maximum(seen, 1))
+        rest, some, starts = np.log2(1 - share), np.flatnonzero(met.pair_counts * share), met.edges[:-1]
+        bits = np.empty((len(starts), CLASSES))
+        for k in range(CLASSES):  # one at a time: a chunk's pairs are many
+            log2_p = rest - met.bits[met.second, k]
+            log2_p[some] = np.logaddexp2(log2_p[some], by_pair[some])
+            bits[:, k] = np.add.reduceat(-log2_p[met.inverse], starts)
+        word = met.place <= len(met.names)
+        known = np.add.reduceat(word & (met.counts[met.place] > 0), starts, dtype=np.int64)
+        base = np.add.reduceat(np.where(word, np.log10(met.counts + 1.0)[met.place], 0.0), starts)
+        key, held, tokens, length, _ = zip(*met.texts, strict=True)
+        kinds = [pa.int64(), pa.bool_(), *[pa.int64()] * 3, pa.float64(), pa.list_(pa.float64())]
+        columns = [key, held, tokens, length, known.tolist(), base.tolist(), bits.tolist()]
+        arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+        return pa.RecordBatch.from_arrays(arrays, ["doc_id", "held_out", "n_tokens", "bytes", "n_known", "base", "bits"])
+
     def run(batches: Batches) -> Batches:
-        for met in _chunks_met(batches, ends, end_bits):
-            seen = met.counts[met.first]
-            share = np.where(seen > 0, trust[_gate(seen)], 0.0)
-            with np.errstate(divide="ignore"):
-                by_pair = np.log2(share * met.pair_counts / np.maximum(seen, 1))
-            rest, some, starts = np.log2(1 - share), np.flatnonzero(met.pair_counts * share), met.edges[:-1]
-            bits = np.empty((len(starts), CLASSES))
-            for k in range(CLASSES):  # one at a time: a chunk's pairs are many
-                log2_p = rest - met.bits[met.second, k]
-                log2_p[some] = np.logaddexp2(log2_p[some], by_pair[some])
-                bits[:, k] = np.add.reduceat(-log2_p[met.inverse], starts)
-            word = met.place <= len(met.names)
-            known = np.add.reduceat(word & (met.counts[met.place] > 0), starts, dtype=np.int64)
-            base = np.add.reduceat(np.where(word, np.log10(met.counts + 1.0)[met.place], 0.0), starts)
-            key, held, tokens, length, _ = zip(*met.texts, strict=True)
-            kinds = [pa.int64(), pa.bool_(), *[pa.int64()] * 3, pa.float64(), pa.list_(pa.float64())]
-            columns = [key, held, tokens, length, known.tolist(), base.tolist(), bits.tolist()]
-            arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "held_out", "n_tokens", "bytes", "n_known", "base", "bits"])
+        yield from _chunks_met(batches, ends, end_bits, added)
 
     return run
 

@@ -560,3 +560,17 @@ def test_scores_do_not_depend_on_the_number_of_partitions(spark):
         found.append(lm_scores(rows))
     spark.conf.set("spark.sql.shuffle.partitions", before)
     assert all(found[0][i] == pytest.approx(found[1][i], rel=1e-6) for i in found[0])
+
+
+def test_classes_see_every_text(spark):
+    # Four languages; the texts of the fourth are not among the first 2,000 by hash.
+    dice = random.Random(8)
+    short = [[f"{a}{b}" for b in "abcdefghij"] for a in "pqrs"]
+    texts = [" ".join(dice.choices(short[k % 3], k=12)) for k in range(4500)]
+    coded = spark.createDataFrame([(" ".join(dice.choices(short[3], k=12)),) for _ in range(500)], "text string")
+    texts += [r["text"] for r in coded.where(F.xxhash64("text") > 0).collect()]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    centres = mixing.centres_of(docs.repartition(3))
+    part = next(iter(words(pa.array([" ".join(s * 3) for s in short]))))
+    assert len(set(mixing.class_of(mixing.short_words(part), centres))) == 4
+    assert (centres == mixing.centres_of(docs.repartition(5))).all()
