@@ -44,6 +44,11 @@ def slot(ts: str | Column, step: timedelta) -> Column:
     return F.floor(epoch_seconds(ts) / F.lit(seconds(step)))
 
 
+def shuffle_width(df: DataFrame) -> int:
+    """Partitions for rows that grow after their shuffle, or weigh little in it: Spark would merge too many into one task."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def bounded_window(
     df: DataFrame,
     keys: Sequence[str],
@@ -71,6 +76,7 @@ def bounded_window(
         df.drop("_chunk")
         .withColumn("_step", steps)
         .withColumn("_chunk", F.explode(F.sequence(first, last)))
+        .repartition(shuffle_width(df), *keys, "_chunk")
         .withColumns(build(spec))
         .where(home == F.col("_chunk"))
         .drop("_step")

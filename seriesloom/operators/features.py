@@ -45,6 +45,16 @@ def lag_columns(spec: WindowSpec, column: str, lags: Sequence[int]) -> dict[str,
     return {f"{column}_lag_{k}": F.lag(column, k).over(spec) for k in lags}
 
 
+def mean_of(values: Sequence[Column]) -> Column:
+    """Mean of the columns of a row, NULL where one of them is NULL."""
+    return sum(values, F.lit(0.0)) / F.lit(float(len(values)))
+
+
+def deviation_of(values: Sequence[Column], mean: Column) -> Column:
+    """Sample deviation of the columns of a row around their ``mean``, NULL where one of them is NULL."""
+    return F.sqrt(sum(((v - mean) * (v - mean) for v in values), F.lit(0.0)) / F.lit(float(len(values) - 1)))
+
+
 def roll_columns(spec: WindowSpec, column: str, widths: Sequence[int]) -> dict[str, Column]:
     out = {}
     for w in widths:

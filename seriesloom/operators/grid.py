@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seriesloom.operators.chunks import CHUNK_STEPS, HOUR, fill_gaps, join_per_key, known, seconds
+from seriesloom.operators.chunks import CHUNK_STEPS, HOUR, fill_gaps, join_per_key, known, seconds, shuffle_width
 
 
 def _interval(n: Column, unit_seconds: int) -> Column:
@@ -20,6 +20,15 @@ def _interval(n: Column, unit_seconds: int) -> Column:
     )
 
 
+def _spans(df: DataFrame, keys: Sequence[str], ts: str, unit: int, shared: Sequence[str]) -> DataFrame:
+    """(keys, _lo, _steps): first time of each series and whole steps from it to its last time."""
+    touched = F.max(F.hash(*shared)) if shared else F.lit(0)
+    span = df.groupBy(*keys).agg(F.min(ts).alias("_lo"), F.max(ts).alias("_hi"), touched.alias("_touched"))
+    span = span.where(F.col("_touched").isNotNull())
+    lo, hi = (F.unix_seconds(F.col(c).cast("timestamp")) for c in ("_lo", "_hi"))
+    return span.select(*keys, "_lo", F.floor((hi - lo) / F.lit(unit)).alias("_steps"))
+
+
 def grid_of(
     df: DataFrame, keys: Sequence[str], ts: str = "ts", step: timedelta = HOUR, shared: Sequence[str] = ()
 ) -> DataFrame:
@@ -31,18 +40,13 @@ def grid_of(
     them run once.
     """
     unit = seconds(step)
-    touched = F.max(F.hash(*shared)) if shared else F.lit(0)
-    span = df.groupBy(*keys).agg(F.min(ts).alias("_lo"), F.max(ts).alias("_hi"), touched.alias("_touched"))
-    span = span.where(F.col("_touched").isNotNull())
-    lo, hi = (F.unix_seconds(F.col(c).cast("timestamp")) for c in ("_lo", "_hi"))
-    steps = F.floor((hi - lo) / F.lit(unit))
-    chunks = span.withColumn("_steps", steps).withColumn(
+    chunks = _spans(df, keys, ts, unit, shared).withColumn(
         "_part", F.explode(F.sequence(F.lit(0), F.floor(F.col("_steps") / F.lit(CHUNK_STEPS))))
     )
     begin = F.col("_part") * F.lit(CHUNK_STEPS)
     end = F.least(F.col("_steps"), begin + F.lit(CHUNK_STEPS - 1))
     return (
-        chunks.repartition(*keys, "_part")
+        chunks.repartition(shuffle_width(df), *keys, "_part")
         .withColumn("_n", F.explode(F.sequence(begin, end)))
         .select(*keys, (F.col("_lo") + _interval(F.col("_n"), unit)).alias(ts))
     )
@@ -55,12 +59,41 @@ def to_grid(
 
     Two rows with one time are an error at run time. Pass ``unique=True`` when the input comes
     from an aggregate over (keys, ts), to save the check.
+
+    The given rows are dealt by series and bucket of CHUNK_STEPS steps, with a mark at the first
+    step of every bucket; each then makes the steps up to the next one. Only given rows and marks
+    are shuffled, and no full axis is joined.
     """
     values = [c for c in df.columns if c not in keys and c != ts]
     df = known(df, [*keys, ts])
     checked = df if unique else _one_per_time(df, keys, ts, values)
-    axis = grid_of(df, keys, ts, step, values)
-    return axis.join(checked, [*keys, ts], "left").select(*df.columns)
+    unit = seconds(step)
+    micros, width = unit * 1_000_000, unit * 1_000_000 * CHUNK_STEPS
+    lo = F.unix_micros(F.col("_lo").cast("timestamp"))
+    first = lambda bucket: F.greatest(lo, bucket * width + F.pmod(lo - bucket * width, F.lit(micros)))
+    stop, bucket = lo + (F.col("_steps") + 1) * micros, F.col("_bucket")
+    marks = (
+        _spans(df, keys, ts, unit, values)
+        .withColumn("_bucket", F.explode(F.sequence(F.floor(lo / width), F.floor((stop - micros) / width))))
+        .withColumns({"_at": first(bucket), "_stop": F.least(stop, first(bucket + 1)), "_phase": F.pmod(lo, F.lit(micros))})
+    )
+    begin = F.col("_lo") + _interval(F.floor((F.col("_at") - lo) / micros), unit)
+    marks = marks.select(
+        *keys, begin.alias(ts), *[F.lit(None).cast(checked.schema[c].dataType).alias(c) for c in values], "_bucket", "_at", "_stop", "_phase"
+    )
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    none = F.lit(None).cast("bigint")
+    given = checked.select(*keys, F.col(ts).cast(marks.schema[ts].dataType).alias(ts), *values, F.floor(at / width), at, none, none)
+    spec = Window.partitionBy(*keys, "_bucket").orderBy("_at", F.col("_phase").isNull())
+    every = spec.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = marks.union(given).repartition(shuffle_width(df), *keys, "_bucket")
+    rows = rows.withColumns({"_mark": F.col("_phase").isNotNull(), "_end": F.max("_stop").over(every), "_on": F.max("_phase").over(every)})
+    rows = rows.where(F.pmod("_at", F.lit(micros)) == F.col("_on"))
+    rows = rows.withColumn("_n", F.floor((F.coalesce(F.lead("_at", 1).over(spec), F.col("_end")) - F.col("_at")) / micros))
+    rows = rows.withColumn("_n", F.when(F.col("_mark"), F.col("_n")).otherwise(F.greatest(F.col("_n"), F.lit(1))))
+    rows = rows.where(F.col("_n") > 0).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    made = {ts: F.col(ts) + _interval(F.col("_i"), unit)} | {c: F.when(F.col("_i") == 0, F.col(c)) for c in values}
+    return rows.select(*[made[c].alias(c) if c in made else F.col(c) for c in df.columns])
 
 
 def _one_per_time(df: DataFrame, keys: Sequence[str], ts: str, values: Sequence[str]) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from seriesloom.functions.columns import exact_cents, rounded
 from seriesloom.operators.chunks import grid_window
-from seriesloom.operators.features import full_frame
+from seriesloom.operators.features import deviation_of, lag_columns, mean_of
 from seriesloom.operators.grid import to_grid
 from seriesloom.operators.intervals import Z95
 from seriesloom.operators.split import chrono_split
@@ -24,6 +24,7 @@ TYPES = ("event_type",)
 USERS = ("user_id",)
 MODELS = ("naive1", "naive24", "roll24")
 DAY = timedelta(days=1)
+DAY_STEPS = 24
 
 
 def hourly(spark: SparkSession, folder: str, keys: Sequence[str] = TYPES) -> DataFrame:
@@ -81,17 +82,15 @@ def forecasts(
     """
 
     def build(spec):
-        mean = full_frame(spec, "y", -24, -1, F.avg)
-        reach = F.lit(Z95) * full_frame(spec, "y", -24, -1, F.stddev_samp)
-        return {
-            "naive1": F.lag("y", 1).over(spec),
-            "naive24": F.lag("y", 24).over(spec),
-            "roll24": mean,
-            "lo": rounded(mean - reach),
-            "hi": rounded(mean + reach),
-        }
-
-    return grid_window(hourly_dense(spark, folder, keys), keys, "ts", timedelta(hours=1), 24, 0, build, keep_chunk=keep_chunk)
+        return lag_columns(spec, "y", range(1, DAY_STEPS + 1))
+
+    # A frame that moves by a row is added up anew for each; as lagged values it is one expression, for the rows that are kept.
+    rows = grid_window(hourly_dense(spark, folder, keys), keys, "ts", timedelta(hours=1), DAY_STEPS, 0, build, keep_chunk=keep_chunk)
+    day = [F.col(f"y_lag_{k}") for k in range(DAY_STEPS, 0, -1)]
+    rows = rows.withColumns({"naive1": day[-1], "naive24": day[0], "roll24": mean_of(day)})
+    reach = F.lit(Z95) * deviation_of(day, F.col("roll24"))
+    rows = rows.withColumns({"lo": rounded(F.col("roll24") - reach), "hi": rounded(F.col("roll24") + reach)})
+    return rows.drop(*[f"y_lag_{k}" for k in range(1, DAY_STEPS + 1)])
 
 
 def split_forecasts(spark: SparkSession, folder: str, keys: Sequence[str] = TYPES) -> DataFrame:

@@ -1,5 +1,6 @@
 import math
 from datetime import date, datetime, timedelta
+from statistics import stdev
 
 import pytest
 from pyspark.errors import PySparkException
@@ -38,6 +39,31 @@ def test_grid_crosses_part_borders(frame, monkeypatch):
     assert got.count() == got.distinct().count() == 13
 
 
+def test_full_grid_over_several_buckets(spark, monkeypatch):
+    monkeypatch.setattr(grid, "CHUNK_STEPS", 5)
+    given = {"a": [at(3, 30), at(3, 40), at(4, 30), at(23, 30)], "b": [at(7)], "c": [at(0), at(4), at(5), at(9), at(10)]}
+    rows = [(k, t, float(i)) for k, ts in given.items() for i, t in enumerate(ts)] + [(None, at(1), 1.0), ("a", None, 1.0)]
+    got = [tuple(r) for r in grid.to_grid(spark.createDataFrame(rows, "key string, ts timestamp_ntz, y double"), ["key"]).collect()]
+    known = {(k, t): y for k, t, y in rows}
+    spans = {k: [min(ts) + i * HOUR for i in range((max(ts) - min(ts)) // HOUR + 1)] for k, ts in given.items()}
+    want = [(k, t, known.get((k, t))) for k, ts in spans.items() for t in ts]
+    assert sorted(got, key=lambda r: r[:2]) == want
+
+
+def test_small_series_are_not_merged_into_one_task(spark):
+    rows = [(k, at(h), 1.0) for k in range(40) for h in (0, 9)]
+    full = grid.to_grid(spark.createDataFrame(rows, "key int, ts timestamp_ntz, y double"), ["key"], unique=True)
+    assert full.select(F.spark_partition_id()).distinct().count() > 1
+    assert features.lags(full, ["key"], ["y"], [1]).select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_mean_and_deviation_of_columns(spark):
+    row = spark.createDataFrame([(1.0, 2.0, 6.5, None)], "a double, b double, c double, d double")
+    full, gappy = [F.col(c) for c in "abc"], [F.col(c) for c in "ad"]
+    got = row.select(features.mean_of(full), features.deviation_of(full, features.mean_of(full)), features.mean_of(gappy)).first()
+    assert got[0] == 9.5 / 3 and math.isclose(got[1], stdev([1.0, 2.0, 6.5])) and got[2] is None
+
+
 def test_resample_bins(frame, table):
     df = frame([(at(5), 0.0), (at(6), 1.0), (at(7), 2.0), (at(8), 3.0), (at(15), None)])
     got = [(r[1].hour, r[2]) for r in table(grid.resample_mean(df, ["key"], ["y"], "3 hours"), "ts")]
