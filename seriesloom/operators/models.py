@@ -86,7 +86,7 @@ def fit_stack(
     learner = LinearRegression(
         featuresCol="_x", labelCol=f"_s_{y}", predictionCol="stack", regParam=RIDGE
     )
-    known = shrunk.where(F.col(split) == "validation").select(*base, f"_s_{y}").dropna()
+    known = cut_lineage(shrunk.where(F.col(split) == "validation").select(*base, f"_s_{y}").dropna())
     fitted = learner.fit(assembler.transform(known))
     scored = fitted.transform(assembler.transform(shrunk))
     return inverse_target(scored, bounds, keys, ["stack"], y, ts).select(*df.columns, "stack")

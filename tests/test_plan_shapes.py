@@ -5,6 +5,7 @@ import re
 import pytest
 
 import __spark_entry__ as contract
+from seriesloom.operators import models
 
 DATA = "/root/testdata/sf0.001"
 QUERIES = ["scoreboard", "lag_features", "daily_pnl", "error_quartiles", "volatile_week", "rescaled_meta", "delay_aggregate", "acf_topk", "trend_split"]
@@ -40,3 +41,15 @@ def test_only_used_columns_are_read(big):
 def test_regular_series_are_not_numbered_again(big, name):
     plan = contract.queries()[name](big, DATA)._jdf.queryExecution().executedPlan().toString()
     assert len(re.findall(r"Exchange (?:hash|range|Single)", plan)) <= SHUFFLES[name]
+
+
+@pytest.mark.parametrize("name", ["interval_metrics", "calibration", "stacked_linear"])
+def test_forecasts_add_up_no_sliding_frames(big, name, monkeypatch):
+    fitted_on = []
+    fit = models.LinearRegression.fit
+    monkeypatch.setattr(models.LinearRegression, "fit", lambda self, df, *more: (fitted_on.append(df), fit(self, df, *more))[1])
+    plan = contract.queries()[name](big, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "RowFrame, -24, -1)" not in plan
+    # The fit scans its rows several times: they are read back, not made again.
+    for df in fitted_on:
+        assert "Window" not in df._jdf.queryExecution().executedPlan().toString()
