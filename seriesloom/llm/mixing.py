@@ -50,7 +50,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesloom.llm.shared import partitions, stage
+from seriesloom.llm.shared import KIND, done_with, partitions, stage, stage_kinds
 from seriesloom.llm.words import Words, hash_spans, mix, words
 
 CHUNK_BYTES = 10 << 20
@@ -925,10 +925,11 @@ def score(docs: DataFrame, held: Column, key: str = "doc_id", text: str = "text"
     with _shuffles_removed(spark):
         buckets, parts = spread_of(narrow.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
         centres = centres_of(narrow.where(~F.col("held")))
-        counted = stage(narrow.mapInArrow(_chunked(buckets, parts, centres), COUNTED), "counted")
-        texts, spelt = counted.where("bucket is null and part is null"), counted.where("bucket is not null")
-        names, pairs = counted.where("part = -1"), counted.where("part >= 0")
-        code = Code(_bytes_seen(counted.where("part = -2")))
+        kind = F.when(F.col("bucket").isNotNull(), "spelt").when(F.col("part").isNull(), "texts")
+        kind = kind.when(F.col("part") >= 0, "pairs").when(F.col("part") == -1, "names").otherwise("bytes")
+        counted, path = stage_kinds(narrow.mapInArrow(_chunked(buckets, parts, centres), COUNTED), "counted", kind)
+        texts, spelt, names, pairs, seen = (counted.where(f"{KIND} = '{k}'") for k in ("texts", "spelt", "names", "pairs", "bytes"))
+        code = Code(_bytes_seen(seen))
         dealt = spelt.select("bucket", "chunk", "size", "payload").repartition(max(width, buckets // 2), "bucket").sortWithinPartitions("bucket")
 
         tallies = stage(dealt.mapInArrow(_tally(code), TALLIES), "tallies")
@@ -947,8 +948,10 @@ def score(docs: DataFrame, held: Column, key: str = "doc_id", text: str = "text"
 
         sent = spark.sparkContext.broadcast(zlib.compress(tables.tobytes(), 1))
         priced = stage(dealt.mapInArrow(_priced(sent, totals, code), COUNTED), "priced")
+        done_with(spark, path, "spelt")
         dealt_pairs = pairs.select("part", "chunk", "size", "payload").repartition(max(width, parts // 8), "part").sortWithinPartitions("part")
         paired = stage(dealt_pairs.mapInArrow(_paired, COUNTED), "paired")
+        done_with(spark, path, "pairs")
         columns = ["chunk", "bucket", "part", "size", "doc_id", "held", "tokens", "bytes", "payload"]
         both = priced.select(columns)
         for more in (names, paired, texts):

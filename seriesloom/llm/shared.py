@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriesloom.session import scratch_path
@@ -20,6 +20,23 @@ def stage(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFra
     return spark.read.schema(df.schema).parquet(path)
 
 
+KIND = "kind_"
+
+
+def stage_kinds(df: DataFrame, name: str, kind: Column) -> tuple[DataFrame, str]:
+    """``stage`` with the rows of each kind in a folder of their own; the rows, and the path for ``done_with``."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df = df.withColumn(KIND, kind)
+    df.write.option("compression", "zstd").partitionBy(KIND).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def done_with(spark: SparkSession, path: str, kind: str) -> None:
+    """Give back the disk of rows of ``stage_kinds`` that nothing reads any more: no rows take their place."""
+    spark.range(0).write.mode("overwrite").parquet(f"{path}/{KIND}={kind}")
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, with as many ``_`` behind it as make it a new column of ``df`` (letter case does not count)."""
     taken = {c.lower() for c in df.columns}

@@ -6,6 +6,7 @@ import math
 import random
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from seriesloom.llm import decontaminate, exact, jaccard, mixing, packing, queries, sharding, toxicity
 from seriesloom.llm.words import shingle_sets, words
+from seriesloom.session import shared_folder
 
 PATH = queries.tokenizer_path()
 
@@ -574,3 +576,14 @@ def test_classes_see_every_text(spark):
     part = next(iter(words(pa.array([" ".join(s * 3) for s in short]))))
     assert len(set(mixing.class_of(mixing.short_words(part), centres))) == 4
     assert (centres == mixing.centres_of(docs.repartition(5))).all()
+
+
+def test_lm_gives_back_the_disk_of_words_and_pairs_that_met(spark):
+    folder = Path(shared_folder(spark).removeprefix("file://"))
+    earlier = set(folder.glob("counted-*"))
+    rows = [(i, f"some words of text {i} and more of them {i % 7}") for i in range(40)]
+    scored = mixing.score(documents(spark, rows), F.col("doc_id") >= 30)
+    (counted,) = set(folder.glob("counted-*")) - earlier
+    left = spark.read.schema(mixing.COUNTED).parquet(str(counted))
+    assert left.where("bucket is not null or part >= 0").isEmpty()
+    assert left.where("bucket is null and part is null").count() == scored.count() == 40
