@@ -13,6 +13,7 @@ repeated rows and NULL ids are packed too. Only the last window may be short. No
 from __future__ import annotations
 
 import re
+import struct
 import unicodedata
 from collections.abc import Callable, Iterator
 
@@ -26,11 +27,11 @@ from seriesloom.llm.shared import stage
 
 WINDOW = 4096
 CLOSING_ID = 2
-CACHE_BYTES = 192 << 20  # of ids and words kept by a Python worker
+CACHE_BYTES = 96 << 20  # of ids and words kept by a Python worker
 OUT_BYTES = 4 << 20
 
 TOKENS = "part long, place long, before long, doc_id long, tokens long, ids binary"
-_SPACE = re.compile(r"[\x20\x09-\x0D]+")
+_MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # no apostrophe: tokenizers part "it's" in ways of their own
 # Latin letters whose lower case is one letter and that no normal form changes.
 _LATIN = re.compile("[a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+\\Z")
 
@@ -40,6 +41,7 @@ _PROBES = (
     " two  spaces\tand\nlines\x0b ",
     "Zoë naïve İ. é. рус. 中文, x",
     "www.example.com/a_b?c=1 3.14 (ok)",
+    "Ab.!! cd*** É) e--",
 )
 
 _tokenizers: dict[str, WordTokenizer] = {}
@@ -54,8 +56,9 @@ class WordTokenizer:
     """Ids of whole texts.
 
     For a tokenizer that parts words at white space the ids of a text are those of its words in turn, so a word is
-    encoded once and remembered; the memory is bounded and emptied when full. Whether a tokenizer is of that kind is
-    tried on a few texts when it is loaded; the texts of any other are encoded whole.
+    encoded once and remembered, by its bytes. The memory is bounded: each time that half of it is full, words not met
+    since the last time are forgotten. Letters with punctuation at the end are put together from two words.
+    Whether a tokenizer is of that kind is tried on a few texts when it is loaded; the texts of any other are encoded whole.
     """
 
     def __init__(self, path: str, cache_bytes: int = CACHE_BYTES) -> None:
@@ -63,46 +66,55 @@ class WordTokenizer:
 
         self._letters = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-        self.room = self.cache_bytes = cache_bytes
-        self.by_words = all(self._text_by_words(t) == self._whole(t) for t in _PROBES)
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        self.room = self.half = cache_bytes // 2
+        self.by_words = all(self._text_by_words(t.encode()) == self._whole(t) for t in _PROBES)
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _encode(self, word: str) -> bytes:
-        if _LATIN.match(word):  # only letters: one piece for the model, once in lower case and as bytes
-            low = word.lower()
-            ids = [t.id for t in self.tokenizer.model.tokenize(low if low.isascii() else self._letters(low)[0][0])]
-        else:
-            return self._whole(word)
-        return np.array(ids, "<u4").tobytes()
-
-    def _learn(self, word: str) -> bytes:
-        body, last = word[:-1], word[-1:]
-        if last in ".," and body and _stays_letters(body):  # a run of letters is a piece of its own
-            ids = self.word(body.lower() if body.isascii() else body) + self.word(last)
-        elif word.isascii() and word.isalpha() and not word.islower():
-            ids = self.word(word.lower())
-        else:
-            ids = self._encode(word)
-        self.room -= 150 + len(word) + len(ids)
-        if self.room < 0:
-            self.known.clear()
-            self.room = self.cache_bytes
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _encode(self, word: bytes) -> bytes:
+        low = text = word.decode()
+        if not word.isalpha():
+            if not _LATIN.match(text):
+                return self._whole(text)
+            low = self._letters(text.lower())[0][0]
+        ids = [t.id for t in self.tokenizer.model.tokenize(low)]  # only letters: one piece for the model, in lower case and as bytes
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _learn(self, word: bytes) -> bytes:
+        body = word.rstrip(_MARKS)
+        if len(body) < len(word):  # a run of letters is a piece of its own
+            if body.isalpha():
+                return self.word(body.lower()) + self.word(word[len(body) :])
+            if _stays_letters(body.decode()):
+                return self.word(body) + self.word(word[len(body) :])
+        ids = self.known.get(word) or self.older.get(word)
+        if not ids:
+            ids = self.word(word.lower()) if word.isalpha() and not word.islower() else self._encode(word)
+        size = 130 + len(word) + len(ids)
+        if size > self.room:
+            self.known, self.older, self.room = {}, self.known, self.half
+        self.room -= size
         self.known[word] = ids
         return ids
 
-    def word(self, word: str) -> bytes:
+    def word(self, word: bytes) -> bytes:
         return self.known.get(word) or self._learn(word)
 
     def text(self, text: str) -> bytes:
         """Little-endian 32-bit ids."""
-        return self._text_by_words(text) if self.by_words else self._whole(text)
+        return self.utf8(text.encode())
 
-    def _text_by_words(self, text: str) -> bytes:
+    def utf8(self, text: bytes) -> bytes:
+        """``text`` for a text's bytes."""
+        return self._text_by_words(text) if self.by_words else self._whole(text.decode())
+
+    def _text_by_words(self, text: bytes) -> bytes:
         known, learn = self.known.get, self._learn
-        return b"".join([known(w) or learn(w) for w in _SPACE.split(text) if w])
+        return b"".join([known(w) or learn(w) for w in text.split()])  # bytes are split at ASCII white space
 
 
 def tokenizer(path: str) -> WordTokenizer:
@@ -120,8 +132,9 @@ def _count(path: str, closing: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
         words, end = tokenizer(path), np.array([closing], "<u4").tobytes()
         rows, held = [], 0
         for batch in batches:
-            for key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                ids = words.text(text.as_py() or "") + end
+            texts = batch.column("text").cast(pa.large_binary())
+            for key, text in zip(batch.column("doc_id").to_pylist(), texts, strict=True):
+                ids = words.utf8(text.as_py() or b"") + end
                 rows.append((part, place, before, key, len(ids) // 4, ids))
                 place, before, held = place + 1, before + len(ids) // 4, held + len(ids)
                 if held > OUT_BYTES:

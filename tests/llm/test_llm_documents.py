@@ -175,6 +175,26 @@ def test_packing_of_nothing_and_a_full_cache(spark, none):
     assert small.text(text) == large.text(text) == small.text(text)
 
 
+def test_words_with_punctuation_are_put_together_and_take_no_memory():
+    words = packing.WordTokenizer(PATH)
+    dice, known = random.Random(13), vocabulary(300)
+    marks = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+    tails = ["".join(dice.choice(marks) for _ in range(dice.randint(1, 3))) for _ in range(400)]
+    text = " ".join(dice.choice([str, str.upper, str.title])(dice.choice([*known, "é", "Été", "œuvre", "x1", "İ"])) + t for t in tails)
+    assert words.text(text) == np.array(words.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert not [w for w in map(bytes, words.known) if w[:-1].isalpha() and w[-1:] in b"!,.;"]
+
+
+def test_words_still_met_are_kept_when_others_are_forgotten():
+    words = packing.WordTokenizer(PATH, cache_bytes=40000)
+    used, often = 0, [w.encode() for w in vocabulary(20)]
+    for w in vocabulary(2000):
+        words.text(" ".join([w, *[o.decode() for o in often]]))
+        used = max(used, sum(130 + len(k) + len(v) for part in (words.known, words.older) for k, v in part.items()))
+        assert all(o in words.known or o in words.older for o in often)
+    assert 20000 < used <= 40000
+
+
 # --- joins by shingles ----------------------------------------------------------------------
 
 
