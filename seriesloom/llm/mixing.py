@@ -39,7 +39,6 @@ from __future__ import annotations
 
 import heapq
 import math
-import zlib
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from typing import NamedTuple
@@ -99,13 +98,26 @@ COUNTED_SCHEMA = pa.schema(
 )
 
 
+_ZSTD = pa.Codec("zstd", 1)
+
+
+def _pressed(data: bytes) -> bytes:
+    """Compressed, the length in front."""
+    return len(data).to_bytes(8, "little") + _ZSTD.compress(data, asbytes=True)
+
+
+def _restored(data: bytes | pa.Buffer) -> pa.Buffer:
+    view = memoryview(data)
+    return _ZSTD.decompress(view[8:], int.from_bytes(view[:8], "little"))
+
+
 def _packed(*arrays: np.ndarray) -> bytes:
     head = np.array([a.nbytes for a in arrays], np.int64).tobytes()
-    return zlib.compress(head + b"".join(a.tobytes() for a in arrays), 1)
+    return _pressed(head + b"".join(a.tobytes() for a in arrays))
 
 
-def _unpacked(data: bytes, *kinds: str) -> list[np.ndarray]:
-    raw = zlib.decompress(data)
+def _unpacked(data: bytes | pa.Buffer, *kinds: str) -> list[np.ndarray]:
+    raw = _restored(data)
     at, out = 8 * len(kinds), []
     for kind, size in zip(kinds, np.frombuffer(raw, np.int64, len(kinds)), strict=True):
         out.append(np.frombuffer(raw[at : at + size], kind))
@@ -122,6 +134,30 @@ def _numbers(planes: np.ndarray, kind: str) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
+def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct hashes in order, where each comes first, and each hash's number among them.
+
+    Numbers that hold a hash and its place are sorted: much faster than places by their hashes. Where both are too long
+    for one number, the hash's last bits are left out; if these matter, places are sorted.
+    """
+    if not len(hashes):
+        return hashes, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    above = hashes - hashes.min()
+    places = len(hashes).bit_length()
+    spare = max(0, int(above.max()).bit_length() + places - 64)
+    keys = above >> U64(spare) << U64(places) | np.arange(len(hashes), dtype=U64)
+    keys.sort()
+    order = (keys & U64((1 << places) - 1)).astype(np.int64)
+    ordered = hashes[order]
+    if spare and (ordered[1:] < ordered[:-1]).any():
+        order = np.argsort(hashes, kind="stable")
+        ordered = hashes[order]
+    new = np.r_[True, ordered[1:] != ordered[:-1]]
+    number = np.empty(len(hashes), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return ordered[new], order[new], number
+
+
 # --- chunks ---------------------------------------------------------------------------------
 
 
@@ -135,7 +171,7 @@ class _Chunk:
 
     def add(self, part: Words, ids: list, held: np.ndarray, centres: np.ndarray) -> None:
         """A slice of texts with their ids."""
-        known, first, inverse = np.unique(part.hashes, return_index=True, return_inverse=True)
+        known, first, inverse = distinct(part.hashes)
         kind = class_of(short_words(part), centres)
         learnt = (~held[part.text]).astype(float)
         train = np.bincount(inverse * CLASSES + kind[part.text], learnt, len(known) * CLASSES).astype(np.uint32)
@@ -152,7 +188,7 @@ class _Chunk:
 
     def rows(self, chunk: int, buckets: int, parts: int) -> Batches:
         every = np.concatenate([s[0] for s in self.slices])
-        known, first, inverse = np.unique(every, return_index=True, return_inverse=True)
+        known, first, inverse = distinct(every)
         slot = inverse[:, None] * CLASSES + np.arange(CLASSES)
         train = np.bincount(slot.ravel(), np.concatenate([s[1] for s in self.slices]), len(known) * CLASSES)
         train = train.astype(np.uint32).reshape(-1, CLASSES)
@@ -200,7 +236,7 @@ class _Chunk:
         """The hashes of the chunk's words, as part -1, and its pairs with training counts by ranges of hashes."""
         _, _, codes = pairs_of(names, seqs)
         learnt = np.repeat([not d[1] for d in self.docs], [len(q) + 1 for q in seqs])
-        known, inverse = np.unique(codes, return_inverse=True)
+        known, _, inverse = distinct(codes)
         train = np.bincount(inverse, learnt, len(known)).astype(np.uint32)
         bounds = [np.uint64((b << PAIR_BITS) // parts) for b in range(parts)]
         edges = np.append(np.searchsorted(known, np.array(bounds, U64)), len(known))
@@ -417,7 +453,7 @@ class Bucket:
             self.chunks.append((chunk, size, len(lengths)))
         counts, lengths, data = (np.concatenate(c) for c in zip(*parts, strict=True))
         lengths = lengths.astype(np.int64)
-        _, first, self.inverse = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
+        _, first, self.inverse = distinct(np.concatenate(hashes))
         slot = self.inverse[:, None] * CLASSES + np.arange(CLASSES)
         self.by_class = np.bincount(slot.ravel(), counts, len(first) * CLASSES).astype(np.int64).reshape(-1, CLASSES)
         self.counts = self.by_class.sum(1)
@@ -548,7 +584,7 @@ def _tally(code: Code) -> Callable[[Batches], Batches]:
         for k in range(len(every) // BLOCK):
             block = every[k * BLOCK : (k + 1) * BLOCK]
             if block.any():
-                yield pa.RecordBatch.from_pydict(_tally_row(k, zlib.compress(block.tobytes(), 1), None, 0), _TALLY_SCHEMA)
+                yield pa.RecordBatch.from_pydict(_tally_row(k, _pressed(block.tobytes()), None, 0), _TALLY_SCHEMA)
         yield pa.RecordBatch.from_pydict(_tally_row(-1, b"", seen.tolist(), kinds), _TALLY_SCHEMA)
 
     return run
@@ -568,11 +604,11 @@ def _summed(batches: Batches) -> Batches:
         for part, data in zip(batch.column("part").to_pylist(), batch.column("counts").to_pylist(), strict=True):
             if part != at:
                 if at is not None:
-                    yield pa.RecordBatch.from_pydict(_tally_row(at, zlib.compress(total.tobytes(), 1), None, 0), _TALLY_SCHEMA)
+                    yield pa.RecordBatch.from_pydict(_tally_row(at, _pressed(total.tobytes()), None, 0), _TALLY_SCHEMA)
                 at, total = part, np.zeros(BLOCK, np.uint32)
-            total += np.frombuffer(zlib.decompress(data), np.uint32)
+            total += np.frombuffer(_restored(data), np.uint32)
     if at is not None:
-        yield pa.RecordBatch.from_pydict(_tally_row(at, zlib.compress(total.tobytes(), 1), None, 0), _TALLY_SCHEMA)
+        yield pa.RecordBatch.from_pydict(_tally_row(at, _pressed(total.tobytes()), None, 0), _TALLY_SCHEMA)
 
 
 class Mixer:
@@ -591,17 +627,21 @@ class Mixer:
         spread = 1 / (1 + np.exp(-np.linspace(-LIMIT, LIMIT, PLACES)))
         self.truth = np.tile(np.stack([spread, np.ones(PLACES)], 1) * 20, (8, 1, 1))
 
-    def __call__(self, x: np.ndarray, gate: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(mixed, refined, place in the refining table): probabilities of a 1."""
-        logit = np.clip(np.einsum("ij,ij->i", x, self.weights[gate]), -LIMIT, LIMIT)
-        p = 1 / (1 + np.exp(-logit))
-        place = np.rint((logit + LIMIT) * ((PLACES - 1) / (2 * LIMIT))).astype(int)
+    def __call__(self, x: np.ndarray, gate: np.ndarray, depth: int) -> np.ndarray:
+        """Refined probabilities of a 1."""
+        p, place = self._mixed(x, gate)
         table = self.truth[min(depth, 7)]
         refined = 0.5 * p + 0.5 * (table[:, 0] / table[:, 1])[place]
-        return p, np.clip(refined, LEAST, 1 - LEAST), place
+        return np.clip(refined, LEAST, 1 - LEAST)
+
+    def _mixed(self, x: np.ndarray, gate: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Mixed probabilities of a 1, and their places in the refining table."""
+        logit = np.clip(np.einsum("ij,ij->i", x, self.weights[gate]), -LIMIT, LIMIT)
+        p = 1 / (1 + np.exp(-logit))
+        return p, np.rint((logit + LIMIT) * ((PLACES - 1) / (2 * LIMIT))).astype(int)
 
     def learn(self, x: np.ndarray, gate: np.ndarray, depth: int, bit: np.ndarray, weight: np.ndarray) -> None:
-        p, _, place = self(x, gate, depth)
+        p, place = self._mixed(x, gate)
         error = (bit - p) * weight
         norm = np.bincount(gate, weight, 64) + SLOW
         for k in range(x.shape[1]):
@@ -665,6 +705,12 @@ def _counts(level: Level, fork: Fork) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return mine[:, :-1], ones, np.add.reduceat(mine, fork.nodes, axis=0)
 
 
+def _of_class(counts: np.ndarray, node: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of nodes in a class each, and in all classes."""
+    row = node * counts.shape[1]
+    return counts.ravel().take(row + kind), counts.ravel().take(row + CLASSES)
+
+
 def _learn(mixer: Mixer, level: Level, fork: Fork, tables: list[np.ndarray]) -> None:
     """Every token of a way is predicted from all others; a way's tokens weigh as the root of their number."""
     mine, ones, both = _counts(level, fork)
@@ -679,7 +725,9 @@ def _learn(mixer: Mixer, level: Level, fork: Fork, tables: list[np.ndarray]) ->
         a, b = table[slots + 1][fork.node] - gone * fork.bit, table[slots][fork.node] - gone * (1 - fork.bit)
         orders.append(np.log((a + F32(PRIOR)) / (b + F32(PRIOR)))[way])
     node, bit = fork.node[way], fork.bit[way]
-    x, gate = _inputs(ones[node, kind] - bit, both[node, kind] - 1, ones[node, -1] - bit, both[node, -1] - 1, orders)
+    my_ones, every_one = _of_class(ones, node, kind)
+    my_both, every = _of_class(both, node, kind)
+    x, gate = _inputs(my_ones - bit, my_both - 1, every_one - bit, every - 1, orders)
     weight = mine[way, kind]
     for i in range(0, len(way), STEP_ROWS):
         j = slice(i, i + STEP_ROWS)
@@ -692,11 +740,13 @@ def _prices(mixer: Mixer, level: Level, fork: Fork, tables: list[np.ndarray]) ->
     orders = [np.log((t[s + 1] + F32(PRIOR)) / (t[s] + F32(PRIOR))) for t, s in zip(tables, fork.slots, strict=True)]
     nothing = np.zeros(len(ones), np.float32)
     x, gate = _inputs(nothing, nothing, ones[:, -1], both[:, -1], orders)
-    p = np.repeat(mixer(x, gate, fork.depth)[1][:, None], CLASSES, axis=1)
+    p = np.repeat(mixer(x, gate, fork.depth)[:, None], CLASSES, axis=1)
     node, kind = np.nonzero(both[:, :-1])
     if len(node):
-        x, gate = _inputs(ones[node, kind], both[node, kind], ones[node, -1], both[node, -1], [o[node] for o in orders])
-        p[node, kind] = mixer(x, gate, fork.depth)[1]
+        my_ones, every_one = _of_class(ones, node, kind)
+        my_both, every = _of_class(both, node, kind)
+        x, gate = _inputs(my_ones, my_both, every_one, every, [o[node] for o in orders])
+        p[node, kind] = mixer(x, gate, fork.depth)
     return p
 
 
@@ -704,7 +754,7 @@ def _priced(tables: Broadcast, totals: np.ndarray, code: Code) -> Callable[[Batc
     """Buckets to rows of each chunk: size is the first word's number, payload counts and bits."""
 
     def run(batches: Batches) -> Batches:
-        split = np.split(np.frombuffer(zlib.decompress(tables.value), np.uint32), np.cumsum([2 << b for b in TABLE_BITS])[:-1])
+        split = np.split(np.frombuffer(_restored(tables.value), np.uint32), np.cumsum([2 << b for b in TABLE_BITS])[:-1])
         split = [t.astype(np.float32) for t in split]
         for b, bucket in _buckets(batches, code):
             # Rounded up, so that the probabilities still sum to at most 1.
@@ -726,7 +776,7 @@ def _paired(batches: Batches) -> Batches:
     def met(rows: list[tuple]) -> pa.RecordBatch:
         parts = [_unpacked(payload, "u1", "u1") for _, _, _, payload in rows]
         codes = [np.cumsum(_numbers(p[0], "u8"), dtype=U64) for p in parts]
-        _, inverse = np.unique(np.concatenate(codes), return_inverse=True)
+        _, _, inverse = distinct(np.concatenate(codes))
         sums = np.bincount(inverse, np.concatenate([_numbers(p[1], "u4") for p in parts])).astype(np.uint32)
         each = np.split(sums[inverse], np.cumsum([len(c) for c in codes])[:-1])
         out = [
@@ -780,7 +830,7 @@ class _Met:
         self.edges = np.r_[0, np.cumsum([len(q) + 1 for q in self.seqs])]
         self.seqs.clear()
         self.place = place.astype(np.int32)
-        _, at, inverse = np.unique(codes, return_index=True, return_inverse=True)
+        _, at, inverse = distinct(codes)
         self.inverse = inverse.astype(np.int32)
         self.first, self.second = first[at], place[at]
         del first, place, codes, at, inverse
@@ -865,14 +915,13 @@ def _added(trust: np.ndarray, ends: int, end_bits: np.ndarray) -> Callable[[Batc
     def added(met: _Met) -> pa.RecordBatch:
         seen = met.counts[met.first]
         share = np.where(seen > 0, trust[_gate(seen)], 0.0)
-        with np.errstate(divide="ignore"):
-            by_pair = np.log2(share * met.pair_counts / np.maximum(seen, 1))
         rest, some, starts = np.log2(1 - share), np.flatnonzero(met.pair_counts * share), met.edges[:-1]
+        by_pair = np.log2(share[some] * met.pair_counts[some] / np.maximum(seen[some], 1))
         bits = np.empty((len(starts), CLASSES))
         for k in range(CLASSES):  # one at a time: a chunk's pairs are many
-            log2_p = rest - met.bits[met.second, k]
-            log2_p[some] = np.logaddexp2(log2_p[some], by_pair[some])
-            bits[:, k] = np.add.reduceat(-log2_p[met.inverse], starts)
+            log2_p = rest - np.ascontiguousarray(met.bits[:, k])[met.second]
+            log2_p[some] = np.logaddexp2(log2_p[some], by_pair)
+            bits[:, k] = np.add.reduceat((-log2_p)[met.inverse], starts)
         word = met.place <= len(met.names)
         known = np.add.reduceat(word & (met.counts[met.place] > 0), starts, dtype=np.int64)
         base = np.add.reduceat(np.where(word, np.log10(met.counts + 1.0)[met.place], 0.0), starts)
@@ -936,7 +985,7 @@ def score(docs: DataFrame, held: Column, key: str = "doc_id", text: str = "text"
         blocks = tallies.where("part >= 0").repartition(width, "part").sortWithinPartitions("part")
         tables = np.zeros(sum(2 << b for b in TABLE_BITS), np.uint32)
         for row in blocks.mapInArrow(_summed, TALLIES).collect():  # the tables' fixed size, compressed
-            tables[row["part"] * BLOCK : (row["part"] + 1) * BLOCK] = np.frombuffer(zlib.decompress(row["counts"]), np.uint32)
+            tables[row["part"] * BLOCK : (row["part"] + 1) * BLOCK] = np.frombuffer(_restored(row["counts"]), np.uint32)
         by_class = [F.sum(F.get("seen", F.lit(k))).alias(f"c{k}") for k in range(CLASSES)]
         sums = tallies.where("part < 0").agg(F.sum("kinds").alias("kinds"), *by_class).first()
         ends = np.zeros(CLASSES, np.int64)
@@ -946,7 +995,7 @@ def score(docs: DataFrame, held: Column, key: str = "doc_id", text: str = "text"
         total, all_ends = int(totals.sum()), int(ends.sum())
         distinct = (sums["kinds"] or 0) + (all_ends > 0)
 
-        sent = spark.sparkContext.broadcast(zlib.compress(tables.tobytes(), 1))
+        sent = spark.sparkContext.broadcast(_pressed(tables.tobytes()))
         priced = stage(dealt.mapInArrow(_priced(sent, totals, code), COUNTED), "priced")
         done_with(spark, path, "spelt")
         dealt_pairs = pairs.select("part", "chunk", "size", "payload").repartition(max(width, parts // 8), "part").sortWithinPartitions("part")

@@ -390,6 +390,20 @@ def test_scores_and_the_base_of_all_texts(spark):
     assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
 
 
+def test_distinct_hashes_are_those_of_numpy(monkeypatch):
+    dice = np.random.default_rng(3)
+    far = dice.integers(0, 1 << 63, 3000, dtype=np.uint64)
+    cases = [far[dice.integers(0, 3000, 20000)], far[:0], far[:1], np.full(7, (1 << 64) - 1, np.uint64), np.arange(9, 0, -1).astype(np.uint64)]
+    near = far[dice.integers(0, 1000, 5000)] ^ dice.integers(0, 4, 5000, dtype=np.uint64)  # alike but for the last bits
+    for hashes in [*cases, near]:
+        want = np.unique(hashes, return_index=True, return_inverse=True)
+        assert all((a == b).all() for a, b in zip(mixing.distinct(hashes), want, strict=True))
+    places_sorted = []
+    monkeypatch.setattr(np, "argsort", lambda *a, **k: places_sorted.append(a))
+    mixing.distinct(cases[0])  # numbers are sorted, not places by them
+    assert not places_sorted
+
+
 def test_word_probabilities_of_a_bucket_sum_to_at_most_one():
     known = sorted(set(vocabulary(300)))
     texts = pa.array([" ".join(known), " ".join(known[:100]), "aab aabc aabd aabbb " * 5])
